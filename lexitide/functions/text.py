@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: a word is a run of two or more letters, digits or underscores, in any script.
@@ -25,6 +25,20 @@ def folded(text: Column) -> Column:
     return F.translate(text, "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
 
 
+def unfold(df: DataFrame, *keep: str | Column, tokens: str | Column = "full_text", name: str = "term") -> DataFrame:
+    """One row per token beside the kept columns.
+
+    The outer form is used on purpose: for a plain explode Spark adds a filter on the array's size and
+    pushes it to the scan, where it would split the text into words a second time.
+    """
+    return df.select(*keep, F.explode_outer(tokens).alias(name)).where(F.col(name).isNotNull())
+
+
+def unfold_at(df: DataFrame, *keep: str | Column, tokens: str | Column, names: tuple[str, str]) -> DataFrame:
+    """`unfold` with the position of each element."""
+    return df.select(*keep, F.posexplode_outer(tokens).alias(*names)).where(F.col(names[0]).isNotNull())
+
+
 def joined(tokens: Column) -> Column:
     """Tokens joined by one space (F2)."""
     return F.array_join(tokens, " ")

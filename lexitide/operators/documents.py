@@ -49,7 +49,7 @@ def label_domain(docs: DataFrame, labels: DataFrame | None = None, dedupe_labels
 def token_windows(docs: DataFrame, window: int = 256, stride: int = 200) -> DataFrame:
     """One row per window: `(doc_id, win_no, tokens)` (F1)."""
     slices = X.windows(F.col("full_text"), window, stride)
-    return docs.select("doc_id", F.posexplode(slices).alias("win_no", "tokens"))
+    return X.unfold_at(docs, "doc_id", tokens=slices, names=("win_no", "tokens"))
 
 
 def texts_for_ids(ids: DataFrame, docs: DataFrame) -> DataFrame:

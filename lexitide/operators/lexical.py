@@ -19,7 +19,7 @@ def class_given_word(
     ('empirical'), 'uniform', or a table `(label, prior)`.
     """
     counts = (
-        docs.select(F.col(label_col).alias("label"), F.explode("full_text").alias("term"))
+        X.unfold(docs, F.col(label_col).alias("label"))
         .groupBy("label", "term")
         .agg(F.count("*").alias("n"))
     ).persist()
@@ -56,12 +56,12 @@ def cooccurrence(docs: DataFrame, vocab: DataFrame, vocab_size: int, span: int =
     Each word is paired with the vocabulary words that follow it within the span, so the work grows with
     tokens times span and not with the square of a document.
     """
-    tokens = docs.select("doc_id", by, F.posexplode("full_text").alias("pos", "term"))
+    tokens = X.unfold_at(docs, "doc_id", by, tokens="full_text", names=("pos", "term"))
     known = tokens.join(bounded(vocab.select("term"), vocab_size), "term")
     # a document's known words in order; one document is one row
     listed = known.groupBy("doc_id", by).agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("seq"))
-    at = listed.select(by, "seq", F.posexplode("seq").alias("i", "here"))
-    later = at.select(by, "here", F.explode(F.slice("seq", F.col("i") + 2, F.lit(span))).alias("there"))
+    at = X.unfold_at(listed, by, "seq", tokens="seq", names=("i", "here"))
+    later = X.unfold(at, by, "here", tokens=F.slice("seq", F.col("i") + 2, F.lit(span)), name="there")
     near = later.where(F.col("there.pos") - F.col("here.pos") <= span)
     pairs = near.groupBy(by, F.col("here.term").alias("x"), F.col("there.term").alias("y")).agg(F.count("*").alias("n"))
     both = F.explode(F.array(F.struct(F.col("x").alias("term"), F.col("y").alias("context")), F.struct(F.col("y").alias("term"), F.col("x").alias("context"))))

@@ -14,7 +14,7 @@ from lexitide.session import BROADCAST_ROWS
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """Occurrences of every term in the corpus: `(term, tf)` (A1)."""
-    return docs.select(F.explode("full_text").alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
+    return X.unfold(docs).groupBy("term").agg(F.count("*").alias("tf"))
 
 
 def build_vocab(docs: DataFrame, vocab_size: int = 30_000, min_freq: int = 3) -> DataFrame:
@@ -35,7 +35,7 @@ def bounded(vocab: DataFrame, size: int) -> DataFrame:
 
 def doc_term_counts(docs: DataFrame, terms: str = "full_text") -> DataFrame:
     """`(doc_id, term, tf)`. Documents already hashed by id are counted without a further shuffle."""
-    return docs.select("doc_id", F.explode(terms).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    return X.unfold(docs, "doc_id", tokens=terms).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
 def gram_counts(docs: DataFrame, ngram: tuple[int, int]) -> DataFrame:

@@ -138,7 +138,7 @@ ORACLES: dict[str, str] = {
     "label_ids": f"WITH {DOCS}, {LABELLED} SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS label_id FROM (SELECT DISTINCT label FROM labelled)",
     "frequent_classes": f"WITH {DOCS}, {LABELLED} SELECT label, doc_id FROM labelled QUALIFY count(*) OVER (PARTITION BY label) >= 78",
     "strat_split": f"WITH {DOCS}, {LABELLED}, {SPLIT} SELECT doc_id, label, split FROM split",
-    "split_manifest": f"WITH {DOCS}, {LABELLED}, {SPLIT} SELECT count(*) AS n_docs, count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'valid') AS n_valid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, CAST(50 AS INTEGER) AS min_docs, CAST(0.2 AS DOUBLE) AS val_ratio, CAST(42 AS INTEGER) AS seed FROM split",
+    "split_manifest": f"WITH {DOCS}, {LABELLED}, {SPLIT} SELECT count(*) AS n_docs, count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'valid') AS n_valid, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, CAST(50 AS INTEGER) AS min_docs, CAST(0.2 AS DOUBLE) AS val_ratio, CAST(42 AS INTEGER) AS seed FROM split",
     "file_limit": f"WITH {DOCS} SELECT batch, doc_id FROM docs WHERE len(full_text) > 0 QUALIFY row_number() OVER (PARTITION BY batch ORDER BY doc_id) <= 20",
     "corpus_limit": f"WITH {DOCS} SELECT doc_id, rights_year FROM docs WHERE len(full_text) > 0 ORDER BY doc_id LIMIT 300",
     "doc_text_for_ids": f"WITH {DOCS} SELECT e.vec_id * 3 AS doc_id, docs.doc_id IS NOT NULL AS found, md5(coalesce(array_to_string(full_text, ' '), '')) AS text_md5 FROM embeddings e LEFT JOIN docs ON docs.doc_id = e.vec_id * 3",
@@ -170,16 +170,16 @@ SELECT topic, CASE WHEN topic < 0 THEN -1 ELSE CAST(row_number() OVER (ORDER BY
     + ", ".join(f"round(max(prevalence) FILTER (WHERE topic = {t}), 6) AS t{t}" for t in range(9))
     + " FROM hard GROUP BY rights_year",
     "timeline_unpivot": f"WITH {HARD} SELECT rights_year, topic, round(prevalence, 6) AS prevalence FROM hard",
-    "timeline_stats": f"WITH {HARD}, {STATS} SELECT topic, round(mean_prevalence, 6) AS mean_prevalence, peak_year, first_year, last_year, first_active_year, last_active_year FROM stats JOIN peaks USING (topic)",
+    "timeline_stats": f"WITH {HARD}, {STATS} SELECT topic, round(mean_prevalence + 1e-9, 6) AS mean_prevalence, peak_year, first_year, last_year, first_active_year, last_active_year FROM stats JOIN peaks USING (topic)",
     "gloss_left_join": f"""WITH {TOPIC_WORDS}, {HARD.replace(ASSIGNED + ',', '')}, {STATS},
 sizes AS (SELECT topic, count(*) AS doc_count FROM assigned GROUP BY topic),
 info AS (SELECT topic, any_value(doc_count) AS doc_count, topic || '_' || string_agg(term, '_' ORDER BY rank) FILTER (WHERE rank <= 4) AS topic_name,
   string_agg(term, ', ' ORDER BY rank) FILTER (WHERE rank <= 8) AS top_words FROM sizes JOIN words USING (topic) GROUP BY topic)
-SELECT topic AS topic_id, doc_count, topic_name, top_words, round(mean_prevalence, 6) AS mean_prevalence, peak_year, first_year, last_year
+SELECT topic AS topic_id, doc_count, topic_name, top_words, round(mean_prevalence + 1e-9, 6) AS mean_prevalence, peak_year, first_year, last_year
 FROM info LEFT JOIN (SELECT * FROM stats JOIN peaks USING (topic)) USING (topic)""",
     "lda_gloss_join": f"""WITH {TOPIC_WORDS}, {HARD.replace(ASSIGNED + ',', '')}, {STATS},
 g AS (SELECT topic, string_agg(term, ', ' ORDER BY rank) AS top_words FROM words WHERE rank <= 5 AND topic >= 0 GROUP BY topic)
-SELECT topic AS topic_id, top_words, round(mean_prevalence, 6) AS mean_prevalence, peak_year, first_year, last_year
+SELECT topic AS topic_id, top_words, round(mean_prevalence + 1e-9, 6) AS mean_prevalence, peak_year, first_year, last_year
 FROM g LEFT JOIN (SELECT * FROM stats JOIN peaks USING (topic)) USING (topic)""",
     "timeline_soft": f"WITH {SOFT} SELECT rights_year, topic, round(avg(p), 6) AS prevalence FROM soft WHERE rights_year IS NOT NULL GROUP BY rights_year, topic",
     "argmax_topic": f"WITH {SOFT} SELECT doc_id, topic AS top_topic FROM soft QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, topic) = 1",
@@ -192,11 +192,11 @@ SELECT reform, topic, round(before, 6) AS before, round(after, 6) AS after, roun
     "hash_embed_docs": f"""WITH {DOCS}, {_windows(256, 200)},
 t AS (SELECT doc_id, win_no, len(tokens) AS n, unnest(tokens) AS t FROM windows),
 h AS (SELECT doc_id, win_no, n, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) AS h FROM t),
-w AS (SELECT doc_id, win_no, n, h % 64 AS dim, sum(CASE WHEN (h // 64) % 2 = 0 THEN 1.0 ELSE -1.0 END) / n AS s FROM h GROUP BY ALL),
+w AS (SELECT doc_id, win_no, h % 64 AS dim, sum(CASE WHEN (h // 64) % 2 = 0 THEN CAST(1 AS DOUBLE) ELSE -1 END) / any_value(n) AS s FROM h GROUP BY doc_id, win_no, h % 64),
 cnt AS (SELECT doc_id, count(*) AS nw FROM windows GROUP BY doc_id),
 d AS (SELECT doc_id, dim, sum(s) AS s FROM w GROUP BY ALL),
 grid AS (SELECT doc_id, nw, unnest(range(64)) AS dim FROM cnt)
-SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(coalesce(s, 0) / nw, 6) AS x FROM grid LEFT JOIN d USING (doc_id, dim)""",
+SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(coalesce(s, 0) / nw + 1e-9, 6) AS x FROM grid LEFT JOIN d USING (doc_id, dim)""",
     "knn_exact": f"WITH {VOTES} SELECT doc_id, nbr, rank, round(dist, 6) AS dist FROM near WHERE rank <= 5",
     "knn_euclidean": """WITH l AS (SELECT vec_id, label, unnest(range(64)) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings),
 c AS (SELECT label, i, avg(x) AS c FROM l GROUP BY ALL),

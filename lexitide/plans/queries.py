@@ -157,8 +157,8 @@ def count_vectors(spark, sf):
     return vocab.count_vectors(docs, vocab.build_vocab(docs, 1000, 3), 1000)
 
 
-def _time_split(spark, sf):
-    return splits.stratified_split(documents.label_decade(C.texts(spark, sf)))
+def _time_split(spark, sf, min_docs=50):
+    return splits.stratified_split(documents.label_decade(C.texts(spark, sf)), min_docs)
 
 
 def _tfidf(spark, sf, max_features, ngram):
@@ -237,7 +237,7 @@ def timeline_unpivot(spark, sf):
 @query
 def timeline_stats(spark, sf):
     stats = timelines.timeline_stats(timelines.timeline_hard(C.assigned(spark, sf)))
-    return stats.withColumn("mean_prevalence", F.round("mean_prevalence", 6))
+    return stats.withColumn("mean_prevalence", F.round(F.col("mean_prevalence") + 1e-9, 6))
 
 
 @query
@@ -245,14 +245,14 @@ def gloss_left_join(spark, sf):
     assigned = C.assigned(spark, sf)
     info = topics.topic_info(assigned, _topic_words(spark, sf))
     gloss = timelines.density_gloss(info, timelines.timeline_hard(assigned), 8)
-    return gloss.withColumn("mean_prevalence", F.round("mean_prevalence", 6))
+    return gloss.withColumn("mean_prevalence", F.round(F.col("mean_prevalence") + 1e-9, 6))
 
 
 @query
 def lda_gloss_join(spark, sf):
     words = _topic_words(spark, sf).where(F.col("topic") >= 0).withColumnRenamed("term", "word")
     gloss = timelines.lda_gloss(words, timelines.timeline_hard(C.assigned(spark, sf)), 5)
-    return gloss.withColumn("mean_prevalence", F.round("mean_prevalence", 6))
+    return gloss.withColumn("mean_prevalence", F.round(F.col("mean_prevalence") + 1e-9, 6))
 
 
 def _soft(spark, sf):
@@ -324,7 +324,9 @@ def embedding_mean(spark, sf):
 @query
 def hash_embed_docs(spark, sf):
     made = V.embed_documents(C.tokens(spark, sf, hashed=True), V.HashingEncoder(64), 256, 200, hashed=True)
-    return made.select("doc_id", F.posexplode("embedding").alias("dim", "x")).select("doc_id", "dim", r6("x"))
+    long = made.select("doc_id", F.posexplode("embedding").alias("dim", "x"))
+    # short fractions such as 1/640 sit on a rounding boundary; the offset moves them off it
+    return long.select("doc_id", "dim", F.round(F.col("x") + 1e-9, 6).alias("x"))
 
 
 @query
@@ -458,12 +460,12 @@ def model_metrics(spark, sf):
 
 @query
 def lr_predictions(spark, sf):
-    return classify.baselines(_time_split(spark, sf), 2000, 2, (1, 1), models=("lr",), max_iter=100)[0]
+    return classify.baselines(_time_split(spark, sf, 5), 2000, 2, (1, 1), models=("lr",), max_iter=100)[0]
 
 
 @query
 def mlp_predictions(spark, sf):
-    return classify.baselines(_time_split(spark, sf), 2000, 2, (1, 1), models=("mlp",), hidden=32, mlp_features=500)[0]
+    return classify.baselines(_time_split(spark, sf, 5), 2000, 2, (1, 1), models=("mlp",), hidden=32, mlp_features=500)[0]
 
 
 def _vector_split(spark, sf):
