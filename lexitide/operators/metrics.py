@@ -29,7 +29,7 @@ def confusion(preds: DataFrame, tag: str | None = None, labels: list[str] | None
         F.map_from_entries(F.collect_list(F.struct(cell, "n"))).alias("cells"), F.array_sort(seen).alias("labels")
     )
     if labels is not None:
-        model = model.withColumn("labels", F.array(*[F.lit(x) for x in labels]))
+        model = model.withColumn("labels", F.array(*[F.lit(str(x)) for x in labels]))
     grid = model.select("tag", "cells", "labels", F.explode("labels").alias("y_true"))
     grid = grid.select("tag", "cells", "y_true", F.explode("labels").alias("y_pred"))
     n = F.coalesce(F.try_element_at("cells", F.struct("y_true", "y_pred")), F.lit(0).cast("bigint"))
@@ -79,9 +79,17 @@ def summary(preds: DataFrame, tag: str | None = None) -> DataFrame:
     )
 
 
-def class_report(preds: DataFrame, tag: str | None = None) -> DataFrame:
-    """Per-class rows plus `accuracy`, `macro avg` and `weighted avg`."""
+def class_report(preds: DataFrame, tag: str | None = None, labels: list[str] | None = None) -> DataFrame:
+    """Per-class rows plus `accuracy`, `macro avg` and `weighted avg`.
+
+    `labels` fixes the rows, with zeros for a label that was neither true nor predicted; the averages
+    are over those rows. By default all labels seen are reported.
+    """
     scores = class_scores(preds, tag)
+    if labels is not None:
+        names = F.explode(F.array(*[F.lit(str(x)) for x in labels])).alias("label")
+        grid = scores.select("tag").distinct().select("tag", names)
+        scores = grid.join(scores, ["tag", "label"], "left").na.fill(0)
     total = F.sum("support")
 
     def weighted(c):
@@ -104,14 +112,16 @@ def class_report(preds: DataFrame, tag: str | None = None) -> DataFrame:
     return scores.drop("hits").unionByName(tail)
 
 
-def metrics_document(preds: DataFrame, tag: str | None = None) -> DataFrame:
+def metrics_document(preds: DataFrame, tag: str | None = None, labels: list[str] | None = None) -> DataFrame:
     """One row per model with accuracy, macro-F1, labels and the report as a map."""
-    report = class_report(preds, tag).groupBy("tag").agg(
+    report = class_report(preds, tag, labels).groupBy("tag").agg(
         F.map_from_entries(
             F.collect_list(F.struct("label", F.struct("precision", "recall", F.col("f1").alias("f1-score"), "support")))
         ).alias("report")
     )
     names = class_scores(preds, tag).groupBy("tag").agg(F.array_sort(F.collect_list("label")).alias("labels"))
+    if labels is not None:
+        names = names.withColumn("labels", F.array(*[F.lit(str(x)) for x in labels]))
     return summary(preds, tag).join(names, "tag").join(report, "tag")
 
 

@@ -42,12 +42,22 @@ def add_row_index(df: DataFrame, order_col: str, by: str | None = None, index_co
 
 
 def corpus_limit(df: DataFrame, n: int, order_col: str = "doc_id") -> DataFrame:
-    """The first n rows by `order_col`; n <= 0 keeps all (K1)."""
+    """The first n rows by `order_col`; n <= 0 keeps all (K1).
+
+    A large n is not sorted into one task: numbers are cut by position, other keys by a seeded hash order.
+    """
     if n <= 0:
         return df
     if n <= 10_000:
         return df.orderBy(order_col).limit(n)
-    return add_row_index(df, order_col).where(F.col("row_idx") < n).drop("row_idx")
+    if df.schema[order_col].dataType.typeName() in ("byte", "short", "integer", "long", "float", "double"):
+        return add_row_index(df, order_col).where(F.col("row_idx") < n).drop("row_idx")
+    cut = hash_cut(df.withColumn("_all", F.lit(0)), "_all", order_col, F.least(F.lit(n), F.col("n")), 0).first()
+    if cut is None:
+        return df
+    h = seeded_hash(order_col, 0)
+    first = (h < cut["cut_hash"]) | ((h == cut["cut_hash"]) & (F.col(order_col) <= cut["cut_key"]))
+    return df.where(first)
 
 
 def limit_per_group(df: DataFrame, by: str, order_col: str, n: int) -> DataFrame:

@@ -19,7 +19,7 @@ def timeline_soft(doc_topics: DataFrame, dist_col: str = "dist") -> DataFrame:
     """
     yearly = doc_topics.where(F.col("rights_year").isNotNull()).groupBy("rights_year")
     means = yearly.agg(mean_vector(F.col(dist_col)).alias("means"))
-    return means.select("rights_year", F.posexplode("means").alias("topic", "prevalence"))
+    return X.unfold_at(means, "rights_year", tokens="means", names=("topic", "prevalence"))
 
 
 def timeline_hard(assigned: DataFrame, topic_col: str = "topic") -> DataFrame:

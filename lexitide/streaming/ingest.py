@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lexitide.functions import text as X
 from lexitide.operators.vectors import embed_documents
 from lexitide.schemas import DOC
 from lexitide.sources.jsonl import documents
 
 
 def stream_batches(spark: SparkSession, path: str, max_files: int = 16) -> DataFrame:
-    """Lines of batch files as they arrive, in the shape of `sources.jsonl.raw_batches`."""
+    """Lines of batch files as they arrive, with their batch."""
     raw = (
         spark.readStream.schema(DOC)
         .option("mode", "PERMISSIVE")
@@ -22,7 +23,7 @@ def stream_batches(spark: SparkSession, path: str, max_files: int = 16) -> DataF
         .json(path)
     )
     name = F.regexp_replace(F.col("_metadata.file_name"), r"\.jsonl(\.gz)?$", "")
-    return raw.select("*", name.alias("batch"), F.monotonically_increasing_id().alias("line_no"))
+    return raw.select("*", name.alias("batch"))
 
 
 def ingest(
@@ -36,7 +37,7 @@ def ingest(
     """
 
     def write(frame: DataFrame, _epoch: int) -> None:
-        docs = documents(frame).persist()
+        docs = documents(frame.withColumn("line_no", F.monotonically_increasing_id())).persist()
         _replace(docs, store)
         if vectors:
             made = embed_documents(docs, encoder, window, stride)
@@ -53,7 +54,7 @@ def _replace(df: DataFrame, path: str) -> None:
 
 def yearly_counts(spark: SparkSession, path: str, name: str, checkpoint: str, max_files: int = 16) -> StreamingQuery:
     """Documents per year over all files seen so far, kept as the in-memory table `name`."""
-    docs = documents(stream_batches(spark, path, max_files))
-    counts = docs.groupBy("rights_year").agg(F.count("*").alias("n"))
+    docs = stream_batches(spark, path, max_files).where(F.size("full_text") > 0)
+    counts = docs.groupBy(X.year_of(F.col("rights_year")).alias("rights_year")).agg(F.count("*").alias("n"))
     query = counts.writeStream.outputMode("complete").format("memory").queryName(name)
     return query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
