@@ -14,6 +14,7 @@ from lexitide.functions import text as X
 from lexitide.operators import classify, clustering, documents, metrics, neighbors, ranking, splits, timelines, topics, vocab
 from lexitide.operators.vectors import embed_documents
 from lexitide.schemas import NoLabelledRows
+from lexitide.session import cut_lineage
 from lexitide.sources import jsonl, stores
 from lexitide.sources.stores import join_path as path_in
 
@@ -128,10 +129,10 @@ def density_topics(
     docs = jsonl.read_docs(spark, batches_dir)
     texts = documents.texts_for_ids(stored.select("doc_id"), docs).select("doc_id", F.split("text", " ").alias("full_text"))
     found = neighbors.density_topics(stored, n_components, min_cluster_size, min_samples, eps)
-    assigned = found.select("doc_id", "rights_year", "topic").persist()
+    assigned = cut_lineage(found.select("doc_id", "rights_year", "topic"))
     with_text = assigned.select("doc_id", "topic").join(texts.where(F.col("full_text")[0] != ""), "doc_id")
     if nr_topics is not None:
-        merged = topics.merge_topics(assigned, with_text, nr_topics).persist()
+        merged = cut_lineage(topics.merge_topics(assigned, with_text, nr_topics))
         with_text = merged.select("doc_id", "topic").join(with_text.drop("topic"), "doc_id")
         assigned = merged
     info = topics.topic_info(assigned, topics.class_tfidf(with_text, "topic", top_n)).persist()

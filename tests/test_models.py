@@ -388,7 +388,7 @@ def test_unseen_label_is_an_error(spark):
 
 def vector_rows(spark):
     rng = np.random.default_rng(0)
-    rows = [(i, "p" if i % 2 else "q", "valid" if i % 4 == 0 or i % 4 == 1 else "train", [float(i % 2) * 3 + x for x in rng.normal(size=3) * 0.2]) for i in range(80)]
+    rows = [(i, "p" if i % 2 else "q", "valid" if i % 4 == 0 or i % 4 == 1 else "train", [float(i % 2) * 3 + float(x) for x in rng.normal(size=3) * 0.2]) for i in range(80)]
     return spark.createDataFrame(rows, "doc_id INT, label STRING, split STRING, embedding ARRAY<DOUBLE>")
 
 
