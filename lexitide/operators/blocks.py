@@ -49,6 +49,12 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(sq, 0.0))
 
 
+def chunks(v: pd.Series, size: int = 1024) -> Iterator[np.ndarray]:
+    """Vectors of a batch as matrices of at most `size` rows, which bounds their distances to all pivots."""
+    for lo in range(0, len(v), size):
+        yield np.stack(v.iloc[lo : lo + size].to_numpy()).astype(np.float64)
+
+
 def matrix(flat, n: int) -> np.ndarray:
     return np.asarray(flat, dtype=np.float64).reshape(n, -1)
 
@@ -76,9 +82,12 @@ def assign_cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
 
     @F.pandas_udf("cell INT, reach DOUBLE")
     def nearest(v: pd.Series) -> pd.DataFrame:
-        d = distances(np.stack(v.to_numpy()), pivots)
-        c = d.argmin(axis=1)
-        return pd.DataFrame({"cell": c.astype(np.int32), "reach": d[np.arange(len(c)), c]})
+        parts = []
+        for x in chunks(v):
+            d = distances(x, pivots)
+            c = d.argmin(axis=1)
+            parts.append(pd.DataFrame({"cell": c.astype(np.int32), "reach": d[np.arange(len(c)), c]}))
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"cell": [], "reach": []})
 
     return rows.withColumn("_c", nearest("v")).select("*", "_c.cell", "_c.reach").drop("_c")
 
@@ -117,13 +126,14 @@ def near_cells(rows: DataFrame, cells: Cells, reach) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            wanted = reach(distances(np.stack(pdf["v"].to_numpy()), pivots))
-            owner = pdf["block"].to_numpy()
-            for b in np.unique(owner):
-                hit = np.flatnonzero(wanted[owner == b].any(axis=0))
-                yield pd.DataFrame({"qblock": b, "cell": hit.astype(np.int32)})
+            at = 0
+            for x in chunks(pdf["v"]):
+                wanted = reach(distances(x, pivots))
+                owner = pdf["block"].to_numpy()[at : at + len(x)]
+                at += len(x)
+                for b in np.unique(owner):
+                    hit = np.flatnonzero(wanted[owner == b].any(axis=0))
+                    yield pd.DataFrame({"qblock": b, "cell": hit.astype(np.int32)})
 
     return rows.select("block", "v").mapInPandas(run, "qblock BIGINT, cell INT").distinct()
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from lexitide.session import broadcast_if_small
 
@@ -41,6 +42,10 @@ def add_row_index(df: DataFrame, order_col: str, by: str | None = None, index_co
     )
 
 
+def is_number(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, NumericType)
+
+
 def corpus_limit(df: DataFrame, n: int, order_col: str = "doc_id") -> DataFrame:
     """The first n rows by `order_col`; n <= 0 keeps all (K1).
 
@@ -50,7 +55,7 @@ def corpus_limit(df: DataFrame, n: int, order_col: str = "doc_id") -> DataFrame:
         return df
     if n <= 10_000:
         return df.orderBy(order_col).limit(n)
-    if df.schema[order_col].dataType.typeName() in ("byte", "short", "integer", "long", "float", "double"):
+    if is_number(df, order_col):
         return add_row_index(df, order_col).where(F.col("row_idx") < n).drop("row_idx")
     cut = hash_cut(df.withColumn("_all", F.lit(0)), "_all", order_col, F.least(F.lit(n), F.col("n")), 0).first()
     if cut is None:
@@ -71,12 +76,18 @@ def limit_per_group(df: DataFrame, by: str, order_col: str, n: int) -> DataFrame
 
 
 def step_sample(df: DataFrame, order_col: str, cap: int = 50_000, target: int = 20_000, total: int | None = None) -> DataFrame:
-    """Above `cap` rows keep every max(1, N // target)-th row by position, else keep all."""
+    """Above `cap` rows keep every max(1, N // target)-th row by position, else keep all.
+
+    Numbers are in their own order, other keys in the order of their hash.
+    """
     n = df.count() if total is None else total
     step = max(1, n // target)
     if n <= cap or step == 1:
         return df
-    return add_row_index(df, order_col).where(F.col("row_idx") % step == 0).drop("row_idx")
+    if is_number(df, order_col):
+        return add_row_index(df, order_col).where(F.col("row_idx") % step == 0).drop("row_idx")
+    placed = add_row_index(df.withColumn("_pos", F.xxhash64(order_col)), "_pos")
+    return placed.where(F.col("row_idx") % step == 0).drop("row_idx", "_pos")
 
 
 def top_per_group(df: DataFrame, by: str, order: list[Column], n: int, rank_col: str = "rank") -> DataFrame:

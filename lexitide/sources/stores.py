@@ -15,8 +15,7 @@ def write_vectors(vectors: DataFrame, path: str, meta_path: str | None = None) -
     """Store `(doc_id, rights_year, embedding, batch)`; a re-run replaces only the batches it carries."""
     require_columns(vectors, ["doc_id", "rights_year", "embedding", "batch"])
     out = vectors.withColumn("embedding", F.col("embedding").cast("array<float>"))
-    overwrite = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch")
-    overwrite.parquet(path)
+    replace_batches(out, path)
     if meta_path:
         stored = vectors.sparkSession.read.parquet(path)
         batches = vectors.select("batch").distinct()
@@ -31,6 +30,12 @@ def write_vectors(vectors: DataFrame, path: str, meta_path: str | None = None) -
         )
 
 
+def replace_batches(df: DataFrame, path: str) -> None:
+    """Overwrite the batches in `df`, nothing else. Rebalancing gives few files per batch and splits a large one."""
+    even = df.hint("rebalance", "batch")
+    even.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     """All stored batches, with the file each row came from."""
     return spark.read.parquet(path).withColumn("source_file", F.col("_metadata.file_name"))
@@ -139,7 +144,7 @@ def write_matrix(df: DataFrame, path: str) -> None:
 
 
 def write_split(labelled: DataFrame, path: str) -> None:
-    labelled.write.mode("overwrite").partitionBy("split").parquet(path)
+    labelled.hint("rebalance", "split").write.mode("overwrite").partitionBy("split").parquet(path)
 
 
 def save_model(model, path: str) -> None:

@@ -10,6 +10,7 @@ from lexitide.functions import text as X
 from lexitide.operators.vectors import embed_documents
 from lexitide.schemas import DOC
 from lexitide.sources.jsonl import documents
+from lexitide.sources.stores import replace_batches
 
 
 def stream_batches(spark: SparkSession, path: str, max_files: int = 16) -> DataFrame:
@@ -38,20 +39,16 @@ def ingest(
 
     def write(frame: DataFrame, _epoch: int) -> None:
         docs = documents(frame.withColumn("line_no", F.monotonically_increasing_id())).persist()
-        _replace(docs, store)
+        replace_batches(docs, store)
         if vectors:
             made = embed_documents(docs, encoder, window, stride)
-            _replace(docs.select("doc_id", "rights_year", "batch").join(made, "doc_id"), vectors)
+            replace_batches(docs.select("doc_id", "rights_year", "batch").join(made, "doc_id"), vectors)
         docs.unpersist()
 
     query = stream_batches(spark, path, max_files).writeStream.foreachBatch(write)
     return query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _replace(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
-
-
 def yearly_counts(spark: SparkSession, path: str, name: str, checkpoint: str, max_files: int = 16) -> StreamingQuery:
     """Documents per year over all files seen so far, kept as the in-memory table `name`."""
     docs = stream_batches(spark, path, max_files).where(F.size("full_text") > 0)

@@ -192,3 +192,9 @@ def test_cooccurrence_against_brute_force(docs):
                 if i != j and abs(i - j) <= 2 and x != "q" and y != "q":
                     want[(x, y)] = want.get((x, y), 0) + 1
     assert got == want
+
+
+def test_step_sample_of_text_keys(spark):
+    df = spark.range(90).select(F.concat(F.lit("d"), "id").alias("doc_id"))
+    got = ranking.step_sample(df, "doc_id", cap=50, target=30)
+    assert got.count() == 30 == got.distinct().count()
