@@ -158,6 +158,9 @@ SELECT doc_id, term_idx, count(*) AS tf FROM t JOIN v USING (term) GROUP BY ALL"
     "tfidf_unigram": _tfidf(100_000, False),
     "tfidf_bigram": _tfidf(5_000, True),
     "ctfidf_decade": f"WITH {DOCS}, {LABELLED}, {_ctfidf('labelled', 'label')} SELECT label, rank, term, weight FROM words",
+    "ctfidf_role": r"WITH turns AS (SELECT role, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS full_text FROM conversations), "
+    + _ctfidf("turns", "role")
+    + " SELECT role, rank, term, weight FROM words",
     "topic_words": f"WITH {TOPIC_WORDS} SELECT topic, rank, term, weight FROM words",
     "gloss_words": f"WITH {TOPIC_WORDS} SELECT topic, string_agg(term, ', ' ORDER BY rank) AS top_words FROM words WHERE rank <= 8 GROUP BY topic",
     "topic_info": f"""WITH {TOPIC_WORDS}, sizes AS (SELECT topic, count(*) AS doc_count FROM assigned GROUP BY topic)

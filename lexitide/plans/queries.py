@@ -185,6 +185,13 @@ def ctfidf_decade(spark, sf):
     return words.select("label", "rank", "term", "weight")
 
 
+@query
+def ctfidf_role(spark, sf):
+    """The most distinctive words of each role in the conversations."""
+    turns = C.table(spark, sf, "conversations").select("role", X.words(F.col("text")).alias("full_text"))
+    return topics.class_tfidf(turns, "role", 10).select("role", "rank", "term", "weight")
+
+
 # --- topics ----------------------------------------------------------------------------------------
 
 

@@ -37,8 +37,8 @@ def replace_batches(df: DataFrame, path: str) -> None:
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """All stored batches, with the file each row came from."""
-    return spark.read.parquet(path).withColumn("source_file", F.col("_metadata.file_name"))
+    """All stored batches, with the batch folder and file each row came from."""
+    return spark.read.parquet(path).withColumn("source_file", F.regexp_extract(F.col("_metadata.file_path"), "[^/]+/[^/]+$", 0))
 
 
 def check_vectors(vectors: DataFrame) -> DataFrame:
