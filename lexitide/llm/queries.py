@@ -26,6 +26,13 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexitide.llm.suffix_lm import score
+
+    scored = score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexitide.llm.word_bpe import encode_and_decode
 
@@ -48,4 +55,4 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_duplicate_passages(docs, texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_token_store, op4_word_bpe, op6_simhash, op9_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_token_store, op3_suffix_lm, op4_word_bpe, op6_simhash, op9_substring_dedup)}
