@@ -41,6 +41,15 @@ def op4_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexitide.llm.common import stored
+    from lexitide.llm.quality import judge_measured, measure
+
+    measured = measure(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    out = judge_measured(stored(measured, "measured"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexitide.llm.simhash import near_duplicates
 
@@ -48,6 +57,30 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexitide.llm.secret_scan import BASE, RULES, find_secrets, listing
+
+    kinds = tuple(r.kind for r in RULES)
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda s: s["kind"] < len(BASE))
+    counts = [(F.size("found") - F.size(F.array_remove(F.transform("found", lambda s: s["kind"]), k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(BASE)]
+    return found.select("doc_id", *counts, F.sha2(listing(base, kinds), 256).alias("base_sha256"), listing(F.col("found"), kinds).alias("spans"))
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexitide.llm.mixing import calibrate
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return calibrate(docs).select("doc_id", "source", "lang", "topic", F.col("tokens").alias("n_tokens"), "weight", "probability", "sampled")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexitide.llm.pii import BASE, find_personal_data
+
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[f"n_{k}" for k in BASE], "base_sha256", "spans")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexitide.llm.substring import remove_duplicate_passages
 
@@ -55,4 +88,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_duplicate_passages(docs, texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_token_store, op3_suffix_lm, op4_word_bpe, op6_simhash, op9_substring_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_embedding_near_dedup, op2_token_store, op3_suffix_lm, op4_word_bpe, op5_quality_rules, op6_simhash, op7_secret_scan, op8_source_mixing, op9_substring_dedup, op10_pii)
+}
