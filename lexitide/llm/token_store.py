@@ -19,6 +19,7 @@ a task names its file by attempt, so a repeated task never writes into another's
 from __future__ import annotations
 
 import math
+import sys
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -53,7 +54,8 @@ def _write_shard(batches: Iterator[pa.RecordBatch], folder: str, path: str, end:
     shard = context.partitionId()
     name = f"shard-{shard:05d}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}.bin"
     width = 2 if max(tokenizer(path).get_vocab_size(), end + 1) <= 65536 else 4
-    encode = piece_encoder(path)
+    encode = piece_encoder(path, width)
+    tail = end.to_bytes(width, sys.byteorder)
     fs, root = _open(folder)
     at, out = 0, None
     try:
@@ -61,10 +63,10 @@ def _write_shard(batches: Iterator[pa.RecordBatch], folder: str, path: str, end:
             for part in slices(batch, "text"):
                 if out is None:
                     out = fs.open_output_stream(f"{root}/{name}")
-                ids = encode(t or "" for t in part.column("text").to_pylist())
-                sizes = np.array([len(i) + 1 for i in ids], np.int64)
-                tail = np.array([end], np.uint32)
-                out.write(np.concatenate([x for i in ids for x in (i, tail)]).astype(f"<u{width}").tobytes())
+                ids = [encode(t) + tail for t in part.column("text").to_pylist()]
+                sizes = np.array([len(i) // width for i in ids], np.int64)
+                raw = np.frombuffer(b"".join(ids), f"u{width}")
+                out.write(raw.astype(f"<u{width}", copy=False).tobytes())
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("copy"), pa.array(np.full(n, shard, np.int32)), pa.array([name] * n), pa.array(at + np.cumsum(sizes) - sizes), pa.array(sizes), pa.array(np.full(n, width, np.int32))],

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -12,7 +13,7 @@ import numpy as np
 _LETTER, _DIGIT, _SPACE = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\t-\r \u0085 "
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^{_SPACE}{_LETTER}{_DIGIT}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _ODD = re.compile("[^\u0000-ɏ‐-‧‰-⁞€]")
-KEPT = 400_000  # pieces that a task remembers before it starts anew
+KEPT = 500_000  # pieces in each of the two generations that a worker remembers
 
 
 @lru_cache(maxsize=4)
@@ -27,40 +28,42 @@ def tokenizer(path: str):
 
 
 def encode_words(path: str, words: list[str]) -> list[list[int]]:
-    out: list[list[int]] = []
-    for i in range(0, len(words), 4096):
-        out += [e.ids for e in tokenizer(path).encode_batch_fast(words[i : i + 4096], add_special_tokens=False)]
-    return out
+    encode = tokenizer(path).encode
+    return [encode(w, add_special_tokens=False).ids for w in words]
 
 
-def piece_encoder(path: str) -> Callable[[Iterable[str]], list[np.ndarray]]:
-    """Encode texts as the byte-level tokenizer of `path` does, calling it once for each new piece.
+class _Pieces(dict):
+    """Ids of pieces as bytes, found with the tokenizer when first asked for; seldom used ones are forgotten."""
 
-    Such tokenizers merge within pieces only. Texts that hold an added token or characters outside the plain ranges go to
-    the tokenizer whole, so their split never depends on this module's rule.
+    def __init__(self, path: str, code: str):
+        self.encode, self.code, self.older = tokenizer(path).encode, code, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
+            found = array(self.code, self.encode(piece, add_special_tokens=False).ids).tobytes()
+        if len(self) >= KEPT:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = found
+        return found
+
+
+@lru_cache(maxsize=4)
+def piece_encoder(path: str, width: int) -> Callable[[str], bytes]:
+    """Encode a text as the byte-level tokenizer of `path` does, to native ids of `width` bytes; calls it per new piece.
+
+    Such tokenizers merge within pieces only. A text that holds an added token or a character outside the plain ranges
+    goes to the tokenizer whole, so its split never depends on this module's rule.
     """
     added = [t.content for t in tokenizer(path).get_added_tokens_decoder().values()]
-    index: dict[str, int] = {}
-    pool = {"ids": np.zeros(0, np.uint32), "start": np.zeros(1, np.int64)}
-
-    def encode(texts: Iterable[str]) -> list[np.ndarray]:
-        texts = list(texts)
-        odd = [bool(_ODD.search(t)) or any(a in t for a in added) for t in texts]
-        split = [[] if o else _PIECE.findall(t) for o, t in zip(odd, texts, strict=True)]
-        fresh = {p for s in split for p in s if p not in index}
-        if len(index) + len(fresh) > KEPT:
-            index.clear()
-            pool.update(ids=np.zeros(0, np.uint32), start=np.zeros(1, np.int64))
-            fresh = {p for s in split for p in s}
-        if fresh:
-            fresh = list(fresh)
-            found = encode_words(path, fresh)
-            index.update(zip(fresh, range(len(index), len(index) + len(fresh)), strict=True))
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            pool["start"] = np.r_[pool["start"], pool["start"][-1] + np.cumsum(sizes)]
-            pool["ids"] = np.r_[pool["ids"], np.fromiter((i for f in found for i in f), np.uint32, int(sizes.sum()))]
-        whole = iter(encode_words(path, [t for o, t in zip(odd, texts, strict=True) if o]))
-        return [np.array(next(whole), np.uint32) if o else gather(pool["ids"], pool["start"], np.fromiter(map(index.__getitem__, s), np.int64, len(s))) for o, s in zip(odd, split, strict=True)]
+    code = next(c for c in "HIL" if array(c).itemsize == width)
+    pieces = _Pieces(path, code)
+
+    def encode(text: str) -> bytes:
+        if _ODD.search(text) or any(a in text for a in added):
+            return array(code, tokenizer(path).encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(pieces.__getitem__, _PIECE.findall(text)))
 
     return encode
 
