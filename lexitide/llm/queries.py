@@ -37,7 +37,7 @@ def op4_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexitide.llm.word_bpe import encode_and_decode
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = encode_and_decode(docs, public_tokenizers.path(WORD_BPE), payload=False)
+    out = encode_and_decode(docs, public_tokenizers.path(WORD_BPE), payload=())
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
@@ -53,7 +53,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexitide.llm.simhash import near_duplicates
 
-    found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = near_duplicates(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -18,12 +18,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexitide.llm.common import stored
+from lexitide.llm.common import row_key, stored
 from lexitide.operators.graph import connected_components
 
 SEGMENT_BITS = 4
@@ -49,15 +48,14 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], width: int, seed: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = pc.struct_field(batch.column("row"), "text")
-        values = np.array([fingerprint(t.as_py(), width, seed) for t in texts], np.uint64)
+        values = np.array([fingerprint(t.as_py(), width, seed) for t in batch.column("text")], np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(values.view(np.int64))], ["row", "fp"])
 
 
-def with_fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """`docs` with the 64-bit fingerprint `fp` of `text`; a null or wordless text has 0."""
-    docs = docs.drop("fp")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+def with_fingerprints(docs: DataFrame, keep: list[str] | None = None, width: int = 3, seed: int = 42) -> DataFrame:
+    """The columns `keep` of `docs` (by default all) with the 64-bit fingerprint `fp` of `text`, 0 without words."""
+    keep = [c for c in (keep or docs.columns) if c != "fp"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), "text")
     schema = f"row {rows.schema['row'].dataType.simpleString()}, fp LONG"
     return rows.mapInArrow(lambda it: _fingerprints(it, width, seed), schema).select("row.*", "fp")
 
@@ -72,7 +70,9 @@ def _cells(fp: Column) -> Column:
 
 def links(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """`(a, b)` over distinct `fp` at most two bits apart: every link of sparse cells, a star for crowded ones."""
-    cells = fps.select("fp", F.explode(_cells(F.col("fp"))).alias("cell"))
+    # few bytes before the unfolding, many after: spread by number, not by size
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    cells = spread.select("fp", F.explode(_cells(F.col("fp"))).alias("cell"))
     sizes = cells.groupBy("cell").count().where("count > 1")
     met = stored(cells.join(sizes, "cell"), "cells")
     sparse = met.where(F.col("count") <= crowded).select("cell", "fp")
@@ -86,16 +86,34 @@ def links(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """`docs` with `fp` and `component_id`, the smallest `doc_id` reachable over fingerprints at most two bits apart.
-
-    Null and wordless texts share the fingerprint 0 and link like any other. A null `doc_id` never names a group unless
-    no member has an id. Rows that repeat are one more member each. Columns of `docs` called `fp` or `component_id` are
-    replaced; an empty table gives an empty result.
-    """
-    rows = stored(with_fingerprints(docs.drop("component_id"), width, seed), "fingerprints")
+def with_groups(rows: DataFrame) -> DataFrame:
+    """`rows(doc_id, fp)` with `root`, one fingerprint of the row's group, and `component_id`, the group's smallest id."""
     fps = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
     groups = connected_components(links(fps.select("fp"))).withColumnRenamed("id", "fp")
     rooted = stored(fps.join(groups, "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("root")), "groups")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(*rows.columns, "component_id")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select(*rows.columns, "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, keep: list[str] | None = None, width: int = 3, seed: int = 42) -> DataFrame:
+    """`docs` (or its columns `keep`) with `fp` and `component_id`, the smallest `doc_id` reachable over fingerprints at most two bits apart.
+
+    Null and wordless texts share the fingerprint 0 and link like any other. A null `doc_id` never names a group unless
+    no member has an id. Rows that repeat are one more member each. Columns of `docs` called `fp`, `root` or
+    `component_id` are replaced; an empty table gives an empty result.
+    """
+    rows = stored(with_fingerprints(docs.drop("component_id", "root"), keep, width, seed), "fingerprints")
+    return with_groups(rows).drop("root")
+
+
+def one_of_each(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
+    """One row of each group of near copies: the one with the smallest id, of several the one with the smallest row hash.
+
+    Groups are found on ids, row hashes and fingerprints; texts move once, to be filtered. A null id is taken only if the
+    group has no other. Of equal rows one stays.
+    """
+    keyed = docs.withColumn("row_key", row_key(*docs.columns))
+    rows = stored(with_fingerprints(keyed, ["doc_id", "row_key"], width, seed), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
+    first = with_groups(rows).groupBy("root").agg(F.min(order).alias("first")).select("first.row_key")
+    return keyed.join(first, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*[f"`{c}`" for c in docs.columns])

@@ -76,7 +76,7 @@ def _encode_bucket(rows: pa.Table, path: str) -> pa.Table:
     return pa.table([pa.array(seen, pa.int64()), pa.array([bucket] * len(seen), pa.int32()), pa.array(answers, pa.binary())], ["chunk", "bucket", "found"])
 
 
-def _digest(batches: Iterator[pa.RecordBatch], path: str, buckets: int, payload: bool) -> Iterator[pa.RecordBatch]:
+def _digest(batches: Iterator[pa.RecordBatch], path: str, buckets: int, payload: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     t = tokenizer(path)
     pieces = [(t.id_to_token(i) or "").encode() for i in range(t.get_vocab_size())]
     for outer in batches:
@@ -95,7 +95,7 @@ def _digest(batches: Iterator[pa.RecordBatch], path: str, buckets: int, payload:
             decoded = [b" ".join(spelt[a:b]) for a, b in zip(bounds, bounds[1:])]
             place = dict(zip(order, range(len(order)), strict=True))
             del spelt
-            for batch in held:
+            for batch in (b.slice(i, 256) for b in held for i in range(0, len(b), 256)):
                 out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
                 for text in texts(batch).to_pylist():
                     at = list(map(place.__getitem__, text.encode().split()))
@@ -105,17 +105,17 @@ def _digest(batches: Iterator[pa.RecordBatch], path: str, buckets: int, payload:
                     out["n_tokens"].append(len(mine) // 4)
                     out["ids_sha256"].append(hashlib.sha256(mine).hexdigest())
                     out["decoded_sha256"].append(hashlib.sha256(spelling).hexdigest())
-                    out["ids"].append(mine if payload else None)
-                    out["decoded"].append(spelling.decode() if payload else None)
+                    out["ids"].append(mine if "ids" in payload else None)
+                    out["decoded"].append(spelling.decode() if "decoded" in payload else None)
                 kinds = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
                 yield pa.RecordBatch.from_arrays([batch.column("row"), *[pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)]], ["row", *out])
 
 
-def encode_and_decode(docs: DataFrame, tokenizer_path: str, payload: bool = True) -> DataFrame:
+def encode_and_decode(docs: DataFrame, tokenizer_path: str, payload: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
     """`docs` with `n_tokens`, `ids_sha256`, `decoded_sha256`, `ids` and `decoded` added.
 
     `ids` are little-endian unsigned 32-bit integers of the whole text, as the tokenizer gives them without special
-    tokens, truncation or padding; `decoded` is its decoding of them. Both are null without `payload`. A null text is
+    tokens, truncation or padding; `decoded` is its decoding of them. Either is null unless `payload` names it. A null text is
     empty and has no ids. Columns of `docs` with these names are replaced; rows that repeat stay; an empty table gives
     an empty result. The tokenizer must have no decoder, as word-end vocabularies have none.
     """
