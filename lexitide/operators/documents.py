@@ -68,6 +68,13 @@ def texts_for_ids(ids: DataFrame, docs: DataFrame) -> DataFrame:
     return joined.withColumn("found", F.col("text").isNotNull()).withColumn("text", F.coalesce("text", F.lit("")))
 
 
+def tokens_for_ids(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """`(doc_id, full_text)` of every wanted id that has a token list; of several rows with one id the first one's."""
+    wanted = ids.select("doc_id").distinct()
+    there = docs.where(F.size("full_text") > 0).join(wanted, "doc_id", "left_semi")
+    return first_per_key(there, "doc_id", ["batch", "line_no"]).select("doc_id", "full_text")
+
+
 def filter_counts(docs: DataFrame) -> DataFrame:
     """Kept and skipped documents per batch plus the total under batch null."""
     kept = F.coalesce(F.size("full_text"), F.lit(0)) > 0

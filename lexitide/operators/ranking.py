@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from lexitide.session import broadcast_if_small
+from lexitide.session import broadcast_if_small, cut_lineage
 
 # Spark keeps only the first n rows of each group before the shuffle up to this n.
 GROUP_LIMIT = 1000
@@ -49,20 +49,25 @@ def is_number(df: DataFrame, name: str) -> bool:
 def corpus_limit(df: DataFrame, n: int, order_col: str = "doc_id") -> DataFrame:
     """The first n rows by `order_col`; n <= 0 keeps all (K1).
 
-    A large n is not sorted into one task: numbers are cut by position, other keys by a seeded hash order.
+    One method for every n and key type: the keys alone are dealt into ranges and counted, only the range that holds the
+    n-th row is ordered, and the rows are filtered by its key. Null keys come first; of rows that tie at the cut any may stay.
     """
     if n <= 0:
         return df
-    if n <= 10_000:
-        return df.orderBy(order_col).limit(n)
-    if is_number(df, order_col):
-        return add_row_index(df, order_col).where(F.col("row_idx") < n).drop("row_idx")
-    cut = hash_cut(df.withColumn("_all", F.lit(0)), "_all", order_col, F.least(F.lit(n), F.col("n")), 0).first()
-    if cut is None:
+    key = F.col(order_col)
+    keys = cut_lineage(df.select(key.alias("key")).repartitionByRange("key").withColumn("part", F.spark_partition_id()))
+    before = 0
+    for part in keys.groupBy("part").count().orderBy("part").collect():  # one row per range
+        if before + part["count"] >= n:
+            break
+        before += part["count"]
+    else:
         return df
-    h = seeded_hash(order_col, 0)
-    first = (h < cut["cut_hash"]) | ((h == cut["cut_hash"]) & (F.col(order_col) <= cut["cut_key"]))
-    return df.where(first)
+    cut = keys.where(F.col("part") == part["part"]).orderBy("key").limit(n - before).agg(F.max("key")).first()[0]
+    if cut is None:
+        return df.where(key.isNull()).limit(n)
+    less = keys.where(F.col("key").isNull() | (F.col("key") < F.lit(cut))).count()
+    return df.where(key.isNull() | (key < F.lit(cut))).unionByName(df.where(key == F.lit(cut)).limit(n - less))
 
 
 def limit_per_group(df: DataFrame, by: str, order_col: str, n: int) -> DataFrame:

@@ -127,10 +127,10 @@ def density_topics(
     """Topics from vectors: assignments, words, topic table and timeline. Returns the topic table."""
     stored = ranking.corpus_limit(stores.read_vectors(spark, path_in(emb_dir, "vectors")), max_docs).persist()
     docs = jsonl.read_docs(spark, batches_dir)
-    texts = documents.texts_for_ids(stored.select("doc_id"), docs).select("doc_id", F.split("text", " ").alias("full_text"))
+    texts = documents.tokens_for_ids(stored.select("doc_id"), docs)
     found = neighbors.density_topics(stored, n_components, min_cluster_size, min_samples, eps)
     assigned = cut_lineage(found.select("doc_id", "rights_year", "topic"))
-    with_text = assigned.select("doc_id", "topic").join(texts.where(F.col("full_text")[0] != ""), "doc_id")
+    with_text = assigned.select("doc_id", "topic").join(texts, "doc_id")
     if nr_topics is not None:
         merged = cut_lineage(topics.merge_topics(assigned, with_text, nr_topics))
         with_text = merged.select("doc_id", "topic").join(with_text.drop("topic"), "doc_id")
@@ -229,7 +229,7 @@ def train_baselines(
     models: Sequence[str] = ("lr", "mlp"),
     max_iter: int = 2000,
     hidden: int = 512,
-    mlp_features: int = classify.MLP_FEATURES,
+    mlp_features: int | None = None,
 ) -> DataFrame:
     """TF-IDF with logistic regression and MLP: models, metrics and confusion matrices. Returns the metrics."""
     split = stores.read_split(spark, path_in(dataset_dir, "dataset"))

@@ -33,17 +33,26 @@ def raw_batches(
         df = df.where(index >= start_batch)
     if end_batch is not None:
         df = df.where(index <= end_batch)
-    return df.select(
+    placed = df.select(
         "*",
         F.regexp_replace(F.col("_metadata.file_name"), r"\.jsonl(\.gz)?$", "").alias("batch"),
-        F.monotonically_increasing_id().alias("line_no"),
+        F.col("_metadata.file_path").alias("_file"),
     )
+    return with_line_numbers(placed)
+
+
+def with_line_numbers(lines: DataFrame) -> DataFrame:
+    """Replace `_file` by `line_no`, the place within the file, whatever files a task reads before it."""
+    placed = lines.withColumn("_place", F.monotonically_increasing_id())
+    # one row per file; an id of the line is read too, so that both reads parse the same lines
+    first = placed.groupBy("_file").agg(F.min(F.struct("_place", "doc_id")).alias("_first"))
+    return placed.join(first, "_file").withColumn("line_no", F.col("_place") - F.col("_first._place")).drop("_file", "_place", "_first")
 
 
 def documents(raw: DataFrame) -> DataFrame:
     """Rows with a non-empty token list, a parsed year and an id that is never null."""
     tokens = F.col("full_text")
-    # content-stable, so the id survives re-reads and never repeats across files
+    # from the file's name and the place in it, so the id is the same whatever else is read
     made_up = F.concat(F.lit("doc_"), F.sha2(F.concat_ws("\x1f", "batch", "line_no", X.joined(tokens)), 256))
     return raw.where(F.size(tokens) > 0).select(
         F.coalesce("doc_id", made_up).alias("doc_id"),

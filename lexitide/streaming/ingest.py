@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from lexitide.functions import text as X
 from lexitide.operators.vectors import embed_documents
 from lexitide.schemas import DOC
-from lexitide.sources.jsonl import documents
+from lexitide.sources.jsonl import documents, with_line_numbers
 from lexitide.sources.stores import replace_batches
 
 
@@ -24,7 +24,7 @@ def stream_batches(spark: SparkSession, path: str, max_files: int = 16) -> DataF
         .json(path)
     )
     name = F.regexp_replace(F.col("_metadata.file_name"), r"\.jsonl(\.gz)?$", "")
-    return raw.select("*", name.alias("batch"))
+    return raw.select("*", name.alias("batch"), F.col("_metadata.file_path").alias("_file"))
 
 
 def ingest(
@@ -38,12 +38,14 @@ def ingest(
     """
 
     def write(frame: DataFrame, _epoch: int) -> None:
-        docs = documents(frame.withColumn("line_no", F.monotonically_increasing_id())).persist()
+        lines = frame.persist()
+        docs = documents(with_line_numbers(lines)).persist()
         replace_batches(docs, store)
         if vectors:
             made = embed_documents(docs, encoder, window, stride)
             replace_batches(docs.select("doc_id", "rights_year", "batch").join(made, "doc_id"), vectors)
         docs.unpersist()
+        lines.unpersist()
 
     query = stream_batches(spark, path, max_files).writeStream.foreachBatch(write)
     return query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -198,3 +198,15 @@ def test_step_sample_of_text_keys(spark):
     df = spark.range(90).select(F.concat(F.lit("d"), "id").alias("doc_id"))
     got = ranking.step_sample(df, "doc_id", cap=50, target=30)
     assert got.count() == 30 == got.distinct().count()
+
+
+def test_corpus_limit_is_one_method_for_every_size(spark):
+    from lexitide.operators.ranking import corpus_limit
+
+    rows = spark.range(12_000).selectExpr("lpad(cast(id as string), 6, '0') AS doc_id", "id")
+    for n in (1, 9_999, 10_001):
+        got = [r["id"] for r in corpus_limit(rows, n).select("id").collect()]
+        assert sorted(got) == list(range(n))
+    ties = rows.selectExpr("CASE WHEN id < 3 THEN NULL WHEN id < 10 THEN 'a' ELSE 'b' END AS doc_id", "id")
+    assert sorted(r["id"] for r in corpus_limit(ties, 2).collect()) <= [0, 1, 2]
+    assert corpus_limit(ties, 5).count() == 5 and corpus_limit(ties, 50_000).count() == 12_000

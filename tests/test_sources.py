@@ -159,3 +159,24 @@ def test_stream_equals_batch_and_takes_only_new_files(spark, batches, tmp_path):
     ingest.yearly_counts(spark, batches, "yearly", str(tmp_path / "ck2"), 2).awaitTermination()
     got = {r["rights_year"]: r["n"] for r in spark.table("yearly").collect()}
     assert got == {r["rights_year"]: r["n"] for r in jsonl.read_docs(spark, batches).groupBy("rights_year").agg(F.count("*").alias("n")).collect()}
+
+
+def test_made_up_ids_depend_on_file_and_place_only(spark, tmp_path):
+    import gzip
+
+    from lexitide.sources import jsonl
+    from lexitide.streaming import ingest
+
+    for b in range(1, 4):
+        with gzip.open(tmp_path / f"batch_{b:02d}.jsonl.gz", "wt") as f:
+            f.writelines(f'{{"rights_year": 19{b}0, "full_text": ["same", "words"]}}\n' for _ in range(3))
+
+    def ids(df):
+        return {(r["batch"], r["line_no"]): r["doc_id"] for r in df.collect()}
+
+    whole = ids(jsonl.documents(jsonl.raw_batches(spark, str(tmp_path))))
+    part = ids(jsonl.documents(jsonl.raw_batches(spark, str(tmp_path), start_batch=2)))
+    assert len(set(whole.values())) == 9 and {n for _, n in whole} == {0, 1, 2}
+    assert part == {k: v for k, v in whole.items() if k[0] != "batch_01"}
+    ingest.ingest(spark, str(tmp_path), f"{tmp_path}/store", f"{tmp_path}/ck", max_files=1).awaitTermination()
+    assert {r["doc_id"] for r in spark.read.parquet(f"{tmp_path}/store").collect()} == set(whole.values())
