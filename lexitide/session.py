@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,21 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable on the executors, for sessions whose cluster doesn't have it installed.
+
+    Call it once, before the first operator that runs Python on executors.
+    """
+    import lexitide
+
+    home = pathlib.Path(lexitide.__file__).parent
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="lexitide-ship-")) / "lexitide.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(home.rglob("*.py")):
+            out.write(path, path.relative_to(home.parent))
+    spark.sparkContext.addPyFile(str(archive))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Directory for reliable checkpoints: the cluster's own setting, a fresh folder only in local mode."""
     sc = spark.sparkContext

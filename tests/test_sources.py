@@ -180,3 +180,25 @@ def test_made_up_ids_depend_on_file_and_place_only(spark, tmp_path):
     assert part == {k: v for k, v in whole.items() if k[0] != "batch_01"}
     ingest.ingest(spark, str(tmp_path), f"{tmp_path}/store", f"{tmp_path}/ck", max_files=1).awaitTermination()
     assert {r["doc_id"] for r in spark.read.parquet(f"{tmp_path}/store").collect()} == set(whole.values())
+
+
+def test_package_reaches_executors_from_elsewhere(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {home!r})
+from lexitide.session import local_session, ship_package
+spark = local_session(1, 2, "1g")
+ship_package(spark)
+def where(batches):
+    import lexitide.operators.blocks
+    for b in batches:
+        yield b
+assert spark.range(3).mapInArrow(where, "id LONG").count() == 3
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=120)
