@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexitide.functions import text as X
 from lexitide.operators import classify, clustering, documents, metrics, neighbors, ranking, splits, timelines, topics, vocab
-from lexitide.operators.vectors import embed_documents
+from lexitide.operators.vectors import embed_rows
 from lexitide.schemas import NoLabelledRows
 from lexitide.session import cut_lineage
 from lexitide.sources import jsonl, stores
@@ -33,12 +33,11 @@ def embed_batches(
     """Document vectors per batch; `max_docs` counts kept documents per file. Returns kept and skipped counts."""
     raw = jsonl.raw_batches(spark, batches_dir, start_batch, end_batch)
     docs = ranking.limit_per_group(jsonl.documents(raw), "batch", "line_no", max_docs).persist()
-    made = embed_documents(docs, encoder, window, stride)
-    out = docs.select("doc_id", "rights_year", "batch").join(made, "doc_id")
-    stores.write_vectors(out, path_in(out_dir, "vectors"), path_in(out_dir, "meta"))
-    docs.unpersist()
-    counts = jsonl.ingest_counts(raw)
+    out = embed_rows(docs.select("doc_id", "rights_year", "batch", "line_no", "full_text"), encoder, window, stride).drop("line_no")
+    stores.write_vectors(out, path_in(out_dir, "vectors"), path_in(out_dir, "meta"), docs.select("batch").distinct())
+    counts = jsonl.ingest_counts(raw, docs.select("batch", "line_no"), max_docs)
     stores.write_json(counts, path_in(out_dir, "run"))
+    docs.unpersist()
     return counts
 
 
@@ -46,12 +45,16 @@ def cluster_vectors(
     spark: SparkSession, emb_dir: str, out_dir: str, k: Sequence[int], max_iter: int = 300, n_init: int = 10, random_state: int = 42
 ) -> DataFrame:
     """k-means for each k: labels, centres and metrics with their source files."""
-    vectors = stores.read_vectors(spark, path_in(emb_dir, "vectors"))
+    vectors = stores.require_sound(stores.read_vectors(spark, path_in(emb_dir, "vectors")))
     labels, scores, centres = clustering.kmeans_sweep(vectors, k, max_iter, n_init, random_state)
     sources = stores.sources_of(vectors).first()["sources"]  # file names
     labels.write.mode("overwrite").partitionBy("k").parquet(path_in(out_dir, "labels"))
     centres.write.mode("overwrite").parquet(path_in(out_dir, "centres"))
     scored = scores.withColumn("sources", F.array(*[F.lit(s) for s in sources])).persist()
+    record = scored.agg(F.max("n_docs").alias("n_docs"), F.sort_array(F.collect_list("k")).alias("k"), F.first("sources").alias("sources"))
+    settings = {"max_iter": max_iter, "n_init": n_init, "random_state": random_state}
+    record = record.withColumns({c: F.lit(v) for c, v in settings.items()})
+    record.write.mode("overwrite").parquet(path_in(out_dir, "run"))  # no JSON: those are read as metrics
     for one in k:
         stores.write_json(scored.where(F.col("k") == one), path_in(out_dir, f"kmeans_k{one}_metrics"))
         stores.write_csv(labels.where(F.col("k") == one).drop("k"), path_in(out_dir, f"kmeans_k{one}_labels"))

@@ -128,6 +128,33 @@ def _terms(text: str) -> str:
     return rf"unnest(regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}_]{{2,}}'))"
 
 
+def _hash_embed() -> str:
+    return f"""{_windows(256, 200)},
+t AS (SELECT doc_id, win_no, len(tokens) AS n, unnest(tokens) AS t FROM windows),
+h AS (SELECT doc_id, win_no, n, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) AS h FROM t),
+w AS (SELECT doc_id, win_no, h % 64 AS dim, sum(CASE WHEN (h // 64) % 2 = 0 THEN CAST(1 AS DOUBLE) ELSE -1 END) / any_value(n) AS s FROM h GROUP BY doc_id, win_no, h % 64),
+cnt AS (SELECT doc_id, count(*) AS nw FROM windows GROUP BY doc_id),
+d AS (SELECT doc_id, dim, sum(s) AS s FROM w GROUP BY ALL),
+grid AS (SELECT doc_id, nw, unnest(range(64)) AS dim FROM cnt),
+embedded AS (SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(coalesce(s, 0) / nw + 1e-9, 6) AS x FROM grid LEFT JOIN d USING (doc_id, dim))"""
+
+
+# Facts of fitted models: what their output must be like, from the tables alone.
+def _predicted(labelled: str, order: str) -> str:
+    return f"""{labelled}, {SPLIT}
+SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n_docs, count(*) AS n_true, count(*) AS n_known, {order} FROM split WHERE split = 'valid'"""
+
+
+DOMAINS = f"""WITH {DOCS}, labelled AS (SELECT doc_id, full_text, domain AS label FROM docs WHERE domain IS NOT NULL AND len(full_text) > 0)"""
+QUADRANTS = """WITH labelled AS (SELECT vec_id AS doc_id, NULL AS full_text,
+  CASE WHEN embedding[1] > 0 THEN '+' ELSE '-' END || CASE WHEN embedding[2] > 0 THEN '+' ELSE '-' END AS label FROM embeddings)"""
+
+
+def _clustered(ks: str, more: str = "") -> str:
+    return f"""SELECT k, count(*) AS n_rows, count(DISTINCT vec_id) AS n_docs, count(*) AS n_nearest, CAST(k AS BIGINT) AS n_clusters, true AS inertia_close{more}
+FROM embeddings CROSS JOIN (SELECT CAST(unnest([{ks}]) AS INTEGER) AS k) GROUP BY k"""
+
+
 ORACLES: dict[str, str] = {
     "doc_projection": f"WITH {DOCS} SELECT doc_id, rights_year, domain, CAST(len(full_text) AS INTEGER) AS n_tokens, md5(array_to_string(full_text, ' ')) AS text_md5 FROM docs WHERE len(full_text) > 0",
     "doc_filter_counts": f"WITH {DOCS} SELECT count(*) FILTER (WHERE len(full_text) > 0) AS processed, count(*) FILTER (WHERE len(full_text) = 0) AS skipped FROM docs",
@@ -150,13 +177,13 @@ ORACLES: dict[str, str] = {
     "normalised_terms": "SELECT term, count(*) AS tf FROM (SELECT "
     + _terms("translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')")
     + " AS term FROM documents) WHERE term NOT IN ('the', 'of', 'and', 'de', 'la', 'der', 'die') GROUP BY term",
-    "vocab_topk": f"WITH c AS (SELECT term, count(*) AS tf FROM (SELECT {_terms('text')} AS term FROM documents) GROUP BY term) SELECT term, CAST(row_number() OVER (ORDER BY tf DESC, term) - 1 AS INTEGER) AS term_idx, tf FROM c WHERE tf >= 3 ORDER BY tf DESC, term LIMIT 2000",
+    "vocab_topk": f"WITH c AS (SELECT term, count(*) AS tf FROM (SELECT {_terms('text')} AS term FROM documents) GROUP BY term) SELECT term, CAST(row_number() OVER (ORDER BY tf DESC, term) - 1 AS INTEGER) AS term_idx, tf FROM c WHERE tf >= 3 ORDER BY tf DESC, term LIMIT 30000",
     "count_vectors": f"""WITH t AS (SELECT doc_id, {_terms('text')} AS term FROM documents),
-c AS (SELECT term, count(*) AS tf FROM t GROUP BY term HAVING count(*) >= 3 ORDER BY tf DESC, term LIMIT 1000),
+c AS (SELECT term, count(*) AS tf FROM t GROUP BY term HAVING count(*) >= 3 ORDER BY tf DESC, term LIMIT 30000),
 v AS (SELECT term, CAST(row_number() OVER (ORDER BY tf DESC, term) - 1 AS INTEGER) AS term_idx FROM c)
 SELECT doc_id, term_idx, count(*) AS tf FROM t JOIN v USING (term) GROUP BY ALL""",
     "tfidf_unigram": _tfidf(100_000, False),
-    "tfidf_bigram": _tfidf(5_000, True),
+    "tfidf_bigram": _tfidf(100_000, True),
     "ctfidf_decade": f"WITH {DOCS}, {LABELLED}, {_ctfidf('labelled', 'label')} SELECT label, rank, term, weight FROM words",
     "ctfidf_role": r"WITH turns AS (SELECT role, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS full_text FROM conversations), "
     + _ctfidf("turns", "role")
@@ -192,14 +219,11 @@ s AS (SELECT reform, topic, avg(prevalence) FILTER (WHERE rights_year < reform_y
 SELECT reform, topic, round(before, 6) AS before, round(after, 6) AS after, round(after - before, 6) AS shift FROM s""",
     "store_check": "SELECT vec_id % 8 AS batch, count(*) AS n_vectors, CAST(min(len(embedding)) AS INTEGER) AS min_dim, CAST(max(len(embedding)) AS INTEGER) AS max_dim, count(*) FILTER (WHERE vec_id IS NULL OR embedding IS NULL) AS n_incomplete FROM embeddings GROUP BY ALL",
     "embedding_mean": "WITH l AS (SELECT vec_id // 4 AS doc_id, unnest(range(64)) AS dim, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings) SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(avg(x), 6) AS x FROM l GROUP BY ALL",
-    "hash_embed_docs": f"""WITH {DOCS}, {_windows(256, 200)},
-t AS (SELECT doc_id, win_no, len(tokens) AS n, unnest(tokens) AS t FROM windows),
-h AS (SELECT doc_id, win_no, n, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) AS h FROM t),
-w AS (SELECT doc_id, win_no, h % 64 AS dim, sum(CASE WHEN (h // 64) % 2 = 0 THEN CAST(1 AS DOUBLE) ELSE -1 END) / any_value(n) AS s FROM h GROUP BY doc_id, win_no, h % 64),
-cnt AS (SELECT doc_id, count(*) AS nw FROM windows GROUP BY doc_id),
-d AS (SELECT doc_id, dim, sum(s) AS s FROM w GROUP BY ALL),
-grid AS (SELECT doc_id, nw, unnest(range(64)) AS dim FROM cnt)
-SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(coalesce(s, 0) / nw + 1e-9, 6) AS x FROM grid LEFT JOIN d USING (doc_id, dim)""",
+    "hash_embed_docs": f"WITH {DOCS}, {_hash_embed()} SELECT doc_id, dim, x FROM embedded",
+    "embed_repeated_ids": f"""WITH {DOCS.replace('docs AS', 'given AS')},
+docs AS (SELECT doc_id * 16 + batch AS doc_id, full_text FROM given UNION ALL SELECT doc_id * 16 + batch + 8, full_text[1:10] FROM given), {_hash_embed()}
+SELECT doc_id // 16 AS doc_id, doc_id % 16 AS batch, dim, x FROM embedded""",
+    "knn_probe": f"WITH {VOTES} SELECT doc_id, nbr, rank, round(dist, 6) AS dist FROM near WHERE rank <= 5",
     "knn_exact": f"WITH {VOTES} SELECT doc_id, nbr, rank, round(dist, 6) AS dist FROM near WHERE rank <= 5",
     "knn_euclidean": """WITH l AS (SELECT vec_id, label, unnest(range(64)) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings),
 c AS (SELECT label, i, avg(x) AS c FROM l GROUP BY ALL),
@@ -233,7 +257,7 @@ FROM rates CROSS JOIN (VALUES ('a'), ('b')) AS t(tag) GROUP BY tag""",
     "class_given_word_empirical": _class_given_word("CAST(sum(n) AS DOUBLE) / sum(sum(n)) OVER ()", 0.5, 5),
     "semantic_drift": f"""WITH {DOCS},
 t AS (SELECT doc_id, rights_year, unnest(range(len(full_text))) AS pos, unnest(full_text) AS term FROM docs),
-v AS (SELECT term FROM (SELECT term, count(*) AS tf FROM t GROUP BY term HAVING count(*) >= 3 ORDER BY tf DESC, term LIMIT 100)),
+v AS (SELECT term FROM (SELECT term, count(*) AS tf FROM t GROUP BY term HAVING count(*) >= 3 ORDER BY tf DESC, term LIMIT 200)),
 k AS (SELECT doc_id, pos, term, CAST(floor(rights_year / 10.0) * 10 AS INTEGER) AS decade FROM t JOIN v USING (term) WHERE rights_year IS NOT NULL),
 c AS (SELECT a.decade, a.term, b.term AS context, count(*) AS n FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.pos <> b.pos AND b.pos BETWEEN a.pos - 5 AND a.pos + 5 GROUP BY ALL),
 m AS (SELECT decade, term, sum(n) AS nt FROM c GROUP BY ALL),
@@ -245,4 +269,45 @@ l AS (SELECT decade, term, sqrt(sum(w * w)) AS len FROM p GROUP BY ALL),
 d AS (SELECT p.decade, p.term, sum(p.w * q.w) AS dot FROM p JOIN p q ON q.decade = p.decade + 10 AND q.term = p.term AND q.context = p.context GROUP BY ALL)
 SELECT l.term, l.decade || 's' AS from_decade, (l.decade + 10) || 's' AS to_decade, round(coalesce(dot, 0) / (l.len * n.len), 6) AS cosine
 FROM l JOIN l n ON n.decade = l.decade + 10 AND n.term = l.term LEFT JOIN d ON d.decade = l.decade AND d.term = l.term""",
+    "kmeans_labels": _clustered("6"),
+    "kmeans_multi_k": _clustered("4, 8", ", true AS silhouette_same, true AS below_one_cluster"),
+    "lda_doc_topics": f"""WITH {DOCS}, t AS (SELECT doc_id, unnest(full_text) AS term FROM docs),
+v AS (SELECT term FROM t GROUP BY term HAVING count(*) >= 3 ORDER BY count(*) DESC, term LIMIT 30000),
+known AS (SELECT DISTINCT doc_id FROM t JOIN v USING (term))
+SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n_docs, count(*) AS n_sum_one, count(*) FILTER (WHERE known.doc_id IS NULL) AS n_even, count(*) AS n_best
+FROM docs LEFT JOIN known USING (doc_id)""",
+    "lda_top_words": "SELECT CAST(unnest(range(50)) AS INTEGER) AS topic, CAST(15 AS BIGINT) AS n_words, CAST(15 AS BIGINT) AS n_distinct, CAST(15 AS INTEGER) AS last_rank, CAST(15 AS BIGINT) AS n_known",
+    "density_topics": "SELECT count(*) AS n_rows, count(DISTINCT vec_id) AS n_docs, count(*) AS n_labelled, true AS large_enough, true AS in_order FROM embeddings",
+    "density_given": """WITH RECURSIVE d AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS d
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+core AS (SELECT a FROM (SELECT a, d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM d) WHERE r = 2 AND d <= 1.1),
+link AS (SELECT a, b FROM d WHERE d <= 1.1 AND a IN (SELECT a FROM core) AND b IN (SELECT a FROM core)),
+reach AS (SELECT a, a AS b FROM core UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+comp AS (SELECT a, min(b) AS component FROM reach GROUP BY a),
+sizes AS (SELECT component, count(*) AS n FROM comp GROUP BY component HAVING count(*) >= 2),
+numbers AS (SELECT component, CAST(row_number() OVER (ORDER BY n DESC, component) - 1 AS INTEGER) AS topic FROM sizes)
+SELECT vec_id AS doc_id, coalesce(topic, -1) AS topic FROM embeddings LEFT JOIN comp ON comp.a = vec_id LEFT JOIN numbers USING (component)""",
+    "topic_merge": f"""WITH {DOCS}, {ASSIGNED}, t AS (SELECT topic, unnest(full_text) AS term FROM docs JOIN assigned USING (doc_id) WHERE topic >= 0),
+c AS (SELECT topic, term, count(*) AS tf FROM t GROUP BY ALL),
+totals AS (SELECT topic, sum(tf) AS words FROM c GROUP BY ALL),
+alltf AS (SELECT term, sum(tf) AS tf_all FROM c GROUP BY ALL),
+w AS (SELECT topic, term, CAST(tf AS DOUBLE) / words * ln(1 + (SELECT avg(words) FROM totals) / tf_all) AS w FROM c JOIN totals USING (topic) JOIN alltf USING (term)),
+sizes AS (SELECT topic, count(*) AS n FROM assigned WHERE topic >= 0 GROUP BY topic),
+small AS (SELECT topic FROM sizes ORDER BY n, topic DESC LIMIT 1),
+lens AS (SELECT topic, sqrt(sum(w * w)) AS l FROM w GROUP BY topic),
+near AS (SELECT y.topic AS into_topic FROM w x JOIN w y USING (term) JOIN lens ON lens.topic = y.topic
+  WHERE x.topic = (SELECT topic FROM small) AND y.topic <> x.topic GROUP BY y.topic ORDER BY sum(x.w * y.w) / any_value(l) DESC, y.topic LIMIT 1),
+merged AS (SELECT doc_id, CASE WHEN topic = (SELECT topic FROM small) THEN (SELECT into_topic FROM near) ELSE topic END AS topic FROM assigned),
+again AS (SELECT topic, CASE WHEN topic < 0 THEN -1 ELSE CAST(row_number() OVER (ORDER BY topic < 0, count(*) DESC, topic) - 1 AS INTEGER) END AS new_topic FROM merged GROUP BY topic)
+SELECT doc_id, new_topic AS topic FROM merged JOIN again USING (topic)""",
+    "w2v_docs": f"""WITH {DOCS}, {_windows(256, 200)}, t AS (SELECT doc_id, unnest(tokens) AS term FROM windows),
+known AS (SELECT DISTINCT doc_id FROM t WHERE term IN (SELECT term FROM t GROUP BY term HAVING count(*) >= 5))
+SELECT count(*) AS n_rows, count(*) AS n_docs, count(*) AS n_sound, count(*) FILTER (WHERE known.doc_id IS NULL) AS n_zero
+FROM (SELECT doc_id FROM docs WHERE len(full_text) > 0) LEFT JOIN known USING (doc_id)""",
+    "pca_2d": "SELECT count(*) AS n_docs, true AS uncorrelated, true AS ordered, true AS within, true AS ahead FROM embeddings",
+    "lr_predictions": _predicted(DOMAINS, "true AS beats_majority"),
+    "mlp_predictions": _predicted(DOMAINS, "true AS beats_majority"),
+    "vector_head": _predicted(QUADRANTS, "true AS beats_majority"),
+    "pseudo_label": f"""{QUADRANTS}, {SPLIT} SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n_docs, count(*) AS n_known, count(*) AS n_agree, true AS some_adopted
+FROM split WHERE split = 'valid'""",
 }

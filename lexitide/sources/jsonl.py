@@ -86,11 +86,19 @@ def quarantine(raw: DataFrame) -> DataFrame:
     )
 
 
-def ingest_counts(raw: DataFrame) -> DataFrame:
-    """Kept and skipped lines per batch, and in total under batch null."""
+def ingest_counts(raw: DataFrame, limited: DataFrame | None = None, max_docs: int = -1) -> DataFrame:
+    """Kept and skipped lines per batch, and in total under batch null.
+
+    Where `limited` (the documents left of `raw`) holds `max_docs` of a batch, reading stopped at the last of them, and
+    lines after it count as neither.
+    """
     kept = F.coalesce(F.size("full_text"), F.lit(0)) > 0
+    lines = raw.withColumn("kept", kept)
+    if limited is not None and max_docs > 0:
+        ends = limited.groupBy("batch").agg(F.count("*").alias("n"), F.max("line_no").alias("last"))
+        lines = lines.join(ends, "batch", "left").where((F.coalesce("n", F.lit(0)) < max_docs) | (F.col("line_no") <= F.col("last")))
     return (
-        raw.withColumn("kept", kept)
+        lines
         .rollup("batch")
         .agg(F.count_if("kept").alias("processed"), F.count_if(~F.col("kept")).alias("skipped"))
     )

@@ -11,14 +11,17 @@ from lexitide.functions import text as X
 from lexitide.schemas import KMEANS_METRICS, LABELS, TOPIC_WORDS, require_columns
 
 
-def write_vectors(vectors: DataFrame, path: str, meta_path: str | None = None) -> None:
-    """Store `(doc_id, rights_year, embedding, batch)`; a re-run replaces only the batches it carries."""
+def write_vectors(vectors: DataFrame, path: str, meta_path: str | None = None, batches: DataFrame | None = None) -> None:
+    """Store `(doc_id, rights_year, embedding, batch)`; a re-run replaces only the batches it carries.
+
+    A caller that knows the `batches` spares making the vectors again to list them.
+    """
     require_columns(vectors, ["doc_id", "rights_year", "embedding", "batch"])
     out = vectors.withColumn("embedding", F.col("embedding").cast("array<float>"))
     replace_batches(out, path)
     if meta_path:
         stored = vectors.sparkSession.read.parquet(path)
-        batches = vectors.select("batch").distinct()
+        batches = vectors.select("batch").distinct() if batches is None else batches
         (
             stored.join(batches, "batch", "left_semi")
             .select("batch", "doc_id", "rights_year")
@@ -52,6 +55,15 @@ def check_vectors(vectors: DataFrame) -> DataFrame:
     )
 
 
+def require_sound(vectors: DataFrame) -> DataFrame:
+    """The same vectors, or an error if a row misses its id or vector or the vectors differ in length."""
+    checks = F.count_if(F.col("doc_id").isNull() | F.col("embedding").isNull()), F.min(F.size("embedding")), F.max(F.size("embedding"))
+    incomplete, low, high = vectors.agg(*checks).first()
+    if incomplete or low != high:
+        raise ValueError(f"vector store has {incomplete} incomplete rows and vectors of {low} to {high} components")
+    return vectors
+
+
 def sources_of(vectors: DataFrame) -> DataFrame:
     """Sorted names of the files behind a vector table (provenance of a run)."""
     return vectors.agg(F.sort_array(F.collect_set("source_file")).alias("sources"))

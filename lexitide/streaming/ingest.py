@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lexitide.functions import text as X
-from lexitide.operators.vectors import embed_documents
+from lexitide.operators.vectors import embed_rows
 from lexitide.schemas import DOC
 from lexitide.sources.jsonl import documents, with_line_numbers
 from lexitide.sources.stores import replace_batches
@@ -42,8 +42,8 @@ def ingest(
         docs = documents(with_line_numbers(lines)).persist()
         replace_batches(docs, store)
         if vectors:
-            made = embed_documents(docs, encoder, window, stride)
-            replace_batches(docs.select("doc_id", "rights_year", "batch").join(made, "doc_id"), vectors)
+            rows = docs.select("doc_id", "rights_year", "batch", "line_no", "full_text")
+            replace_batches(embed_rows(rows, encoder, window, stride).drop("line_no"), vectors)
         docs.unpersist()
         lines.unpersist()
 

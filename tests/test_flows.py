@@ -7,9 +7,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from lexitide.operators.vectors import HashingEncoder
+from lexitide.operators.vectors import HashingEncoder, embed_rows
 from lexitide.plans import flows
 from lexitide.schemas import NoLabelledRows
+from lexitide.sources import stores
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,11 +41,31 @@ def embedded(spark, work):
 
 def test_embedding_limit_counts_kept_documents_per_file(spark, work, embedded):
     assert spark.read.parquet(str(work / "emb" / "vectors")).count() == embedded == 200
-    flows.embed_batches(spark, str(work / "batches"), str(work / "emb2"), HashingEncoder(8), max_docs=3, start_batch=1, end_batch=2)
+    counts = flows.embed_batches(spark, str(work / "batches"), str(work / "emb2"), HashingEncoder(8), max_docs=3, start_batch=1, end_batch=2)
+    assert {r["batch"]: r["processed"] for r in counts.collect()} == {"batch_01": 3, "batch_02": 3, None: 6}
     got = spark.read.parquet(str(work / "emb2" / "vectors")).groupBy("batch").count().collect()
     assert {r["batch"]: r["count"] for r in got} == {"batch_01": 3, "batch_02": 3}
 
 
+def test_rows_that_share_an_id_keep_their_own_vectors(spark):
+    rows = [("x", 1900, "a", 0, ["red", "blue"]), ("x", 1901, "b", 0, ["green"]), ("x", 1901, "b", 1, ["blue"])]
+    docs = spark.createDataFrame(rows, "doc_id STRING, rights_year INT, batch STRING, line_no BIGINT, full_text ARRAY<STRING>")
+    got = {(r["batch"], r["line_no"]): r["embedding"] for r in embed_rows(docs, HashingEncoder(16)).collect()}
+    for row in rows:
+        alone = spark.createDataFrame([row], docs.schema)
+        assert got[row[2], row[3]] == embed_rows(alone, HashingEncoder(16)).first()["embedding"]
+    assert len(got) == 3 and got["b", 0] != got["b", 1]
+
+
+def test_unsound_vector_store_is_refused(spark):
+    schema = "doc_id STRING, embedding ARRAY<FLOAT>"
+    sound = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [0.0, 1.0])], schema)
+    assert stores.require_sound(sound).count() == 2
+    for row in (("c", [1.0]), ("c", None), (None, [1.0, 1.0])):
+        with pytest.raises(ValueError):
+            stores.require_sound(sound.union(spark.createDataFrame([row], schema)))
+
+
 def test_kmeans_and_report(spark, work, embedded):
     scored = flows.cluster_vectors(spark, str(work / "emb"), str(work / "km"), [2, 3, 4], max_iter=20, n_init=1)
     assert scored.count() == 3 and len(scored.first()["sources"]) >= 4
