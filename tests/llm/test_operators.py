@@ -169,15 +169,52 @@ def test_word_table_bpe(spark, docs):
     assert word_bpe.encode_and_decode(_none(spark), WORD_BPE).count() == 0
 
 
+def _suffix_tree(tokens, c, n, v, depth=2):
+    """Scores by a tree built in plain Python: contexts are tuples, oldest word first."""
+    follow = collections.defaultdict(collections.Counter)
+    for i, ws in tokens.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            line = ["\n", *ws]
+            for k in range(1, len(line)):
+                for d in range(1, min(depth, k) + 1):
+                    follow[tuple(line[k - d : k])][line[k]] += 1
+    states = {}
+
+    def prob(context, w):
+        if not context:
+            return (c[w] + 1) / (n + v + 1)
+        known, left = states[context]
+        return known[w] if w in known else left * prob(context[1:], w)
+
+    for context in sorted(follow, key=len):
+        total = sum(follow[context].values())
+        if total < suffix_lm.CONTEXT_LEAST or len(context) > 1 and context[1:] not in states:
+            continue
+        p = {w: (m - suffix_lm.DISCOUNT) / total for w, m in follow[context].items() if m >= suffix_lm.ENTRY_LEAST}
+        q = {w: prob(context[1:], w) for w in p}
+        rest, suffix_rest = 1 - sum(p.values()), 1 - sum(q.values())
+        apart = sum(p[w] * math.log(p[w] / q[w]) for w in p) + rest * math.log(rest / suffix_rest) - len(p) / (2 * total)
+        if p and apart >= suffix_lm.DIVERGENCE:
+            states[context] = p, rest / suffix_rest
+    assert {len(s) for s in states} == set(range(1, depth + 1))
+    out = {}
+    for i, ws in tokens.items():
+        line, out[i] = ["\n", *ws], 0.0
+        for k in range(1, len(line)):
+            longest = next((s for d in (2, 1, 0) if d <= min(k, depth) for s in [tuple(line[k - d : k])] if not s or s in states))
+            out[i] += math.log10(prob(longest, line[k]))
+    return out
+
+
 def test_suffix_tree_scores(spark):
     rng = np.random.default_rng(5)
     words = [f"v{i}" for i in range(12)]
     rows = []
     for i in range(260):
-        k, text = int(rng.integers(12)), []
+        k, before, text = int(rng.integers(12)), 0, []
         for _ in range(60):
             text.append(words[k])
-            k = (k + 1) % 12 if rng.random() < 0.8 else int(rng.integers(12))
+            k, before = (k + 1 + (before % 3)) % 12 if rng.random() < 0.8 else int(rng.integers(12)), k
         rows.append((i, " ".join(text).upper()))
     rows += [(1000, None), (1001, "unseen words")]
     frame = spark.createDataFrame(rows, "doc_id LONG, text STRING").withColumn("score", suffix_lm.F.lit("clash"))
@@ -189,6 +226,10 @@ def test_suffix_tree_scores(spark):
         ws = tokens[r["doc_id"]]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws), sum(c[w] > 0 for w in ws), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws))
+    want = _suffix_tree(tokens, c, n, v)
+    assert {r["doc_id"]: r["score"] for r in got} == pytest.approx(want)
+    two_words = {r["doc_id"]: r["score"] for r in suffix_lm.score(frame, depth=1).collect()}
+    assert two_words == pytest.approx(_suffix_tree(tokens, c, n, v, depth=1)) and two_words != pytest.approx(want)
     held = [r for r in got if r["held_out"] and r["doc_id"] < 1000]
     assert sum(r["score"] for r in held) > 0.75 * sum(r["base_score"] for r in held)  # both negative: far likelier
     assert suffix_lm.score(_none(spark)).count() == 0
