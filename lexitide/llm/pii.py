@@ -3,16 +3,18 @@
 Fixed expressions find emails, IP addresses, card and phone numbers; these are the seed entities. Then words around them
 become patterns, and patterns find entities that no expression knows:
 
-1. Each document gives its seed spans and its *candidates* (words with a digit), each with the word before and after it.
-   A pattern is a side and such a cue word.
-2. Patterns and instances (distinct strings) form a graph. A pattern's confidence is the share of all occurrences of its
-   cue word in the corpus that stand beside an entity; it must have `SUPPORT` distinct entities and `CONFIDENCE`.
-   An unknown instance becomes an entity if confident patterns vouch for it (noisy or) to `VOUCHED`. Entities support
-   further patterns in the next round.
-3. Candidates that were accepted are spans of kind `context`.
-
-A cue word's occurrences are counted over the whole corpus, so common words, which stand beside anything, have no
-confidence. Shuffled are spans, candidates and word counts (combined in each task), never texts.
+1. A pattern is a side and a *cue* of one to three words that stands there. Its confidence is the share of all occurrences
+   of the cue in the corpus that stand beside an entity; it must have `SUPPORT` distinct entities and `CONFIDENCE`.
+2. Whatever word stands beside a confident cue, and whatever run of up to three words between two, is an *instance*.
+   The best cue on each side vouches for it (noisy or); a place vouched for to `VOUCHED` is personal data.
+3. An instance vouched for so over all its places becomes an entity, whose other places are personal data too and support
+   further patterns. One that may be an ordinary word (no digit, or under four characters) must have at least
+   `CONFIDENCE` of all its occurrences in such places. Steps 1 to 3 go on until no entity is added.
+4. Places of entities and places vouched for are spans of kind `context`.
+
+A cue's occurrences are counted over the whole corpus, so common words, which stand beside anything, have no confidence.
+Texts are never shuffled: each step scans them for hashes of cues or instances, first in a bitmap of fixed size, then by a
+join that drops what only the bitmap took.
 """
 
 from __future__ import annotations
@@ -22,15 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexitide.llm.common import stored
-from lexitide.llm.textarrays import Words, slices
+from lexitide.llm.textarrays import Spans, Words, slices
 
 BASE = ("email", "ip", "card", "phone")
 CONTEXT = "context"
-ROUNDS, SUPPORT, CONFIDENCE, VOUCHED = 3, 5, 0.5, 0.7
+SUPPORT, CONFIDENCE, VOUCHED = 5, 0.5, 0.7
+LONGEST = 3  # words of a cue, and of an instance
+_BITS = 22
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A match that begins inside a run of digits fails where the run's own match failed, so runs are tried at their start.
@@ -40,6 +45,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = "\"'()[]{}<>,;:!?.*#&%$|="
+_EDGES = np.isin(np.arange(256), list(_EDGE.encode()))
+_DIGITS = np.isin(np.arange(256), list(b"0123456789"))
 
 
 def _luhn(digits: str) -> bool:
@@ -84,98 +91,242 @@ def _lower(word: str) -> str:
     return word.encode().lower().decode()
 
 
-def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str, str, str, bool]]:
-    """`(start, end, instance, word before, word after, is entity)` of seeds and of other words with a digit."""
-    if not spans and not _DIGIT.search(text):
+def seed_cues(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, list[str], list[str]]]:
+    """`(instance, cues before, cues after)` of seeds; cues are the one to three words beside it."""
+    if not spans:
         return []
     words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
     starts = [w[0] for w in words]
-    out = []
-    covered = np.zeros(len(words), bool)
 
-    def cue(i: int) -> str:
-        return _lower(text[words[i][0] : words[i][1]]) if 0 <= i < len(words) else ""
+    def cue(i: int, j: int) -> str:
+        return " ".join(_lower(text[a:b]) for a, b in words[i:j])
 
+    out = []
     for start, _, end in spans:
         first = int(np.searchsorted(starts, start, side="right")) - 1
-        last = int(np.searchsorted(starts, end - 1, side="right")) - 1
-        covered[first : last + 1] = True
-        out.append((start, end, _lower(text[start:end]), cue(first - 1), cue(last + 1), True))
-    for i, (a, b) in enumerate(words):
-        if not covered[i] and _DIGIT.search(text, a, b):
-            word = text[a:b]
-            body = word.strip(_EDGE)
-            if len(body) >= 4 and _DIGIT.search(body):
-                a += len(word) - len(word.lstrip(_EDGE))
-                out.append((a, a + len(body), _lower(body), cue(i - 1), cue(i + 1), False))
+        last = int(np.searchsorted(starts, end - 1, side="right"))
+        before = [cue(first - g, first) for g in range(1, min(LONGEST, first) + 1)]
+        after = [cue(last, last + g) for g in range(1, min(LONGEST, len(words) - last) + 1)]
+        out.append((_lower(text[start:end]), before, after))
     return out
 
 
 _SPANS = "ARRAY<STRUCT<start: INT, kind: INT, end: INT>>"
-_SEEN = "ARRAY<STRUCT<start: INT, end: INT, instance: STRING, before: STRING, after: STRING, entity: BOOLEAN>>"
+_SEEN = "ARRAY<STRUCT<instance: STRING, before: ARRAY<STRING>, after: ARRAY<STRING>>>"
 _SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-_SEEN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("before", pa.string()), ("after", pa.string()), ("entity", pa.bool_())]))
+_SEEN_TYPE = pa.list_(pa.struct([("instance", pa.string()), ("before", pa.list_(pa.string())), ("after", pa.list_(pa.string()))]))
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names, fields = ("start", "kind", "end"), ("start", "end", "instance", "before", "after", "entity")
+    names, fields = ("start", "kind", "end"), ("instance", "before", "after")
     for batch in batches:
         base, seen = [], []
         for text in batch.column("text").to_pylist():
             text = text or ""
             spans = base_spans(text)
             base.append([dict(zip(names, s, strict=True)) for s in spans])
-            seen.append([dict(zip(fields, c, strict=True)) for c in candidates(text, spans)])
+            seen.append([dict(zip(fields, c, strict=True)) for c in seed_cues(text, spans)])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(base, _SPAN_TYPE), pa.array(seen, _SEEN_TYPE)], ["doc_id", "text_key", "base", "seen"])
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+# ---- scans for hashes of word runs
+
+
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """Which leading bits of keys occur; its size is fixed, and a full one only lets more through to the joins."""
+    held = keys.select(F.shiftrightunsigned("key", 64 - _BITS).cast("int").alias("bit")).distinct().toArrow().column("bit").to_numpy()
+    bits = np.zeros(1 << _BITS, bool)
+    bits[held] = True
+    return np.packbits(bits)
+
+
+class Runs:
+    """Words of a column with hashes of their runs; `plain` strips punctuation from the edges of every word."""
+
+    def __init__(self, column: pa.Array, plain: bool = False):
+        self.words = w = Words(column, lower=True)
+        self.start, self.end = w.start, w.end
+        if plain:
+            w.start, w.end = w.start.copy(), w.end.copy()
+            for at, step, place in ((w.start, 1, 0), (w.end, -1, -1)):
+                left = np.arange(len(w))
+                while len(left):
+                    left = left[(w.start[left] < w.end[left]) & _EDGES[w.data[np.minimum(at[left] + place, len(w.data) - 1)]]]
+                    at[left] += step
+        self.spans = Spans(w.hashes())
+
+    def keys(self, g: int, at: np.ndarray) -> np.ndarray:
+        return self.spans(at, at + g)
+
+    def starts(self, g: int) -> np.ndarray:
+        """First words of all runs of `g` words within a text."""
+        at = np.arange(max(0, len(self.words) - g + 1))
+        return at[self.words.row[at] == self.words.row[at + g - 1]]
+
+
+def _held(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    bit = (keys >> np.uint64(64 - _BITS)).astype(np.int64)
+    return (bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
+
+
+def _run_counts(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """`(key, n)` of runs of up to `LONGEST` words whose hash may be wanted."""
     for batch in batches:
         for part in slices(batch, "text"):
-            h, n = np.unique(Words(part.column("text"), lower=True).hashes(), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["word", "n"])
+            runs = Runs(part.column("text"))
+            keys = [runs.keys(g, runs.starts(g)) for g in range(1, LONGEST + 1)]
+            h, n = np.unique(np.concatenate([k[_held(k, bits)] for k in keys]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["key", "n"])
 
 
 def _cue_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        h = Words(batch.column("cue")).hashes()
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(h.view(np.int64))], [*batch.schema.names, "word"])
+        w = Words(batch.column("cue"))
+        h = Spans(w.hashes())(w.first[:-1], w.first[1:])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(h.view(np.int64))], [*batch.schema.names, "key"])
+
+
+_PLACE = "text_key LONG, start INT, end INT, words INT, key LONG, sure BOOLEAN, before ARRAY<LONG>, after ARRAY<LONG>"
+_PLACE_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+
+
+def _places(batches: Iterator[pa.RecordBatch], instances: np.ndarray | None = None, before: np.ndarray | None = None, after: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Runs of words outside seed spans with their cues: those that may be one of `instances`, or stand beside cues.
+
+    A single word needs a cue before or after it that may be wanted, a longer run both. `sure` runs hold a digit and four
+    characters or more, so they are no ordinary words.
+    """
+    names = ["doc_id", *(c.split()[0] for c in _PLACE.replace("ARRAY<LONG>", "LONG").split(", "))]
+    for batch in batches:
+        for part in slices(batch, "text"):
+            runs, plain = Runs(part.column("text")), Runs(part.column("text"), plain=True)
+            row, n = runs.words.row, len(runs.words)
+            cues = {}
+            for side in ("before", "after"):
+                for g in range(1, LONGEST + 1):
+                    at = runs.starts(g)
+                    key = np.zeros(n + 1, np.uint64)
+                    real = np.zeros(n + 1, bool)
+                    # by the word next to the cue: the one that follows it, or the one that it follows
+                    beside = at + g if side == "before" else at
+                    key[beside], real[beside] = runs.keys(g, at), True
+                    cues[side, g] = key, real
+            wanted = {s: np.zeros(n + 1, bool) for s in ("before", "after")}
+            for side, bits in (("before", before), ("after", after)):
+                for g in range(1, LONGEST + 1) if bits is not None else ():
+                    key, real = cues[side, g]
+                    wanted[side] |= real & _held(key, bits)
+            out = []
+            for g in range(1, LONGEST + 1):
+                at = runs.starts(g)
+                if instances is not None:
+                    at = at[_held(plain.keys(g, at), instances)]
+                else:
+                    # a cue belongs to the text of the run
+                    left = wanted["before"][at] & (at > 0) & (row[at] == row[np.maximum(at - 1, 0)])
+                    right = wanted["after"][at + g] & (at + g < n) & (row[at] == row[np.minimum(at + g, n - 1)])
+                    at = at[left | right] if g == 1 else at[left & right]
+                out += [(int(i), g) for i in at]
+            if not out:
+                continue
+            texts, keys_part = part.column("text"), part.column("text_key")
+            lead = np.r_[0, np.cumsum((runs.words.data & 0xC0) != 0x80)]
+            origin = np.r_[0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))]
+            seeds: dict[int, list] = {}
+            rows = []
+            for i, g in out:
+                r = int(row[i])
+                a, b = int(plain.words.start[i]), int(plain.words.end[i + g - 1])
+                if a >= b or any(plain.words.start[k] >= plain.words.end[k] for k in range(i, i + g)):
+                    continue
+                if r not in seeds:
+                    seeds[r] = base_spans(texts[r].as_py())
+                first, last = int(lead[runs.start[i]] - lead[origin[r]]), int(lead[runs.end[i + g - 1]] - lead[origin[r]])
+                if any(s < last and e > first for s, _, e in seeds[r]):
+                    continue
+                own = [[int(cues[side, k][0][x].view(np.int64)) for k in range(1, LONGEST + 1) if cues[side, k][1][x] and fit(k)] for side, x, fit in (
+                    ("before", i, lambda k: i >= k and row[i - k] == r), ("after", i + g, lambda k: i + g + k <= n and row[i + g + k - 1] == r))]
+                start, end = int(lead[a] - lead[origin[r]]), int(lead[b] - lead[origin[r]])
+                sure = end - start >= 4 and bool(_DIGITS[runs.words.data[a:b]].any())
+                rows.append((part.column("doc_id")[r], keys_part[r].as_py(), start, end, g, int(plain.keys(g, np.array([i]))[0].view(np.int64)), sure, *own))
+            ids = pa.array([x[0].as_py() for x in rows], part.column("doc_id").type)
+            yield pa.RecordBatch.from_arrays([ids, *[pa.array([x[k + 1] for x in rows], t) for k, t in enumerate(_PLACE_TYPES)]], names)
+
+
+# ---- the bootstrap
+
+
+def _noisy_or(confidence):
+    return 1 - F.exp(F.sum(F.log(1 - confidence)))
 
 
 def bootstrap(seen: DataFrame, docs: DataFrame) -> DataFrame:
-    """`(doc_id, text_key, start, end)` of candidates that become entities; `seen` has a row per candidate."""
-    sides = [seen.select(F.lit(s).alias("side"), F.col(s).alias("cue"), "instance", "entity") for s in ("before", "after")]
-    edges = sides[0].unionByName(sides[1]).where("cue != ''").groupBy("side", "cue", "instance").agg(F.count("*").alias("n"), F.max("entity").alias("seed"))
-    edges = stored(edges, "pattern-edges")
-    # occurrences in the corpus of cue words that any entity could give enough support
-    likely = edges.groupBy("side", "cue").agg(F.count("*").alias("instances")).where(F.col("instances") >= SUPPORT).select("side", "cue")
-    keyed = likely.mapInArrow(_cue_keys, "side STRING, cue STRING, word LONG")
-    totals = docs.select("text").mapInArrow(_word_counts, "word LONG, n LONG").groupBy("word").agg(F.sum("n").alias("total"))
-    patterns = stored(keyed.join(totals, "word").select("side", "cue", "total"), "patterns")
-    known = edges.where("seed").select("instance").distinct().withColumn("trust", F.lit(1.0))
-    edges = stored(edges.join(patterns, ["side", "cue"]).select("side", "cue", "instance", "n", "total"), "likely-edges")
-    known = stored(known, "entities")
-    before = known.count()
-    for k in range(ROUNDS):
-        marked = edges.join(known, "instance", "left").withColumn("trust", F.coalesce("trust", F.lit(0.0)))
-        sums = marked.groupBy("side", "cue").agg(F.sum(F.col("n") * F.col("trust")).alias("hits"), F.sum(F.signum("trust")).alias("support"), F.max("total").alias("total"))
-        good = sums.withColumn("confidence", F.least(F.lit(0.999), F.col("hits") / F.col("total"))).where((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE))
-        vouched = edges.join(good.select("side", "cue", "confidence"), ["side", "cue"]).groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("trust"))
-        fresh = vouched.where(F.col("trust") >= VOUCHED).join(known, "instance", "left_anti")
-        known = stored(known.unionByName(fresh), f"entities-{k}")
-        after = known.count()
-        if after == before:
+    """`(doc_id, text_key, start, end)` of what cues find; `seen(instance, before, after)` has a row per seed, `docs` has `text_key`."""
+    place = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_PLACE}"
+
+    def scan(**bits):
+        return docs.mapInArrow(lambda it: _places(it, **bits), place)
+
+    sides = [seen.select(F.lit(s).alias("side"), F.explode(s).alias("cue"), F.xxhash64("instance").alias("instance")) for s in ("before", "after")]
+    seeds = sides[0].unionByName(sides[1]).groupBy("side", "cue", "instance").agg(F.count("*").alias("n"))
+    typed = "side STRING, cue STRING, instance LONG, n LONG, key LONG"
+    edges = stored(seeds.mapInArrow(_cue_keys, typed).select("side", "key", "instance", "n", F.lit(1.0).alias("trust")), "pattern-edges")
+    known = totals = spans = None
+    while True:
+        # occurrences in the corpus of cues that entities give enough support; those counted in an earlier round stand
+        sums = edges.groupBy("side", "key").agg(F.sum(F.col("n") * F.col("trust")).alias("hits"), F.count_distinct("instance").alias("support")).where(F.col("support") >= SUPPORT)
+        likely = sums.select("key").distinct()
+        likely = likely if totals is None else likely.join(totals, "key", "left_anti")
+        bits = _bitmap(likely)
+        if bits.any():
+            counted = docs.select("text").mapInArrow(lambda it, b=bits: _run_counts(it, b), "key LONG, n LONG").groupBy("key").agg(F.sum("n").alias("total"))
+            counted = counted.join(likely, "key", "left_semi")
+            totals = stored(counted if totals is None else totals.unionByName(counted), "cue-counts")
+        if totals is None:
+            break
+        good = sums.join(totals, "key").withColumn("confidence", F.least(F.lit(0.999), F.col("hits") / F.col("total"))).where(F.col("confidence") >= CONFIDENCE)
+        good = stored(good.select("side", "key", "confidence"), "patterns")
+        if good.isEmpty():
+            break
+        beside = stored(scan(before=_bitmap(good.where("side = 'before'")), after=_bitmap(good.where("side = 'after'"))), "beside")
+        at = ["doc_id", "text_key", "start", "end", "words", "key", "sure"]
+        cues = [beside.select(*at, F.lit(s).alias("side"), F.explode(s).alias("cue")) for s in ("before", "after")]
+        best = cues[0].unionByName(cues[1]).join(good.withColumnRenamed("key", "cue"), ["side", "cue"])
+        best = stored(best.groupBy(*at, "side").agg(F.max_by(F.struct("confidence", "cue"), F.struct("confidence", "cue")).alias("by")), "vouching")
+        vouched = best.groupBy(*at).agg(_noisy_or(F.col("by.confidence")).alias("trust"), F.count("*").alias("sides")).where((F.col("words") == 1) | (F.col("sides") == 2))
+        vouched = stored(vouched, "vouched")
+        spans = vouched.where(F.col("trust") >= VOUCHED).select("doc_id", "text_key", "start", "end")
+        single = best.join(vouched.select("key").distinct(), "key", "left_semi").select("key", "sure", "side", "by").distinct()
+        able = single.groupBy("key").agg(_noisy_or(F.col("by.confidence")).alias("trust"), F.max("sure").alias("sure")).where(F.col("trust") >= VOUCHED)
+        able = able.join(vouched.groupBy("key").agg(F.count("*").alias("inside")), "key")
+        able = stored(able if known is None else able.join(known.select("key"), "key", "left_anti"), "able")
+        bits = _bitmap(able)
+        if not bits.any():
+            break
+        found = scan(instances=bits).join(able.select("key", "trust", F.col("sure").alias("always"), "inside"), "key")
+        # of rows that repeat, places count once in both
+        found = stored(found.dropDuplicates(["doc_id", "text_key", "start", "end", "key"]), "occurrences")
+        share = found.groupBy("key").agg((F.max("inside") / F.count("*")).alias("share"))
+        fresh = stored(found.join(share, "key").where(F.col("always") | (F.col("share") >= CONFIDENCE)).select("doc_id", "text_key", "start", "end", "key", "trust", "before", "after"), "entities")
+        if fresh.isEmpty():
             break
-        before = after
-    return seen.where("NOT entity").join(known.select("instance"), "instance").select("doc_id", "text_key", "start", "end")
+        known = stored(fresh if known is None else known.unionByName(fresh), "known")
+        more = [fresh.select(F.lit(s).alias("side"), F.explode(s).alias("cue"), "key", "trust") for s in ("before", "after")]
+        more = more[0].unionByName(more[1]).groupBy("side", "cue", "key").agg(F.count("*").alias("n"), F.max("trust").alias("trust"))
+        more = more.select("side", F.col("cue").alias("key"), F.col("key").alias("instance"), "n", "trust")
+        edges = stored(edges.unionByName(more), "pattern-edges")
+    none = docs.select("doc_id", "text_key", F.lit(0).alias("start"), F.lit(0).alias("end")).where("false")
+    for part in (spans, known):
+        none = none if part is None else none.unionByName(part.select("doc_id", "text_key", "start", "end"))
+    return none.distinct()
 
 
 def _personal(docs: DataFrame) -> DataFrame:
     """`(doc_id, text_key, base, found)` for every row: seed spans, and all spans."""
     base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     rows = stored(base.mapInArrow(_find, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key LONG, base {_SPANS}, seen {_SEEN}"), "spans")
-    seen = rows.where(F.size("seen") > 0).dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", F.explode("seen").alias("s")).select("doc_id", "text_key", "s.*")
-    more = bootstrap(seen, docs).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", F.lit(len(BASE)).alias("kind"), "end")).alias("more"))
+    seen = rows.where(F.size("seen") > 0).select(F.explode("seen").alias("s")).select("s.*")
+    more = bootstrap(seen, base).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", F.lit(len(BASE)).alias("kind"), "end")).alias("more"))
     more = more.withColumnsRenamed({"doc_id": "other_id", "text_key": "other_key"})
     same = rows["doc_id"].eqNullSafe(more["other_id"]) & (rows["text_key"] == more["other_key"])
     found = F.sort_array(F.concat("base", F.coalesce("more", F.array().cast(_SPANS))))
