@@ -88,7 +88,16 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_duplicate_passages(docs, texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexitide.llm.filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_embedding_near_dedup, op2_token_store, op3_suffix_lm, op4_word_bpe, op5_quality_rules, op6_simhash, op7_secret_scan, op8_source_mixing, op9_substring_dedup, op10_pii)
+    for f in (
+        op1_embedding_near_dedup, op2_token_store, op3_suffix_lm, op4_word_bpe, op5_quality_rules, op6_simhash, op7_secret_scan, op8_source_mixing,
+        op9_substring_dedup, op10_pii, op12_filter_audit,
+    )
 }
