@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lexitide.session import ensure_checkpoint_dir
 
@@ -30,6 +31,11 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*[F.col(c) for c in columns])
 
 
+def row_schema(rows: DataFrame, ddl: str) -> StructType:
+    """The struct column `row` of `rows`, whatever its fields are called, and the columns of `ddl`."""
+    return StructType([rows.schema["row"], *StructType.fromDDL(ddl).fields])
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

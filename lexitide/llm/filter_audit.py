@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexitide.llm.common import row_schema
 from lexitide.llm.textarrays import slices
 from lexitide.llm.transducer import CAPITAL, POINT, START, SYMBOL, Pass
 
@@ -34,8 +35,7 @@ def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
     A null text is empty; words are runs of anything but ASCII white space, compared byte by byte.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), "text")
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(_measure, f"row {kind}, " + ", ".join(f"{m} LONG" for m in MEASURES))
+    return rows.mapInArrow(_measure, row_schema(rows, ", ".join(f"{m} LONG" for m in MEASURES)))
 
 
 def failed_filters(docs: DataFrame, labels: DataFrame, part: str = "lang") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lexitide.llm.common import shared_path, table
 
-BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+BYTE_BPE, WORD_BPE, PIECE_BPE = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,16 +88,30 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_duplicate_passages(docs, texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexitide.llm.license_scan import scan_licenses
+
+    found = scan_licenses(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexitide.llm.filter_audit import audit
 
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexitide.llm.token_alignment import cross_align
+
+    found = cross_align(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_embedding_near_dedup, op2_token_store, op3_suffix_lm, op4_word_bpe, op5_quality_rules, op6_simhash, op7_secret_scan, op8_source_mixing,
-        op9_substring_dedup, op10_pii, op12_filter_audit,
+        op9_substring_dedup, op10_pii, op11_license_scan, op12_filter_audit, op13_cross_tokenizer,
     )
 }
