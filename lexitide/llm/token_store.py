@@ -4,13 +4,14 @@ Files, under one folder of a shared file system:
 
 - `shard-NNNNN-*.bin`: raw little-endian ids of consecutive documents in ascending `doc_id` order, nothing else; two
   bytes an id if the vocabulary has at most 65,536 entries, else four.
-- `index/`: one row per bucket of keys, with a minimal perfect hash of the bucket's keys (`seeds`), and per slot a 32-bit
-  `fingerprint`, the `shard`, the `offset` in ids and the `size`.
+- `index/`: one row per bucket of keys, with a minimal perfect hash of the bucket's keys (`seeds`, `salt`), and per slot a
+  32-bit `fingerprint`, the `shard`, the `offset` in ids and the `size`.
 - `shards/`: one row per shard with its file, number of ids and number of ids before it.
 
 A key's bucket, seed and slot are three hashes; its fingerprint tells keys that were never stored. The hash is built per
 bucket by first-fit seeds: keys fall into small cells, large cells first, and each cell takes the first seed that sends
-its keys to free slots.
+its keys to free slots. A bucket in which two documents have one 64-bit key, or a cell finds no seed, is hashed anew with a
+second key under the next salt, which its index row keeps.
 
 Every step is a Spark job on bounded tasks: texts move once, sorted by id range, and are encoded where they are written;
 a task names its file by attempt, so a repeated task never writes into another's file and rows refer to one of them.
@@ -37,9 +38,11 @@ from lexitide.llm.tokenfiles import piece_encoder, tokenizer
 BUCKET_KEYS = 50_000
 CELL_KEYS = 4
 SHARD_BYTES = 24 << 20  # of text
-_MAX_SEEDS = 1 << 16
+_MAX_STEP = 1 << 16
+SEEDS_PER_SLOT = 64  # a cell without a seed by then (one in e^64) is taken to have none
+MAX_SALTS = 16
 _ENTRY = "doc_id LONG, copy INT, shard INT, file STRING, offset LONG, size LONG, width INT"
-_INDEX = "bucket LONG, n_slots INT, seeds BINARY, fingerprint BINARY, shard BINARY, offset BINARY, size BINARY"
+_INDEX = "bucket LONG, n_slots INT, salt INT, seeds BINARY, fingerprint BINARY, shard BINARY, offset BINARY, size BINARY"
 
 
 def _open(path: str) -> tuple[pa.fs.FileSystem, str]:
@@ -98,14 +101,20 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end: int = 0
     shards.withColumn("before", F.coalesce("before", F.lit(0))).write.parquet(f"{folder}/shards")
     copies = F.row_number().over(Window.partitionBy("doc_id").orderBy("shard", "offset")) - 1
     buckets = max(1, math.ceil(n / BUCKET_KEYS))
-    keyed = entries.withColumn("copy", copies).withColumn("key", _key()).withColumn("bucket", F.pmod(F.col("key"), F.lit(buckets)))
-    index = keyed.select("bucket", "key", "shard", "offset", "size").groupBy("bucket").applyInArrow(_build_bucket, _INDEX)
+    keyed = entries.withColumn("copy", copies).withColumns({"key": _key(), "other": _key("other")}).withColumn("bucket", F.pmod(F.col("key"), F.lit(buckets)))
+    index = keyed.select("bucket", "key", "other", "shard", "offset", "size").groupBy("bucket").applyInArrow(_build_bucket, _INDEX)
     index.withColumn("n_buckets", F.lit(buckets)).write.parquet(f"{folder}/index")
 
 
-def _key():
-    """64-bit key of a document: its id and the number of its copy."""
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy").cast("int"))
+def _key(*more: str):
+    """64-bit key of a document: its id and the number of its copy; `more` words make an independent one."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy").cast("int"), *[F.lit(m) for m in more])
+
+
+def _salted(rows: pa.Table, salt: int) -> np.ndarray:
+    """Keys of rows under a salt: the first key alone at 0, else both."""
+    key, other = (rows.column(c).to_numpy().view(np.uint64) for c in ("key", "other"))
+    return key if salt == 0 else mix(key ^ mix(other + np.uint64(salt)))
 
 
 # ---- the minimal perfect hash of one bucket
@@ -119,9 +128,11 @@ def _cell(keys: np.ndarray, n: int) -> np.ndarray:
     return (mix(keys + np.uint64(0x5851F42D4C957F2D)) % np.uint64(max(1, -(-n // CELL_KEYS)))).astype(np.int64)
 
 
-def perfect_hash(keys: np.ndarray) -> np.ndarray:
-    """Seeds per cell that send `keys` (distinct, unsigned) to the slots 0..n-1, each to its own."""
+def perfect_hash(keys: np.ndarray) -> np.ndarray | None:
+    """Seeds per cell that send `keys` (unsigned) to the slots 0..n-1, each to its own; none if two are equal or a cell finds no seed."""
     n = len(keys)
+    if len(np.unique(keys)) < n:
+        return None
     cell = _cell(keys, n)
     order = np.argsort(cell, kind="stable")
     bounds = np.searchsorted(cell[order], np.arange(-(-n // CELL_KEYS) + 1))
@@ -134,6 +145,8 @@ def perfect_hash(keys: np.ndarray) -> np.ndarray:
         tried = 0
         step = 64
         while True:
+            if tried > SEEDS_PER_SLOT * max(n, 1024):
+                return None
             slots = _slot(mine[None, :], np.arange(tried, tried + step)[:, None], n)
             fits = free[slots].all(axis=1)
             if len(mine) > 1:
@@ -144,7 +157,7 @@ def perfect_hash(keys: np.ndarray) -> np.ndarray:
                 seeds[c] = tried + hit[0]
                 free[slots[hit[0]]] = False
                 break
-            tried, step = tried + step, min(step * 4, _MAX_SEEDS)
+            tried, step = tried + step, min(step * 4, _MAX_STEP)
     return seeds
 
 
@@ -157,15 +170,20 @@ def _fingerprints(keys: np.ndarray) -> np.ndarray:
 
 
 def _build_bucket(rows: pa.Table) -> pa.Table:
-    keys = rows.column("key").to_numpy().view(np.uint64)
-    seeds = perfect_hash(keys)
+    for salt in range(MAX_SALTS):
+        keys = _salted(rows, salt)
+        seeds = perfect_hash(keys)
+        if seeds is not None:
+            break
+    else:
+        raise ValueError("two documents agree in both of their keys, of 64 bits each")
     slot = find_slots(keys, seeds, len(keys))
     place = np.empty(len(keys), np.int64)
     place[slot] = np.arange(len(keys))
     raw = {c: rows.column(c).to_numpy()[place].astype(t).tobytes() for c, t in (("shard", "<i4"), ("offset", "<i8"), ("size", "<i8"))}
-    columns = [rows.column("bucket")[0].as_py(), len(keys), seeds.astype("<u4").tobytes(), _fingerprints(keys)[place].astype("<u4").tobytes(), raw["shard"], raw["offset"], raw["size"]]
-    kinds = [pa.int64(), pa.int32()] + [pa.binary()] * 5
-    names = ["bucket", "n_slots", "seeds", "fingerprint", "shard", "offset", "size"]
+    columns = [rows.column("bucket")[0].as_py(), len(keys), salt, seeds.astype("<u4").tobytes(), _fingerprints(keys)[place].astype("<u4").tobytes(), raw["shard"], raw["offset"], raw["size"]]
+    kinds = [pa.int64(), pa.int32(), pa.int32()] + [pa.binary()] * 5
+    names = ["bucket", "n_slots", "salt", "seeds", "fingerprint", "shard", "offset", "size"]
     return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(columns, kinds, strict=True)], names)
 
 
@@ -176,7 +194,7 @@ def _find(left: pa.Table, right: pa.Table) -> pa.Table:
     """Entries of asked keys (left) in their bucket (right, one row or none)."""
     if len(right) and len(left):
         b = right.to_pylist()[0]
-        keys = left.column("key").to_numpy().view(np.uint64)
+        keys = _salted(left, b["salt"])
         slot = find_slots(keys, np.frombuffer(b["seeds"], "<u4"), b["n_slots"])
         known = np.frombuffer(b["fingerprint"], "<u4")[slot] == _fingerprints(keys)
         taken, slot = pa.array(known), slot[known]
@@ -216,7 +234,7 @@ def read_tokens(spark: SparkSession, folder: str, keys: DataFrame, payload: bool
     buckets = first["n_buckets"] if first else 1
     if "copy" not in keys.columns:
         keys = keys.withColumn("copy", F.lit(0))
-    asked = keys.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("copy").cast("int").alias("copy")).withColumn("key", _key())
+    asked = keys.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("copy").cast("int").alias("copy")).withColumns({"key": _key(), "other": _key("other")})
     asked = asked.withColumn("bucket", F.pmod(F.col("key"), F.lit(buckets)))
     schema = "doc_id LONG, copy INT, shard INT, offset LONG, size LONG"
     found = asked.groupBy("bucket").cogroup(index.drop("n_buckets").groupBy("bucket")).applyInArrow(_find, schema)
