@@ -68,11 +68,19 @@ def _cells(fp: Column) -> Column:
     return F.array_compact(F.array(own, *steps))
 
 
+def unfolded(fps: DataFrame) -> DataFrame:
+    """`(fp, cell)`: every cell of each fingerprint.
+
+    Few bytes become many, so rows are spread by number and not by size; by another hash than that of the grouping by `fp`
+    before, or the planner drops this exchange.
+    """
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp", F.lit(1)))
+    return spread.select("fp", F.explode(_cells(F.col("fp"))).alias("cell"))
+
+
 def links(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """`(a, b)` over distinct `fp` at most two bits apart: every link of sparse cells, a star for crowded ones."""
-    # few bytes before the unfolding, many after: spread by number, not by size
-    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
-    cells = spread.select("fp", F.explode(_cells(F.col("fp"))).alias("cell"))
+    cells = unfolded(fps)
     sizes = cells.groupBy("cell").count().where("count > 1")
     met = stored(cells.join(sizes, "cell"), "cells")
     sparse = met.where(F.col("count") <= crowded).select("cell", "fp")
@@ -110,10 +118,16 @@ def one_of_each(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     """One row of each group of near copies: the one with the smallest id, of several the one with the smallest row hash.
 
     Groups are found on ids, row hashes and fingerprints; texts move once, to be filtered. A null id is taken only if the
-    group has no other. Of equal rows one stays.
+    group has no other. Of equal rows one stays; rows are equal if id and two independent hashes of 64 bits are, which 10^10
+    different rows of one id fail to tell apart with a probability of 10^-19. Rows are carried whole, whatever their
+    columns are called; an empty table gives none.
     """
-    keyed = docs.withColumn("row_key", row_key(*docs.columns))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    whole = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).alias("whole")
+    key = F.struct("doc_id", F.xxhash64(*columns).alias("h"), F.xxhash64(F.lit(1), *columns).alias("g")).alias("row_key")
+    keyed = docs.select("doc_id", "text", whole, key)
     rows = stored(with_fingerprints(keyed, ["doc_id", "row_key"], width, seed), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
     first = with_groups(rows).groupBy("root").agg(F.min(order).alias("first")).select("first.row_key")
-    return keyed.join(first, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*[f"`{c}`" for c in docs.columns])
+    left = keyed.join(first, keyed["row_key"].eqNullSafe(first["row_key"]), "left_semi").dropDuplicates(["row_key"])
+    return left.select(*[F.col(f"whole.c{i}").alias(c) for i, c in enumerate(docs.columns)])

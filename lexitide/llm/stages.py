@@ -1,46 +1,68 @@
-"""The stages of the corpus pipeline; each takes and (but for the last) returns rows with the columns of `documents`."""
+"""The stages of the corpus pipeline; each takes and (but for the last) returns rows with the columns of `documents`.
+
+A stage works on `doc_id`, `text`, `source` and `lang` and carries each input row whole as one struct beside them, so columns of any
+name, dots and the operators' own names included, come back as they were. Null values in any column, empty and very long
+texts, ties and repeated rows are as each operator states; an empty table gives an empty result in every stage.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD_BPE = "word_bpe_49k.json"
+_WHOLE = "stage_row"
+
+
+def _carried(docs: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns beside the whole row, whose fields are numbered."""
+    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    return docs.select(*needed, whole.alias(_WHOLE))
+
+
+def _back(df: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The rows as they came, but for the columns that the stage has changed."""
+    return df.select(*[changed.get(c, F.col(f"{_WHOLE}.c{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weakly supervised quality model keeps."""
+    """Documents that the weakly supervised quality model keeps. Null and empty texts fail; rows that repeat share a verdict."""
     from lexitide.llm.quality import judge
 
-    return judge(docs).where("kept").select(*docs.columns)
+    return _back(judge(_carried(docs, "text")).where("kept"), docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: a similarity of 0.8 or more over five-word shingles.
+    """One document of each group of near copies: three-word shingles, fingerprints at most two bits apart.
 
-    The query's fingerprints (three words, two bits) follow a contract and find hardly more than copies with equal words.
+    The smallest id stays; a null id only if its group has no other; of equal rows one. Wordless texts are one group.
     """
-    from lexitide.llm.near_copies import one_of_each
+    from lexitide.llm.simhash import one_of_each
 
-    return one_of_each(docs)
+    return one_of_each(docs, width=3)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by its kind in brackets."""
+    """Personal data replaced by its kind in brackets. Every row stays, null texts stay null."""
     from lexitide.llm.pii import redact
 
-    return redact(docs).select(*docs.columns)
+    return _back(redact(_carried(docs, "doc_id", "text")), docs, text=F.col("text"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled so that source, language and topic shares of tokens approach their targets."""
+    """Documents sampled so that source, language and topic shares of tokens meet their targets, as far as the tokens allow.
+
+    Null sources and languages are values of their own; rows that repeat share one decision.
+    """
     from lexitide.llm.mixing import sample_to_targets
 
-    return sample_to_targets(docs).select(*docs.columns)
+    return _back(sample_to_targets(_carried(docs, "doc_id", "text", "source", "lang")), docs)
 
 
 def word_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the documents that are left."""
+    """Token ids of the documents that are left. A null text has none; rows that repeat stay; other columns are not read."""
     from lexitide.llm.word_bpe import encode_and_decode
 
-    return encode_and_decode(docs, public_tokenizers.path(WORD_BPE), ("ids",)).select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+    found = encode_and_decode(docs.select("doc_id", "text", "lang", "source"), public_tokenizers.path(WORD_BPE), ("ids",))
+    return found.select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
