@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexitide.functions import text as X
+from lexitide.operators.sparse import sparse_rows
 from lexitide.session import BROADCAST_ROWS
 
 
@@ -22,8 +23,13 @@ def build_vocab(docs: DataFrame, vocab_size: int = 30_000, min_freq: int = 3) ->
 
     Frequency means occurrences, not documents. Ties are broken by the term.
     """
+    return top_terms(term_counts(docs), vocab_size, min_freq)
+
+
+def top_terms(counts: DataFrame, vocab_size: int = 30_000, min_freq: int = 3) -> DataFrame:
+    """The vocabulary of a table of counts `(term, tf)`: `(term, term_idx, tf)`."""
     order = [F.desc("tf"), F.asc("term")]
-    top = term_counts(docs).where(F.col("tf") >= min_freq).orderBy(*order).limit(vocab_size)
+    top = counts.where(F.col("tf") >= min_freq).orderBy(*order).limit(vocab_size)
     # the window sees the vocabulary only, never the corpus
     return top.withColumn("term_idx", F.row_number().over(Window.orderBy(*order)) - 1).select("term", "term_idx", "tf")
 
@@ -38,15 +44,6 @@ def doc_term_counts(docs: DataFrame, terms: str = "full_text") -> DataFrame:
     return X.unfold(docs, "doc_id", tokens=terms).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
-def gram_counts(docs: DataFrame, ngram: tuple[int, int]) -> DataFrame:
-    """`(doc_id, term, tf)` of word n-grams of `text`.
-
-    The texts are hashed by id first, so the counting here and any later step per document stay local.
-    """
-    worded = docs.select("doc_id", "text").repartition("doc_id").select("doc_id", X.words(F.col("text")).alias("words"))
-    return doc_term_counts(worded.select("doc_id", X.ngrams(F.col("words"), *ngram).alias("grams")), "grams")
-
-
 def count_vectors(docs: DataFrame, vocab: DataFrame, vocab_size: int = 30_000) -> DataFrame:
     """Counts of vocabulary terms per document: `(doc_id, term_idx, tf)`; other terms are ignored (M1)."""
     known = bounded(vocab.select("term", "term_idx"), vocab_size)
@@ -67,29 +64,42 @@ def tfidf_features(train: DataFrame, max_features: int = 100_000, min_df: int =
     """Features fitted on training texts: `(term, term_idx, tf, df, idf)`.
 
     A feature needs `min_df` documents; of those the `max_features` with most occurrences stay. The
-    inverse document frequency is ln((1 + n) / (1 + df)) + 1.
+    inverse document frequency is ln((1 + n) / (1 + df)) + 1. A document is a row, whatever its id: each row
+    tells its terms and, once each, its distinct terms, and both are summed before the only shuffle.
     """
-    n_docs = train.count()
     order = [F.desc("tf"), F.asc("term")]
+    worded = train.select(X.words(F.col("text")).alias("words"))
+    grams = worded.select(X.ngrams(F.col("words"), *ngram).alias("grams"))
+    every = F.transform("grams", lambda g: F.struct(g.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df")))
+    once = F.transform(F.array_distinct("grams"), lambda g: F.struct(g.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")))
+    told = grams.select(F.inline_outer(F.concat(every, once))).where(F.col("term").isNotNull())
     stats = (
-        gram_counts(train, ngram)
-        .groupBy("term")
-        .agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+        told.groupBy("term")
+        .agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
         .where(F.col("df") >= min_df)
         .orderBy(*order)
         .limit(max_features)
     )
+    return with_idf(stats, train.count())
+
+
+def with_idf(stats: DataFrame, n_docs: int) -> DataFrame:
+    """Chosen terms `(term, tf, df)` with their weight `idf` and their place `term_idx` by frequency, then term."""
     idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0
-    index = F.row_number().over(Window.orderBy(*order)) - 1
+    index = F.row_number().over(Window.orderBy(F.desc("tf"), F.asc("term"))) - 1
     return stats.withColumn("idf", idf).withColumn("term_idx", index)
 
 
 def tfidf_weights(docs: DataFrame, features: DataFrame, max_features: int = 100_000, ngram: tuple[int, int] = (1, 2)) -> DataFrame:
-    """Length-one TF-IDF rows in long form: `(doc_id, term, weight)`."""
-    known = bounded(features.select("term", "idf"), max_features)
-    raw = gram_counts(docs, ngram).join(known, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
-    return raw.select("doc_id", "term", (F.col("w") / length).alias("weight"))
+    """Length-one TF-IDF rows in long form: `(doc_id, term, weight)`, each row of `docs` by itself.
+
+    Terms are counted and weighed in the row by the pipeline; only weights unfold, and neither texts nor tokens move.
+    """
+    kept = features.persist()
+    made = tfidf_pipeline(kept, ngram).transform(docs.select("doc_id", "text"))
+    rows = sparse_rows(made, ["doc_id"])
+    long = rows.select("row.doc_id", F.inline(F.arrays_zip(F.col("idx").alias("term_idx"), F.col("val").alias("weight"))))
+    return long.join(bounded(kept.select("term", "term_idx"), max_features), "term_idx").select("doc_id", "term", "weight")
 
 
 def tfidf_pipeline(features: DataFrame, ngram: tuple[int, int] = (1, 2), output_col: str = "features") -> PipelineModel:
@@ -97,7 +107,7 @@ def tfidf_pipeline(features: DataFrame, ngram: tuple[int, int] = (1, 2), output_
     rows = features.select("term", "term_idx", "idf").orderBy("term_idx").collect()  # at most max_features rows
     low, high = ngram
     # the raw literal keeps the pattern's backslashes in SQL
-    stages = [SQLTransformer(statement=f"SELECT *, regexp_extract_all(lower(text), r'{X.WORD}', 0) AS _n1 FROM __THIS__")]
+    stages = [SQLTransformer(statement=f"SELECT *, regexp_extract_all(lower(coalesce(text, '')), r'{X.WORD}', 0) AS _n1 FROM __THIS__")]
     stages += [NGram(n=n, inputCol="_n1", outputCol=f"_n{n}") for n in range(max(low, 2), high + 1)]
     grams = ", ".join(f"_n{n}" for n in range(low, high + 1))
     stages.append(SQLTransformer(statement=f"SELECT *, concat({grams}) AS _grams FROM __THIS__"))

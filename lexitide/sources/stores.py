@@ -160,8 +160,11 @@ def write_split(labelled: DataFrame, path: str) -> None:
 
 
 def save_model(model, path: str) -> None:
-    """Any fitted Spark ML model or pipeline."""
-    model.write().overwrite().save(path)
+    """Any fitted Spark ML model or pipeline, or a model that saves itself."""
+    if hasattr(model, "write"):
+        model.write().overwrite().save(path)
+    else:
+        model.save(path)
 
 
 def join_path(base: str, *parts: str) -> str:
