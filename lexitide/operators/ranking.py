@@ -2,48 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
 
 from lexitide.session import broadcast_if_small, cut_lineage
 
-# Spark keeps only the first n rows of each group before the shuffle up to this n.
-GROUP_LIMIT = 1000
-RANGES = 512
 HASH_BUCKETS = 4096
 
 
 def add_row_index(df: DataFrame, order_col: str, by: str | None = None, index_col: str = "row_idx") -> DataFrame:
-    """Zero-based position of each row by `order_col` (a number), over the table or within `by`.
+    """Zero-based position of each row by `order_col`, over the table or within `by`; keys of any ordered type, nulls first.
 
-    Approximate quantiles cut the order into ranges, each range is counted, and a row's position is the
-    count of the ranges before it plus its place in its own range. No window is larger than one range.
+    Rows are dealt into ranges of the order and sorted there; a row's position is the number of rows in the ranges before it
+    plus its place in its own range. Rows that tie are dealt by a hash of the row, so a frequent key has no range to itself.
     """
-    cuts = df.approxQuantile(order_col, [i / RANGES for i in range(1, RANGES)], 0.0005)
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    as_number = df.withColumn("_order", F.col(order_col).cast("double"))
-    ranged = Bucketizer(splits=splits, inputCol="_order", outputCol="_range").transform(as_number).drop("_order")
-    keys = ["_range"] if by is None else [by, "_range"]
-    # at most RANGES rows per group
-    before = Window.orderBy("_range") if by is None else Window.partitionBy(by).orderBy("_range")
-    offsets = (
-        ranged.groupBy(*keys)
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .drop("_n")
-    )
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order_col))
-    return (
-        ranged.join(broadcast_if_small(offsets), keys)
-        .withColumn(index_col, F.col("_before") + place - 1)
-        .drop("_before", "_range")
-    )
-
-
-def is_number(df: DataFrame, name: str) -> bool:
-    return isinstance(df.schema[name].dataType, NumericType)
+    keys = [c for c in (by, order_col) if c is not None]
+    ordered = [*[F.col(c) for c in keys], F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]
+    ranges = cut_lineage(df.repartitionByRange(*ordered).sortWithinPartitions(*ordered))
+    # a checkpointed range is one partition, whose number and places this id holds
+    placed = ranges.withColumn("_id", F.monotonically_increasing_id())
+    part, place = F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND(F.lit(2**33 - 1))
+    before, start = [], 0
+    for r in placed.groupBy(part).count().orderBy("_part").collect():  # one row per range
+        before.append((r["_part"], start))
+        start += r["count"]
+    offsets = df.sparkSession.createDataFrame(before, "_part LONG, _before LONG")
+    whole = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(index_col, F.col("_before") + place)
+    whole = whole.drop("_id", "_part", "_before")
+    if by is None:
+        return whole
+    starts = whole.groupBy(F.col(by).alias("_group")).agg(F.min(index_col).alias("_start"))
+    within = whole.join(broadcast_if_small(starts), F.col(by).eqNullSafe(F.col("_group")))
+    return within.withColumn(index_col, F.col(index_col) - F.col("_start")).drop("_group", "_start")
 
 
 def corpus_limit(df: DataFrame, n: int, order_col: str = "doc_id") -> DataFrame:
@@ -71,28 +61,34 @@ def corpus_limit(df: DataFrame, n: int, order_col: str = "doc_id") -> DataFrame:
 
 
 def limit_per_group(df: DataFrame, by: str, order_col: str, n: int) -> DataFrame:
-    """The first n rows of every group."""
+    """The first n rows of every group.
+
+    One method for every n, key type and group size: positions are worked out on keys and two hashes of the row, each
+    group's n-th key is its cut, and rows are filtered by it. Nulls come first and of rows that tie at the cut any may stay.
+    """
     if n <= 0:
         return df
-    if n <= GROUP_LIMIT:
-        place = F.row_number().over(Window.partitionBy(by).orderBy(order_col))
-        return df.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
-    return add_row_index(df, order_col, by=by).where(F.col("row_idx") < n).drop("row_idx")
+    row = [F.col(f"`{c}`") for c in df.columns]
+    # a row's place among ties: two independent hashes of 64 bits
+    keyed = df.withColumn("_at", F.struct(F.col(order_col).alias("key"), F.xxhash64(*row).alias("h"), F.xxhash64(F.lit(1), *row).alias("g")))
+    last = add_row_index(keyed.select(F.col(by).alias("_by"), "_at"), "_at", by="_by").where(F.col("row_idx") == n - 1)
+    cuts = broadcast_if_small(last.select("_by", F.col("_at").alias("_cut")))  # a row per group of n rows or more
+    met = keyed.join(cuts, F.col(by).eqNullSafe(F.col("_by")), "left")
+    sure = met.where(F.col("_cut").isNull() | (F.col("_at") < F.col("_cut"))).select(*row)
+    # equal rows at the cut: as many copies of one as are still wanted
+    edge = met.where(F.col("_at") == F.col("_cut")).dropDuplicates(["_by"]).select(F.col("_by").alias("_edge"), *row)
+    counts = met.where(F.col("_at") < F.col("_cut")).groupBy(F.col("_by").alias("_of")).agg(F.count("*").alias("_less"))
+    wanted = edge.join(counts, F.col("_edge").eqNullSafe(F.col("_of")), "left").withColumn("_i", F.explode(F.sequence(F.lit(1), n - F.coalesce("_less", F.lit(0)))))
+    return sure.unionByName(wanted.select(*row))
 
 
 def step_sample(df: DataFrame, order_col: str, cap: int = 50_000, target: int = 20_000, total: int | None = None) -> DataFrame:
-    """Above `cap` rows keep every max(1, N // target)-th row by position, else keep all.
-
-    Numbers are in their own order, other keys in the order of their hash.
-    """
+    """Above `cap` rows keep every max(1, N // target)-th row by position in the order of `order_col`, else keep all."""
     n = df.count() if total is None else total
     step = max(1, n // target)
     if n <= cap or step == 1:
         return df
-    if is_number(df, order_col):
-        return add_row_index(df, order_col).where(F.col("row_idx") % step == 0).drop("row_idx")
-    placed = add_row_index(df.withColumn("_pos", F.xxhash64(order_col)), "_pos")
-    return placed.where(F.col("row_idx") % step == 0).drop("row_idx", "_pos")
+    return add_row_index(df, order_col).where(F.col("row_idx") % step == 0).drop("row_idx")
 
 
 def top_per_group(df: DataFrame, by: str, order: list[Column], n: int, rank_col: str = "rank") -> DataFrame:
