@@ -24,8 +24,8 @@ MAX_CELLS = 4096
 def metric_vector(embedding: Column, metric: str) -> Column:
     """Vector whose Euclidean distances order rows as `metric` does.
 
-    For cosine that is the unit vector; a zero vector gets an axis of its own, so it is at distance 1
-    from every other vector.
+    For cosine that is the unit vector; zero vectors get an axis of their own, which puts them at distance 1 from all
+    others. Two of them fall together here; `metric_distances` sets them apart.
     """
     if metric == "euclidean":
         return as_double(embedding)
@@ -49,6 +49,15 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(sq, 0.0))
 
 
+def metric_distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of `metric_vector`s in the metric itself; cosine between two zero vectors is 1, as between any other and one."""
+    d = distances(x, y)
+    if metric == "cosine":
+        d = d * d / 2.0
+        d[np.outer(x[:, -1] > 0, y[:, -1] > 0)] = 1.0
+    return d
+
+
 def chunks(v: pd.Series, size: int = 1024) -> Iterator[np.ndarray]:
     """Vectors of a batch as matrices of at most `size` rows, which bounds their distances to all pivots."""
     for lo in range(0, len(v), size):
@@ -121,14 +130,14 @@ def pack(rows: DataFrame, *extra: str) -> DataFrame:
 
 
 def near_cells(rows: DataFrame, cells: Cells, reach) -> DataFrame:
-    """Distinct `(qblock, cell)` to compare; `reach(d)` gives each row's wanted cells from its pivot distances."""
+    """Distinct `(qblock, cell)` to compare; `reach(d, x)` gives each row's wanted cells from its pivot distances."""
     pivots = cells.pivots
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             at = 0
             for x in chunks(pdf["v"]):
-                wanted = reach(distances(x, pivots))
+                wanted = reach(distances(x, pivots), x)
                 owner = pdf["block"].to_numpy()[at : at + len(x)]
                 at += len(x)
                 for b in np.unique(owner):

@@ -68,12 +68,8 @@ def cooccurrence(docs: DataFrame, vocab: DataFrame, vocab_size: int, span: int =
     return pairs.select(by, both.alias("p"), "n").groupBy(by, "p.term", "p.context").agg(F.sum("n").alias("n"))
 
 
-def semantic_drift(docs: DataFrame, vocab_size: int = 200, min_freq: int = 3, span: int = 5) -> DataFrame:
-    """Cosine of each word's context vectors in consecutive decades: `(term, from_decade, to_decade, cosine)` (R2).
-
-    Vectors hold positive pointwise mutual information over the same vocabulary in every decade, so they
-    need no alignment. Words with a vector in both decades are reported.
-    """
+def information_table(docs: DataFrame, vocab_size: int, min_freq: int = 3, span: int = 5) -> DataFrame:
+    """Positive pointwise mutual information of vocabulary words in each decade: `(decade, term, context, w)`, symmetric."""
     dated = docs.where(F.col("rights_year").isNotNull())
     dated = dated.withColumn("decade", (F.floor(F.col("rights_year") / F.lit(10.0)) * 10).cast("int"))
     vocab = build_vocab(docs, vocab_size, min_freq).persist()
@@ -82,13 +78,22 @@ def semantic_drift(docs: DataFrame, vocab_size: int = 200, min_freq: int = 3, sp
     totals = margins.groupBy("decade").agg(F.sum("n_term").alias("n_all"))
     contexts = margins.select("decade", F.col("term").alias("context"), F.col("n_term").alias("n_context"))
     information = F.log(F.col("n") * F.col("n_all") / (F.col("n_term") * F.col("n_context")))
-    ppmi = (
+    return (
         counts.join(broadcast_if_small(margins), ["decade", "term"])
         .join(broadcast_if_small(contexts), ["decade", "context"])
         .join(broadcast_if_small(totals), "decade")
         .select("decade", "term", "context", information.alias("w"))
         .where(F.col("w") > 0)
-    ).persist()
+    )
+
+
+def semantic_drift(docs: DataFrame, vocab_size: int = 200, min_freq: int = 3, span: int = 5) -> DataFrame:
+    """Cosine of each word's context vectors in consecutive decades: `(term, from_decade, to_decade, cosine)` (R2).
+
+    Vectors hold positive pointwise mutual information over the same vocabulary in every decade, so they
+    need no alignment. Words with a vector in both decades are reported. For large vocabularies see `drift.embedding_drift`.
+    """
+    ppmi = information_table(docs, vocab_size, min_freq, span).persist()
     lengths = ppmi.groupBy("decade", "term").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len")).persist()
     nxt = ppmi.select((F.col("decade") - 10).alias("decade"), "term", "context", F.col("w").alias("w2"))
     dots = ppmi.join(nxt, ["decade", "term", "context"]).groupBy("decade", "term").agg(F.sum(F.col("w") * F.col("w2")).alias("dot"))
