@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lexitide.functions import text as X
 from lexitide.operators import classify, clustering, documents, metrics, neighbors, ranking, splits, timelines, topics, vocab
+from lexitide.operators.topic_model import open_topic_model, topic_model
 from lexitide.operators.vectors import embed_rows
 from lexitide.schemas import NoLabelledRows
 from lexitide.session import cut_lineage
@@ -47,10 +48,10 @@ def cluster_vectors(
     """k-means for each k: labels, centres and metrics with their source files."""
     vectors = stores.require_sound(stores.read_vectors(spark, path_in(emb_dir, "vectors")))
     labels, scores, centres = clustering.kmeans_sweep(vectors, k, max_iter, n_init, random_state)
-    sources = stores.sources_of(vectors).first()["sources"]  # file names
+    sources = stores.sources_of(vectors).select("sources")
     labels.write.mode("overwrite").partitionBy("k").parquet(path_in(out_dir, "labels"))
     centres.write.mode("overwrite").parquet(path_in(out_dir, "centres"))
-    scored = scores.withColumn("sources", F.array(*[F.lit(s) for s in sources])).persist()
+    scored = scores.join(F.broadcast(sources)).persist()  # one row of file names
     record = scored.agg(F.max("n_docs").alias("n_docs"), F.sort_array(F.collect_list("k")).alias("k"), F.first("sources").alias("sources"))
     settings = {"max_iter": max_iter, "n_init": n_init, "random_state": random_state}
     record = record.withColumns({c: F.lit(v) for c, v in settings.items()})
@@ -128,11 +129,11 @@ def density_topics(
     top_n: int = 10,
 ) -> DataFrame:
     """Topics from vectors: assignments, words, topic table and timeline. Returns the topic table."""
-    stored = ranking.corpus_limit(stores.read_vectors(spark, path_in(emb_dir, "vectors")), max_docs).persist()
+    stored = ranking.corpus_limit(stores.require_sound(stores.read_vectors(spark, path_in(emb_dir, "vectors"))), max_docs).persist()
     docs = jsonl.read_docs(spark, batches_dir)
     texts = documents.tokens_for_ids(stored.select("doc_id"), docs)
-    found = neighbors.density_topics(stored, n_components, min_cluster_size, min_samples, eps)
-    assigned = cut_lineage(found.select("doc_id", "rights_year", "topic"))
+    fitted = neighbors.density_fit(stored, n_components, min_cluster_size, min_samples, eps)
+    assigned = cut_lineage(stored.join(fitted.topics, "doc_id").select("doc_id", "rights_year", "topic"))
     with_text = assigned.select("doc_id", "topic").join(texts, "doc_id")
     if nr_topics is not None:
         merged = cut_lineage(topics.merge_topics(assigned, with_text, nr_topics))
@@ -157,9 +158,21 @@ def density_topics(
     stores.write_csv(exported, path_in(out_dir, "topics"))
     stores.write_csv(assigned.select("doc_id", "rights_year", "topic"), path_in(out_dir, "doc_topics"))
     stores.write_csv(timelines.timeline_wide(line, names), path_in(out_dir, "timelines"))
+    topic_model(fitted, assigned).save(path_in(out_dir, "model"))
+    record = assigned.agg(F.count("*").alias("n_docs"), F.count_distinct(F.when(F.col("topic") >= 0, F.col("topic"))).alias("n_topics"), F.count_if(F.col("topic") < 0).alias("n_noise"))
+    settings = {"emb_dir": emb_dir, "batches_dir": batches_dir, "n_components": n_components, "min_cluster_size": min_cluster_size, "min_samples": fitted.min_samples, "eps": eps, "nr_topics": str(nr_topics), "calc_prob": calc_prob}
+    stores.write_json(record.withColumns({c: F.lit(v) for c, v in settings.items()}), path_in(out_dir, "run"))
     return info
 
 
+def assign_topics(spark: SparkSession, emb_dir: str, topics_dir: str, out_dir: str) -> DataFrame:
+    """Topics of stored vectors by the model of an earlier `density_topics` run, noise -1; nothing is fitted again."""
+    vectors = stores.require_sound(stores.read_vectors(spark, path_in(emb_dir, "vectors")))
+    placed = open_topic_model(spark, path_in(topics_dir, "model")).assign(vectors).select("doc_id", "rights_year", "topic").persist()
+    stores.write_csv(placed, path_in(out_dir, "doc_topics"))
+    return placed
+
+
 def density_gloss(spark: SparkSession, topics_csv: str, timelines_csv: str, out_csv: str, top_n: int = 10) -> DataFrame:
     info = stores.read_topic_info(spark, topics_csv)
     if "Count" in info.columns:

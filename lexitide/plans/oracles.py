@@ -77,6 +77,28 @@ raw AS (SELECT doc_id, term, tf * (ln((1.0 + (SELECT count(*) FROM split WHERE s
 SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM raw"""
 
 
+INFORMATION = f"""WITH {DOCS},
+t AS (SELECT doc_id, rights_year, unnest(range(len(full_text))) AS pos, unnest(full_text) AS term FROM docs),
+v AS (SELECT term FROM (SELECT term, count(*) AS tf FROM t GROUP BY term HAVING count(*) >= 3 ORDER BY tf DESC, term LIMIT 30000)),
+k AS (SELECT doc_id, pos, term, CAST(floor(rights_year / 10.0) * 10 AS INTEGER) AS decade FROM t JOIN v USING (term) WHERE rights_year IS NOT NULL),
+c AS (SELECT a.decade, a.term, b.term AS context, count(*) AS n FROM k a JOIN (SELECT doc_id, term, pos, unnest([-5, -4, -3, -2, -1, 1, 2, 3, 4, 5]) AS gap FROM k) b
+  ON a.doc_id = b.doc_id AND a.pos = b.pos + b.gap GROUP BY ALL),
+p AS (SELECT decade, term, n, sum(n) OVER (PARTITION BY decade, term) AS nt, sum(n) OVER (PARTITION BY decade, context) AS nx, sum(n) OVER (PARTITION BY decade) AS na FROM c),
+l AS (SELECT DISTINCT decade, term FROM p WHERE ln(n * CAST(na AS DOUBLE) / (nt * nx)) > 0)"""
+
+
+REPEATED_IDS = f"""WITH {DOCS}, {LABELLED}, {SPLIT},
+rows_twice AS (
+  SELECT s.doc_id, s.split, p.part, CASE WHEN p.part = 0 THEN s.full_text ELSE regexp_extract_all(lower(substr(d.text, 1, 200)), '[\\p{{L}}\\p{{N}}_]{{2,}}') END AS full_text
+  FROM split s JOIN documents d USING (doc_id) CROSS JOIN (SELECT unnest([0, 1]) AS part) p),
+tf AS (SELECT doc_id, part, split, term, count(*) AS tf FROM (SELECT doc_id, part, split, unnest(full_text) AS term FROM rows_twice) GROUP BY ALL),
+features AS (SELECT term, sum(tf) AS tf_all, count(*) AS df FROM tf WHERE split = 'train' GROUP BY term HAVING count(*) >= 2
+  ORDER BY tf_all DESC, term LIMIT 100000),
+raw AS (SELECT doc_id, part, term, tf * (ln((1.0 + (SELECT count(*) FROM rows_twice WHERE split = 'train')) / (1.0 + df)) + 1.0) AS w FROM tf JOIN features USING (term)),
+weights AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id, part)) AS weight FROM raw)
+SELECT doc_id, term, count(*) AS n_rows, round(max(weight), 6) AS high, round(min(weight), 6) AS low FROM weights GROUP BY doc_id, term"""
+
+
 VOTES = """pairs AS (
   SELECT a.vec_id AS doc_id, b.vec_id AS nbr, b.label,
          round(1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS dist
@@ -102,6 +124,18 @@ ELBOW = """ends AS (SELECT min(k) AS x1, max(k) AS x2, arg_min(inertia, k) AS y1
 elbow AS (SELECT k AS k_elbow FROM {m}, ends
   ORDER BY abs((y2 - y1) * k - (x2 - x1) * inertia + x2 * y1 - y2 * x1) / sqrt((x2 - x1) ^ 2 + (y2 - y1) ^ 2) DESC, k LIMIT 1)"""
 
+TREE_LEVELS = """WITH RECURSIVE pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS d
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+core AS (SELECT a, max(d) AS core FROM (SELECT a, d FROM pairs QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) <= 5) GROUP BY a),
+mr AS (SELECT p.a, p.b, greatest(p.d, x.core, y.core) AS w FROM pairs p JOIN core x ON x.a = p.a JOIN core y ON y.a = p.b),
+levels AS (SELECT CAST(unnest([1.0, 1.15, 1.18, 1.2, 1.22, 1.25, 1.3]) AS DOUBLE) AS level),
+edges AS (SELECT level, a, b FROM mr JOIN levels ON w <= level),
+reach AS (SELECT level, vec_id AS a, vec_id AS b FROM levels, embeddings
+  UNION SELECT r.level, r.a, e.b FROM reach r JOIN edges e ON e.level = r.level AND e.a = r.b),
+parts AS (SELECT level, count(DISTINCT low) AS n FROM (SELECT level, a, min(b) AS low FROM reach GROUP BY ALL) GROUP BY level)
+SELECT level, (SELECT count(*) FROM embeddings) - n AS n_edges, (SELECT count(*) - 1 FROM embeddings) AS n_tree FROM parts"""
+
 METRIC_CELLS = """p AS (SELECT CAST(quality AS VARCHAR) AS y_true, CAST(toxic AS VARCHAR) AS y_pred FROM labels),
 names AS (SELECT y_true AS label FROM p UNION SELECT y_pred FROM p),
 scores AS (SELECT label,
@@ -178,12 +212,24 @@ ORACLES: dict[str, str] = {
     + _terms("translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')")
     + " AS term FROM documents) WHERE term NOT IN ('the', 'of', 'and', 'de', 'la', 'der', 'die') GROUP BY term",
     "vocab_topk": f"WITH c AS (SELECT term, count(*) AS tf FROM (SELECT {_terms('text')} AS term FROM documents) GROUP BY term) SELECT term, CAST(row_number() OVER (ORDER BY tf DESC, term) - 1 AS INTEGER) AS term_idx, tf FROM c WHERE tf >= 3 ORDER BY tf DESC, term LIMIT 30000",
+    "vocab_sketch": f"WITH c AS (SELECT term, count(*) AS tf FROM (SELECT {_terms('text')} AS term FROM documents) GROUP BY term) SELECT term, CAST(row_number() OVER (ORDER BY tf DESC, term) - 1 AS INTEGER) AS term_idx, tf FROM c WHERE tf >= 3 ORDER BY tf DESC, term LIMIT 30000",
+    "bigram_features_sketch": f"""WITH {DOCS}, {LABELLED}, {SPLIT},
+grams AS (SELECT doc_id, unnest(full_text) AS term FROM split WHERE split = 'train' UNION ALL SELECT doc_id, concat(full_text[i], ' ', full_text[i + 1])
+  FROM (SELECT doc_id, full_text, unnest(range(1, len(full_text))) AS i FROM split WHERE split = 'train')),
+f AS (SELECT term, CAST(sum(n) AS BIGINT) AS tf, count(*) AS df FROM (SELECT doc_id, term, count(*) AS n FROM grams GROUP BY ALL) GROUP BY term HAVING count(*) >= 2
+  ORDER BY tf DESC, term LIMIT 2000)
+SELECT term, CAST(row_number() OVER (ORDER BY tf DESC, term) - 1 AS INTEGER) AS term_idx, tf, df,
+  round(ln((1.0 + (SELECT count(*) FROM split WHERE split = 'train')) / (1.0 + df)) + 1.0, 6) AS idf FROM f""",
+    "tree_levels": TREE_LEVELS,
+    "neighbor_graph": "SELECT count(*) * 10 AS n_rows, count(*) * 10 AS n_pairs, CAST(0 AS BIGINT) AS n_self, count(*) * 10 AS n_exact, true AS recalled FROM embeddings",
+    "spectral_coordinates": "SELECT CAST(i AS INTEGER) AS i, true AS unit, true AS settled, true AS bounded FROM (SELECT unnest(range(4)) AS i)",
     "count_vectors": f"""WITH t AS (SELECT doc_id, {_terms('text')} AS term FROM documents),
 c AS (SELECT term, count(*) AS tf FROM t GROUP BY term HAVING count(*) >= 3 ORDER BY tf DESC, term LIMIT 30000),
 v AS (SELECT term, CAST(row_number() OVER (ORDER BY tf DESC, term) - 1 AS INTEGER) AS term_idx FROM c)
 SELECT doc_id, term_idx, count(*) AS tf FROM t JOIN v USING (term) GROUP BY ALL""",
     "tfidf_unigram": _tfidf(100_000, False),
     "tfidf_bigram": _tfidf(100_000, True),
+    "tfidf_repeated_ids": REPEATED_IDS,
     "ctfidf_decade": f"WITH {DOCS}, {LABELLED}, {_ctfidf('labelled', 'label')} SELECT label, rank, term, weight FROM words",
     "ctfidf_role": r"WITH turns AS (SELECT role, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS full_text FROM conversations), "
     + _ctfidf("turns", "role")
@@ -238,6 +284,10 @@ cs AS (SELECT a.vec_id, a.cluster AS own, b.cluster, sum(list_distance(a.v, b.v)
 ab AS (SELECT vec_id, own, max(n) FILTER (WHERE own = cluster) AS size, max(total) FILTER (WHERE own = cluster) AS inside, min(total / n) FILTER (WHERE own <> cluster) AS b FROM cs GROUP BY ALL),
 s AS (SELECT own, CASE WHEN size = 1 THEN 0 ELSE (b - inside / (size - 1)) / greatest(b, inside / (size - 1)) END AS s FROM ab)
 SELECT own AS cluster, count(*) AS n, round(avg(s), 6) AS silhouette FROM s GROUP BY own""",
+    "step_sample_text": "WITH k AS (SELECT md5(CAST(vec_id AS VARCHAR)) AS key FROM embeddings), r AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS i, count(*) OVER () AS n FROM k) "
+    "SELECT key FROM r WHERE n <= 300 OR i % greatest(1, n // 120) = 0",
+    "file_limit_text": f"WITH {DOCS}, k AS (SELECT batch, doc_id, md5(CAST(doc_id AS VARCHAR)) AS key FROM docs WHERE len(full_text) > 0) "
+    "SELECT batch, doc_id, key FROM k QUALIFY row_number() OVER (PARTITION BY batch ORDER BY key) <= 1100",
     "step_sample": "WITH r AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY vec_id) - 1 AS i, count(*) OVER () AS n FROM embeddings) SELECT doc_id FROM r WHERE n <= 300 OR i % greatest(1, n // 120) = 0",
     "k_metrics": f"WITH {KMETRICS} SELECT k, round(inertia, 4) AS inertia, round(silhouette, 6) AS silhouette FROM km",
     "k_recommend": f"""WITH {KMETRICS}, {ELBOW.format(m='km')}, best AS (SELECT k AS k_best_silhouette FROM km ORDER BY silhouette DESC, k LIMIT 1)
@@ -269,6 +319,9 @@ l AS (SELECT decade, term, sqrt(sum(w * w)) AS len FROM p GROUP BY ALL),
 d AS (SELECT p.decade, p.term, sum(p.w * q.w) AS dot FROM p JOIN p q ON q.decade = p.decade + 10 AND q.term = p.term AND q.context = p.context GROUP BY ALL)
 SELECT l.term, l.decade || 's' AS from_decade, (l.decade + 10) || 's' AS to_decade, round(coalesce(dot, 0) / (l.len * n.len), 6) AS cosine
 FROM l JOIN l n ON n.decade = l.decade + 10 AND n.term = l.term LEFT JOIN d ON d.decade = l.decade AND d.term = l.term""",
+    "drift_embeddings": f"""{INFORMATION} SELECT count(*) AS n_rows, count(DISTINCT l.term) AS n_terms, count(DISTINCT l.decade) AS n_steps, count(*) AS n_sound
+FROM l JOIN l n ON n.decade = l.decade + 10 AND n.term = l.term""",
+    "decade_embeddings": f"{INFORMATION} SELECT decade, count(*) AS n_rows, count(*) AS n_terms, true AS orthogonal, true AS ordered FROM l GROUP BY decade",
     "kmeans_labels": _clustered("6"),
     "kmeans_multi_k": _clustered("4, 8", ", true AS silhouette_same, true AS below_one_cluster"),
     "lda_doc_topics": f"""WITH {DOCS}, t AS (SELECT doc_id, unnest(full_text) AS term FROM docs),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexitide.functions import text as X
 from lexitide.functions.vectors import argmax, mean_vector
-from lexitide.operators import classify, clustering, documents, lexical, metrics, neighbors, ranking, splits, timelines, topics, vocab
+from lexitide.operators import classify, clustering, density_tree, descent, documents, drift, heavy, lexical, metrics, neighbors, ranking, spectral, splits, timelines, topics, vocab
 from lexitide.operators import vectors as V
 from lexitide.plans import corpus as C
 from lexitide.plans import facts
@@ -93,6 +93,13 @@ def file_limit(spark, sf):
     return ranking.limit_per_group(C.texts(spark, sf), "batch", "doc_id", 20).select("batch", "doc_id")
 
 
+@query
+def file_limit_text(spark, sf):
+    """The first 1,100 of each batch by a text key; batches have fewer rows at small scale and more at large."""
+    docs = C.texts(spark, sf).withColumn("key", F.md5(F.col("doc_id").cast("string")))
+    return ranking.limit_per_group(docs.select("batch", "doc_id", "key"), "batch", "key", 1_100)
+
+
 @query
 def corpus_limit(spark, sf):
     return ranking.corpus_limit(C.texts(spark, sf), 300).select("doc_id", "rights_year")
@@ -153,6 +160,20 @@ def vocab_topk(spark, sf):
     return vocab.build_vocab(C.tokens(spark, sf), 30_000, 3)
 
 
+@query
+def vocab_sketch(spark, sf):
+    """The rows of `vocab_topk`, found by a sketch and a count of its candidates."""
+    return heavy.sketched_vocab(C.tokens(spark, sf), 30_000, 3)
+
+
+@query
+def bigram_features_sketch(spark, sf):
+    """The 2,000 most frequent words and pairs in two documents or more, with far fewer counters than there are pairs."""
+    train = _time_split(spark, sf).where(F.col("split") == "train")
+    found = heavy.sketched_features(train, 2_000, 2, (1, 2))
+    return found.select("term", F.col("term_idx").cast("int").alias("term_idx"), "tf", "df", r6("idf"))
+
+
 @query
 def count_vectors(spark, sf):
     docs = C.tokens(spark, sf, hashed=True)
@@ -180,6 +201,16 @@ def tfidf_bigram(spark, sf):
     return _tfidf(spark, sf, 100_000, (1, 2))
 
 
+@query
+def tfidf_repeated_ids(spark, sf):
+    """Every text twice under its id, the second time with its first 200 characters only: each row has its own weights."""
+    docs = _time_split(spark, sf).select("doc_id", "split", "text")
+    both = docs.withColumn("part", F.lit(0)).unionByName(docs.withColumns({"part": F.lit(1), "text": F.substring("text", 1, 200)}))
+    features = vocab.tfidf_features(both.where(F.col("split") == "train"), 100_000, 2, (1, 1))
+    weights = vocab.tfidf_weights(both, features, 100_000, (1, 1))
+    return weights.groupBy("doc_id", "term").agg(F.count("*").alias("n_rows"), F.round(F.max("weight"), 6).alias("high"), F.round(F.min("weight"), 6).alias("low"))
+
+
 @query
 def ctfidf_decade(spark, sf):
     """Flagship: the ten most distinctive words of each decade."""
@@ -317,6 +348,44 @@ def density_given(spark, sf):
     return neighbors.density_clusters(C.vectors(spark, sf), min_cluster_size=2, min_samples=2, eps=1.1)
 
 
+# distances at which the spanning tree of the vectors is compared with the graph itself
+LEVELS = [1.0, 1.15, 1.18, 1.2, 1.22, 1.25, 1.3]
+
+
+@query
+def tree_levels(spark, sf):
+    """Edges of the spanning tree of mutual reachability up to some distances: rows less connected parts of the whole graph."""
+    tree = density_tree.spanning_tree(C.vectors(spark, sf), 5).persist()
+    levels = spark.createDataFrame([(x,) for x in LEVELS], "level DOUBLE")
+    counted = [tree.agg(F.lit(x).alias("level"), F.count_if(F.col("w") <= x).alias("n_edges")) for x in LEVELS]
+    out = counted[0]
+    for one in counted[1:]:
+        out = out.unionByName(one)
+    whole = tree.agg(F.count("*").alias("n_tree"))
+    return levels.join(out, "level").join(F.broadcast(whole)).select("level", "n_edges", "n_tree")  # one row
+
+
+@query
+def neighbor_graph(spark, sf):
+    """Neighbour lists by descent over leaves of 128 rows, and their recall of the exact lists."""
+    made = C.vectors(spark, sf)
+    found = descent.neighbor_graph(made, k=10, leaf=128).persist()
+    whole = found.agg(F.count("*").alias("n_rows"), F.count_distinct("doc_id", "nbr").alias("n_pairs"), F.count_if(F.col("doc_id") == F.col("nbr")).alias("n_self"))
+    seen = descent.recall(found, neighbors.knn(made, k=10))
+    return whole.join(F.broadcast(seen)).select("n_rows", "n_pairs", "n_self", "n_exact", (F.col("recall") >= 0.95).alias("recalled"))  # one row
+
+
+@query
+def spectral_coordinates(spark, sf):
+    """Leading eigenvectors of the neighbour graph: length one, and what is left of A x - value x."""
+    graph = spectral.graph_weights(neighbors.knn(C.vectors(spark, sf), k=15)).persist()
+    found, values = spectral.spectral(graph, 3)
+    facts_of = spectral.residuals(graph, found, values)
+    return facts_of.select(
+        "i", (F.abs(F.col("length") - 1) < 1e-6).alias("unit"), (F.col("residual") < 0.05).alias("settled"), ((F.col("value") <= 1 + 1e-9) & (F.col("value") >= -1)).alias("bounded")
+    )
+
+
 @query
 def topic_merge(spark, sf):
     """The smallest topic merged into its most similar one."""
@@ -413,6 +482,12 @@ def step_sample(spark, sf):
     return ranking.step_sample(C.vectors(spark, sf).select("doc_id"), "doc_id", cap=300, target=120)
 
 
+@query
+def step_sample_text(spark, sf):
+    keys = C.vectors(spark, sf).select(F.md5(F.col("doc_id").cast("string")).alias("key"))
+    return ranking.step_sample(keys, "key", cap=300, target=120)
+
+
 def _labelings(spark, sf):
     """The supplied labels folded to k = 2..10 clusters, one labeling per k."""
     ks = F.explode(F.sequence(F.lit(2), F.lit(10))).alias("k")
@@ -497,9 +572,8 @@ def lr_predictions(spark, sf):
 
 @query
 def mlp_predictions(spark, sf):
-    # the driver's solver holds some twenty copies of features x hidden weights, so the width is stated: 2,000
     split = _domain_split(spark, sf)
-    return facts.predictions(classify.baselines(split, models=("mlp",), mlp_features=2_000)[0], split)
+    return facts.predictions(classify.baselines(split, models=("mlp",))[0], split)
 
 
 def _domain_split(spark, sf):
@@ -542,3 +616,16 @@ def class_given_word_empirical(spark, sf):
 def semantic_drift(spark, sf):
     drift = lexical.semantic_drift(C.tokens(spark, sf), vocab_size=200)
     return drift.select("term", "from_decade", "to_decade", r6("cosine"))
+
+
+@query
+def drift_embeddings(spark, sf):
+    """Drift of up to 30,000 words by aligned embeddings: rows, words, and whether all cosines are within bounds."""
+    return facts.cosines(drift.embedding_drift(C.tokens(spark, sf), 30_000, dims=32))
+
+
+@query
+def decade_embeddings(spark, sf):
+    """Per decade: words with an embedding, and whether its coordinates are orthogonal and in order of length."""
+    made = drift.word_embeddings(lexical.information_table(C.tokens(spark, sf), 30_000), dims=16)
+    return facts.orthogonal_coordinates(made)

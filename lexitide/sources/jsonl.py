@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+import urllib.parse
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexitide.functions import text as X
 from lexitide.schemas import DOC
 
 
+def batch_name(path: str) -> Column:
+    """A file's batch: its path below the folder that is read, without the ending.
+
+    Files of one name in two folders are two batches. The folder is `path` up to its first pattern; a file that is not seen to
+    lie below it (a relative path, say) goes by its bare name.
+    """
+    plain = re.split(r"/[^/]*[*?\[{]", path, maxsplit=1)[0]
+    root = urllib.parse.quote(re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", plain).rstrip("/"), safe="/%!$&'()*+,;=:@~")
+    whole = F.regexp_replace(F.col("_metadata.file_path"), r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    below = F.when(whole.startswith(root + "/") & F.lit(root.startswith("/")), F.substring(whole, F.lit(len(root) + 2), F.length(whole)))
+    return F.regexp_replace(F.coalesce(below, F.col("_metadata.file_name")), r"\.jsonl(\.gz)?$", "")
+
+
 def raw_batches(
     spark: SparkSession,
     path: str,
@@ -35,7 +51,7 @@ def raw_batches(
         df = df.where(index <= end_batch)
     placed = df.select(
         "*",
-        F.regexp_replace(F.col("_metadata.file_name"), r"\.jsonl(\.gz)?$", "").alias("batch"),
+        batch_name(path).alias("batch"),
         F.col("_metadata.file_path").alias("_file"),
     )
     return with_line_numbers(placed)

@@ -202,3 +202,38 @@ assert spark.range(3).mapInArrow(where, "id LONG").count() == 3
 """
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=120)
+
+
+def test_running_counts_over_folders_and_repeats(spark, tmp_path):
+    """Two folders hold a file of one name; counts after each micro-batch are those of all files, however often they come."""
+    from lexitide.operators import vocab
+
+    root, store, counts = tmp_path / "in", str(tmp_path / "store"), str(tmp_path / "counts")
+    for folder, year in (("a", 1901), ("b", 1902)):
+        (root / folder).mkdir(parents=True)
+        lines = [f'{{"rights_year":{year},"full_text":["both","{folder}{k % 2}","both"]}}' for k in range(5)]
+        write(f"{root}/{folder}/batch_1.jsonl.gz", lines)
+    write(f"{root}/a/batch_2.jsonl.gz", ['{"rights_year":1901,"full_text":["late","both"]}'])
+    path = f"{root}/*"
+
+    def state():
+        return (
+            [tuple(r) for r in ingest.running_vocab(spark, counts, 4, 2).orderBy("term_idx").collect()],
+            sorted((r["rights_year"], r["n"]) for r in ingest.running_years(spark, counts).collect()),
+            spark.read.parquet(store).count(),
+        )
+
+    def whole():
+        docs = jsonl.read_docs(spark, path)
+        years = docs.groupBy("rights_year").agg(F.count("*").alias("n"))
+        return ([tuple(r) for r in vocab.build_vocab(docs, 4, 2).orderBy("term_idx").collect()], sorted(tuple(r) for r in years.collect()), docs.count())
+
+    ingest.ingest(spark, path, store, str(tmp_path / "ck"), max_files=1, counts=counts).awaitTermination()
+    first = state()
+    assert first == whole() and first[1] == [(1901, 6), (1902, 5)] and first[2] == 11
+    assert {r["batch"] for r in spark.read.parquet(store).select("batch").distinct().collect()} == {"a/batch_1", "b/batch_1", "a/batch_2"}
+    ingest.ingest(spark, path, store, str(tmp_path / "ck-lost"), max_files=2, counts=counts).awaitTermination()
+    assert state() == first
+    write(f"{root}/b/batch_2.jsonl.gz", ['{"rights_year":1903,"full_text":["late","late"]}'])
+    ingest.ingest(spark, path, store, str(tmp_path / "ck"), max_files=1, counts=counts).awaitTermination()
+    assert state() == whole() and state()[2] == 12
