@@ -16,21 +16,22 @@ The most frequent pair is asked for once per chunk, as are all other frequent on
 from __future__ import annotations
 
 import hashlib
-import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexitide.llm.common import stored
 from lexitide.llm.textarrays import slices
-from lexitide.llm.tokenfiles import gather
+from lexitide.llm.tokenfiles import gather, piece_encoder, tokenizer
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+KEPT = 100_000  # pieces that a worker remembers in each of two generations
 MEASURES = ("n_a", "n_b", "n_groups", "n_links")
 _ALIGNED = "chunk BINARY, pairs ARRAY<LONG>, counts ARRAY<LONG>, texts ARRAY<STRUCT<key: BINARY, n_a: LONG, n_b: LONG, n_groups: LONG, n_links: LONG, groups_sha256: STRING, links: BINARY>>"
 _ANSWER = "key BINARY, n_a LONG, n_b LONG, n_groups LONG, n_links LONG, n_best LONG, count_sum LONG, groups_sha256 STRING"
@@ -49,17 +50,16 @@ def _byte_of_symbol() -> dict[str, int]:
 class Vocabulary:
     """A tokenizer's function from texts to ids, and the bytes of its tokens, end to end."""
 
-    def __init__(self, encode, tokens: list[bytes]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], tokens: list[bytes]):
+        self.encode = encode  # to the ids of all texts and the number of ids of each
         self.size = np.array([len(t) for t in tokens], np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.size)])
         self.data = np.frombuffer(b"".join(tokens), np.uint8)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """`(ids of all texts, number of ids before each text and in all)`."""
-        found = self.encode(texts)
-        bounds = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
-        return np.fromiter((i for x in found for i in x), np.int64, int(bounds[-1])), bounds
+        ids, sizes = self.encode(texts)
+        return ids, np.concatenate([[0], np.cumsum(sizes)])
 
     def spelt(self, ids: np.ndarray) -> bytes:
         return gather(self.data, self.start, ids).tobytes()
@@ -68,18 +68,20 @@ class Vocabulary:
 @lru_cache(maxsize=2)
 def byte_level(path: str) -> Vocabulary:
     """A: special tokens' strings are plain text, and a space goes before each text."""
-    from tokenizers import Tokenizer
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    t = Tokenizer.from_file(path)
-    t.no_truncation()
-    t.no_padding()
-    t.encode_special_tokens = True
+    t = tokenizer(path, special=False)
+    width = 2 if t.get_vocab_size() <= 65536 else 4
+    encoded = piece_encoder(path, width, special=False, kept=KEPT)
     symbols = _byte_of_symbol()
     added = t.get_added_tokens_decoder()
     pieces = [t.id_to_token(i) or "" for i in range(t.get_vocab_size())]
     spelt = [added[i].content.encode() if i in added else bytes(symbols[c] for c in p) for i, p in enumerate(pieces)]
-    return Vocabulary(lambda texts: [e.ids for e in t.encode_batch_fast([f" {x}" for x in texts], add_special_tokens=False)], spelt)
+
+    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [encoded(f" {x}") for x in texts]
+        sizes = np.array([len(x) for x in found], np.int64) // width
+        return np.frombuffer(b"".join(found), f"u{width}").astype(np.int64), sizes
+
+    return Vocabulary(encode, spelt)
 
 
 @lru_cache(maxsize=2)
@@ -95,7 +97,12 @@ def sentence_piece(path: str) -> Vocabulary:
             return bytes([int(piece[1:-1], 16)])
         return b"" if sp.is_control(i) or sp.is_unknown(i) else piece.replace("▁", " ").encode()
 
-    return Vocabulary(lambda texts: sp.encode(texts, num_threads=1), [spelt(i) for i in range(sp.get_piece_size())])
+    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = sp.encode(texts, num_threads=1)
+        sizes = np.array([len(x) for x in found], np.int64)
+        return np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum())), sizes
+
+    return Vocabulary(encode, [spelt(i) for i in range(sp.get_piece_size())])
 
 
 # ---- alignment
@@ -130,15 +137,18 @@ class Alignment:
         ids_b, bounds_b = _take(ids_b, bounds_b, rows)
         # every text fills the same bytes in both, so offsets may run on over all texts
         ends_a, ends_b = np.cumsum(a.size[ids_a]), np.cumsum(b.size[ids_b])
-        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        at_a, at_b = np.searchsorted(ends_a, common), np.searchsorted(ends_b, common)
         text_ends = np.cumsum([len(wanted[i]) for i in rows]).astype(np.int64)
-        self.text = rows[np.searchsorted(text_ends, common)]  # of each group, whose last tokens are its link
+        marks = np.zeros(int(text_ends[-1]) + 1 if len(rows) else 1, np.uint8)
+        marks[ends_a] += 1
+        marks[ends_b] += 2
+        both_a, both_b = marks[ends_a] == 3, marks[ends_b] == 3
+        at_a, at_b = np.flatnonzero(both_a), np.flatnonzero(both_b)
+        self.text = rows[np.searchsorted(text_ends, ends_a[at_a])]  # of each group, whose last tokens are its link
         self.pairs = (ids_a[at_a] << 32) | ids_b[at_b]
         self.n_a, self.n_b, self.n_groups = np.zeros(n, np.int64), np.zeros(n, np.int64), np.bincount(self.text, minlength=n)
         self.n_a[rows], self.n_b[rows] = np.diff(bounds_a), np.diff(bounds_b)
         self.digests = [""] * n
-        spelt, sizes = _listed(ids_a, ids_b, ends_a, ends_b, common, at_a, at_b, max(len(a.size), len(b.size)))
+        spelt, sizes = _listed(ids_a, ids_b, both_a, both_b, max(len(a.size), len(b.size)))
         ends = np.cumsum(sizes)
         last = bounds_a[1:] + bounds_b[1:] - 1
         lo = 0
@@ -147,31 +157,34 @@ class Alignment:
             lo = hi
 
 
-def _listed(ids_a, ids_b, ends_a, ends_b, common, at_a, at_b, n_ids) -> tuple[bytes, np.ndarray]:
-    """All groups as `a1,a2|b1;...` in one string, and the length of each token's part of it."""
+def _listed(ids_a: np.ndarray, ids_b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray, n_ids: int) -> tuple[bytes, np.ndarray]:
+    """All groups as `a1,a2|b1;...` in one string, and the length of each token's part of it; `last` marks a group's last tokens."""
     table, length = _decimals(n_ids)
     code = np.empty(len(ids_a) + len(ids_b), np.int64)
-    group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
-    b_before = np.concatenate([[0], at_b + 1])
-    last_a, last_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
-    last_a[at_a], last_b[at_b] = 1, 2
+    group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+    b_before = np.concatenate([[0], np.flatnonzero(last_b) + 1])  # B tokens before each group
+    a_through = np.flatnonzero(last_a) + 1  # A tokens through each group
     code[np.arange(len(ids_a)) + b_before[group_a]] = 3 * ids_a + last_a
-    code[np.arange(len(ids_b)) + at_a[group_b] + 1] = 3 * ids_b + last_b
+    code[np.arange(len(ids_b)) + a_through[group_b]] = 3 * ids_b + 2 * last_b
     flat = table[code].ravel()
     return flat[flat != 0].tobytes(), length[code]
 
 
-def _align(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str) -> Iterator[pa.RecordBatch]:
+def _align(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str, chunk_bytes: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     a, b = byte_level(path_a), sentence_piece(path_b)
     for batch in batches:
-        for part in slices(batch, "text", CHUNK_BYTES):
+        for part in slices(batch, "text", chunk_bytes):
             texts, keys = part.column("text").to_pylist(), part.column("key")
             copies = part.column("copies").to_numpy()
             found = Alignment(a, b, texts)
-            pairs, link = np.unique(found.pairs, return_inverse=True)
+            link, pairs = pd.factorize(found.pairs)
+            order = np.argsort(pairs)
+            place = np.empty(len(pairs), np.int64)
+            place[order] = np.arange(len(pairs))
+            pairs, link = pairs[order], place[link]
             counts = np.bincount(link, weights=copies[found.text], minlength=len(pairs)).astype(np.int64)
-            order = np.lexsort((link, found.text))
-            links = np.ascontiguousarray(link[order].astype(np.int32))
+            # in order within each text, which packs better
+            links = (np.sort(found.text * max(1, len(pairs)) + link) % max(1, len(pairs))).astype(np.int32)
             ends = (4 * np.concatenate([[0], np.cumsum(found.n_groups)])).astype(np.int32)
             blobs = pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends), pa.py_buffer(links)])
             numbers = [pa.array(x, pa.int64()) for x in (found.n_a, found.n_b, found.n_groups, found.n_groups)]
@@ -202,11 +215,11 @@ def _key() -> F.Column:
     return F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
 
 
-def align_texts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+def align_texts(docs: DataFrame, path_a: str, path_b: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """`(chunk, pairs, counts, texts)`, stored: each distinct text of `docs` aligned once, by chunks (see the module)."""
     distinct = docs.select(F.coalesce("text", F.lit("")).alias("text")).groupBy("text").agg(F.count("*").alias("copies"))
     keyed = distinct.select("text", "copies", _key().alias("key"))
-    return stored(keyed.mapInArrow(lambda it: _align(it, path_a, path_b), _ALIGNED), "aligned")
+    return stored(keyed.mapInArrow(lambda it: _align(it, path_a, path_b, chunk_bytes), _ALIGNED), "aligned")
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
@@ -220,7 +233,7 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
     return told.withColumn("best", F.col("count") == F.max("count").over(Window.partitionBy("b_id")))
 
 
-def cross_align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+def cross_align(docs: DataFrame, path_a: str, path_b: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """`doc_id` of every row of `docs` with `n_a n_b n_groups n_links n_best count_sum groups_sha256` of its text.
 
     A null or empty text, or one that A's or B's tokens don't spell byte by byte, has no tokens: zeros and an empty string.
@@ -228,7 +241,7 @@ def cross_align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     without an id, count as often as they occur and are all returned. Other columns are not read; an empty table gives none.
     Texts meet their measures by SHA-256.
     """
-    aligned = align_texts(docs, path_a, path_b)
+    aligned = align_texts(docs, path_a, path_b, chunk_bytes)
     counts = stored(pair_counts(aligned).select("pair", "count", "best"), "pairs")
     asked = aligned.select("chunk", F.explode("pairs").alias("pair"))
     found = asked.join(counts, "pair").groupBy("chunk").agg(F.collect_list(F.struct("pair", "count", "best")).alias("found"))

@@ -16,14 +16,19 @@ _ODD = re.compile("[^\u0000-ɏ‐-‧‰-⁞€]")
 KEPT = 500_000  # pieces in each of the two generations that a worker remembers
 
 
+def tokenizer(path: str, special: bool = True):
+    """The tokenizer of a file, without truncation or padding, once per worker; without `special`, special tokens' strings are plain text."""
+    return _tokenizer(path, special)
+
+
 @lru_cache(maxsize=4)
-def tokenizer(path: str):
-    """The tokenizer of a file, without truncation or padding, once per worker."""
+def _tokenizer(path: str, special: bool):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
+    t.encode_special_tokens = not special
     return t
 
 
@@ -35,14 +40,14 @@ def encode_words(path: str, words: list[str]) -> list[list[int]]:
 class _Pieces(dict):
     """Ids of pieces as bytes, found with the tokenizer when first asked for; seldom used ones are forgotten."""
 
-    def __init__(self, path: str, code: str):
-        self.encode, self.code, self.older = tokenizer(path).encode, code, {}
+    def __init__(self, path: str, code: str, special: bool, kept: int | None):
+        self.encode, self.code, self.older, self.kept = tokenizer(path, special).encode, code, {}, kept or KEPT
 
     def __missing__(self, piece: str) -> bytes:
         found = self.older.get(piece)
         if found is None:
             found = array(self.code, self.encode(piece, add_special_tokens=False).ids).tobytes()
-        if len(self) >= KEPT:
+        if len(self) >= self.kept:
             self.older = dict(self)
             self.clear()
         self[piece] = found
@@ -50,19 +55,19 @@ class _Pieces(dict):
 
 
 @lru_cache(maxsize=4)
-def piece_encoder(path: str, width: int) -> Callable[[str], bytes]:
+def piece_encoder(path: str, width: int, special: bool = True, kept: int | None = None) -> Callable[[str], bytes]:
     """Encode a text as the byte-level tokenizer of `path` does, to native ids of `width` bytes; calls it per new piece.
 
     Such tokenizers merge within pieces only. A text that holds an added token or a character outside the plain ranges
     goes to the tokenizer whole, so its split never depends on this module's rule.
     """
-    added = [t.content for t in tokenizer(path).get_added_tokens_decoder().values()]
+    added = [t.content for t in tokenizer(path).get_added_tokens_decoder().values() if special or not t.special]
     code = next(c for c in "HIL" if array(c).itemsize == width)
-    pieces = _Pieces(path, code)
+    pieces = _Pieces(path, code, special, kept)
 
     def encode(text: str) -> bytes:
         if _ODD.search(text) or any(a in text for a in added):
-            return array(code, tokenizer(path).encode(text, add_special_tokens=False).ids).tobytes()
+            return array(code, tokenizer(path, special).encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(pieces.__getitem__, _PIECE.findall(text)))
 
     return encode

@@ -7,7 +7,6 @@ import hashlib
 
 import numpy as np
 import public_tokenizers
-import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
@@ -76,15 +75,16 @@ def _expected(rows):
     return out
 
 
-@pytest.mark.parametrize("chunk", [4 << 20, 300])
-def test_alignment(spark, tmp_path, monkeypatch, chunk):
-    monkeypatch.setattr(token_alignment, "CHUNK_BYTES", chunk)
+def test_alignment(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, "en", b"x", 1) for i, t in ROWS], "doc_id LONG, text STRING, lang STRING, `key` BINARY, `copies` INT").repartition(3)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = op13_cross_tokenizer(spark, str(tmp_path))
     assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     assert [t for _, t in got.dtypes] == ["bigint"] * 7 + ["string"]
-    assert collections.Counter(tuple(r) for r in got.collect()) == _expected(ROWS)
+    want = _expected(ROWS)
+    assert collections.Counter(tuple(r) for r in got.collect()) == want
+    small = token_alignment.cross_align(docs, A_PATH, B_PATH, chunk_bytes=300).select(got.columns)
+    assert collections.Counter(tuple(r) for r in small.collect()) == want
 
 
 def test_pairs_and_nothing(spark):
