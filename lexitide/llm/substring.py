@@ -5,11 +5,13 @@ the smallest among the blocks of some `window`-word window. The choice depends o
 equal windows hold the same block at the same place, and a document need only be parsed against blocks it shares.
 
 1. Index: one row per *run* (the windows of a document that chose the same block), keyed by the block. A run whose whole
-   content occurs earlier is a factor interior. A run that is the first of its content, under a block that also occurs
-   with other content, lies at a factor boundary.
-2. Boundary check: the windows of boundary runs are compared one by one; those that also start earlier are duplicates.
-3. Parse: a document's duplicate windows that follow one another are one factor (at least `window` words); words of
-   factors are removed.
+   content occurs earlier is a match with the earliest place of that content, its reference. A run that is the first of its
+   content, under a block that also occurs with other content, lies at a factor boundary.
+2. Boundary check: the windows of boundary runs are compared one by one; those that also start earlier are matches.
+3. Parse, from left to right: a match is extended greedily while the next one continues the same reference at the same offset.
+   The factor so found, (start, words, reference document, reference start), is at least `window` words long and stands
+   word for word at its reference; words of factors are removed. Factors may overlap, where a text runs from one reference
+   into another.
 
 Shuffled are about two rows for eleven words, ids and hashes only, then boundary windows, and the texts once for the
 boundaries and once for the result. A block or window shared by a large part of the corpus is settled within each
@@ -26,13 +28,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lexitide.llm.common import stored
+from lexitide.llm.common import row_schema, stored
 from lexitide.llm.textarrays import Spans, Words, mix, slices
 
-_RUN = "block LONG, content LONG, doc_id {t}, text_key LONG, lo INT, hi INT, later BOOLEAN"
-_WINDOW = "content LONG, doc_id {t}, text_key LONG, lo INT, later BOOLEAN"
-_FACTOR = "ARRAY<STRUCT<start: INT, n_words: INT>>"
+_RUN = "block LONG, content LONG, doc_id {t}, text_key LONG, lo INT, hi INT, later BOOLEAN, ref_id {t}, ref_lo INT"
+_WINDOW = "content LONG, doc_id {t}, text_key LONG, lo INT, later BOOLEAN, ref_id {t}, ref_lo INT"
+_FACTOR = "ARRAY<STRUCT<start: INT, n_words: INT, ref_id: {t}, ref_start: INT>>"
 
 
 def _id_order(ids: pa.Array) -> np.ndarray:
@@ -40,16 +43,23 @@ def _id_order(ids: pa.Array) -> np.ndarray:
     return pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _later(content: np.ndarray, order: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    """True where the same content begins earlier (smaller id, or same id and smaller start) in this slice."""
-    later = np.zeros(len(content), bool)
+def _later(content: np.ndarray, order: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the same content begins earlier (smaller id, or same id and smaller start) in this slice, and the first place of each."""
+    later, first = np.zeros(len(content), bool), np.zeros(len(content), np.int64)
     if len(content):
         by = np.lexsort((lo, order, content))
         c, o, s = content[by], order[by], lo[by]
         fresh = np.r_[True, c[1:] != c[:-1]]
         head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
         later[by] = (o != o[head]) | (s != s[head])
-    return later
+        first[by] = by[head]
+    return later, first
+
+
+def _references(part: pa.RecordBatch, row: np.ndarray, lo: np.ndarray, later: np.ndarray, head: np.ndarray) -> list[pa.Array]:
+    """`ref_id` and `ref_lo` of places that are settled in this slice, null for the others."""
+    ids = part.column("doc_id").take(pa.array(row[head], mask=~later))
+    return [ids, pa.array(lo[head].astype(np.int32), mask=~later)]
 
 
 def _runs(batches: Iterator[pa.RecordBatch], window: int, block: int) -> Iterator[pa.RecordBatch]:
@@ -79,14 +89,14 @@ def _runs(batches: Iterator[pa.RecordBatch], window: int, block: int) -> Iterato
             content = mix(span(lo, hi + window) ^ (anchor - lo).astype(np.uint64))
             key = blocks[anchor]
             first = words.first[row]
-            later = _later(content, _id_order(part.column("doc_id"))[row], lo - first)
+            later, head = _later(content, _id_order(part.column("doc_id"))[row], lo - first)
             # a run settled here goes on under a key of its own
             key = np.where(later, mix(content + (row * 2654435761 + lo).astype(np.uint64)), key)
             taken = pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), part.column("doc_id").take(taken), part.column("text_key").take(taken),
-                 pa.array((lo - first).astype(np.int32)), pa.array((hi - first).astype(np.int32)), pa.array(later)],
-                ["block", "content", "doc_id", "text_key", "lo", "hi", "later"],
+                 pa.array((lo - first).astype(np.int32)), pa.array((hi - first).astype(np.int32)), pa.array(later), *_references(part, row, lo - first, later, head)],
+                ["block", "content", "doc_id", "text_key", "lo", "hi", "later", "ref_id", "ref_lo"],
             )
 
 
@@ -106,16 +116,33 @@ def _boundary_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterato
                 continue
             start = lo + words.first[row]
             content = Spans(words.hashes())(start, start + window)
-            later = _later(content, _id_order(part.column("doc_id"))[row], lo)
+            later, head = _later(content, _id_order(part.column("doc_id"))[row], lo)
             content = np.where(later, mix(content + (row * 2654435761 + lo).astype(np.uint64)), content)
             taken = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(content.view(np.int64)), part.column("doc_id").take(taken), part.column("text_key").take(taken), pa.array(lo.astype(np.int32)), pa.array(later)],
-                ["content", "doc_id", "text_key", "lo", "later"],
-            )
+                [pa.array(content.view(np.int64)), part.column("doc_id").take(taken), part.column("text_key").take(taken), pa.array(lo.astype(np.int32)),
+                 pa.array(later), *_references(part, row, lo, later, head)],
+                ["content", "doc_id", "text_key", "lo", "later", "ref_id", "ref_lo"],
+            )
 
 
-def _parse(batches: Iterator[pa.RecordBatch], window: int, texts: bool) -> Iterator[pa.RecordBatch]:
+def _factors(matches: list[dict]) -> list[dict]:
+    """Matches `(lo, hi, ref_id, ref_lo)` of one document, each extended while the next goes on along the same reference."""
+    out: list[dict] = []
+    open_: dict[tuple, dict] = {}
+    for m in sorted(matches, key=lambda m: (m["lo"], -m["hi"])):
+        line = m["ref_id"], m["ref_lo"] - m["lo"]
+        last = open_.get(line)
+        if last is not None and m["lo"] <= last["hi"] + 1:
+            last["hi"] = max(last["hi"], m["hi"])
+        else:
+            open_[line] = dict(m)
+            out.append(open_[line])
+    return out
+
+
+def _parse(batches: Iterator[pa.RecordBatch], window: int, texts: bool, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("n_words", pa.int32()), ("ref_id", id_type), ("ref_start", pa.int32())]))
     for batch in batches:
         batch = batch.append_column("text", pc.struct_field(batch.column("row"), "text"))
         for part in slices(batch, "text"):
@@ -123,33 +150,28 @@ def _parse(batches: Iterator[pa.RecordBatch], window: int, texts: bool) -> Itera
             n_words = np.diff(words.first)
             factors, removed, kept, digests = [], [], [], []
             for i, spans in enumerate(part.column("spans").to_pylist()):
-                found = []
-                for lo, hi in sorted((s["lo"], s["hi"]) for s in spans or ()):
-                    if found and lo <= found[-1][1] + 1:
-                        found[-1][1] = max(found[-1][1], hi)
-                    else:
-                        found.append([lo, hi])
+                found = _factors(spans or [])
                 gone = np.zeros(n_words[i], bool)
-                for lo, hi in found:
-                    gone[lo : hi + window] = True
+                for f in found:
+                    gone[f["lo"] : f["hi"] + window] = True
                 at = words.first[i]
                 left = np.flatnonzero(~gone) + at
                 text = b" ".join([words.data[s:e].tobytes() for s, e in zip(words.start[left], words.end[left])])
-                factors.append([{"start": lo, "n_words": hi - lo + window} for lo, hi in found])
+                factors.append([{"start": f["lo"], "n_words": f["hi"] - f["lo"] + window, "ref_id": f["ref_id"], "ref_start": f["ref_lo"]} for f in found])
                 removed.append(int(gone.sum()))
                 kept.append(text.decode() if texts else None)
                 digests.append(hashlib.sha256(text).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [part.column("row"), pa.array(n_words.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(digests, pa.string()),
-                 pa.array(factors, pa.list_(pa.struct([("start", pa.int32()), ("n_words", pa.int32())])))],
+                [part.column("row"), pa.array(n_words.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(digests, pa.string()), pa.array(factors, kind)],
                 ["row", "n_words", "n_removed", "kept_text", "kept_sha256", "factors"],
-            )
+            )
 
 
 def remove_duplicate_passages(docs: DataFrame, window: int = 20, block: int = 10, texts: bool = True) -> DataFrame:
-    """`docs` with `n_words`, `n_removed`, `kept_text`, `kept_sha256` and `factors` (start word, length) added.
+    """`docs` with `n_words`, `n_removed`, `kept_text`, `kept_sha256` and `factors` added.
 
-    `kept_text` holds the kept words joined by one space, or null if `texts` is false.
+    Factors have `start`, `n_words`, `ref_id` and `ref_start`: the document (null for one without an id) and the word where they
+    also stand, earlier. `kept_text` holds the kept words joined by one space, or null if `texts` is false.
 
     A word goes if a `window`-word window over it also starts earlier: in a smaller `doc_id`, or in the same one at an
     earlier word. A null text has no words. Rows with one `doc_id` count as one document: the same window at the same
@@ -166,22 +188,26 @@ def remove_duplicate_passages(docs: DataFrame, window: int = 20, block: int = 10
     runs = base.mapInArrow(lambda it: _runs(it, window, block), _RUN.format(t=kind))
     ordered = runs.repartition("block").sortWithinPartitions("block", "content", "doc_id", "lo")
     of_block = Window.partitionBy("block")
-    place = F.rank().over(Window.partitionBy("block", "content").orderBy("doc_id", "lo"))
+    alike = Window.partitionBy("block", "content").orderBy("doc_id", "lo")
+    place, first = F.rank().over(alike), F.first(F.struct("doc_id", "lo")).over(alike)
     many = F.min("content").over(of_block) != F.max("content").over(of_block)
-    seen = ordered.withColumn("many", many).withColumn("sure", F.col("later") | (place > 1)).where("sure OR many")
-    spans = stored(seen.select("doc_id", "text_key", "lo", "hi", "sure"), "factors")
+    seen = ordered.withColumns({"many": many, "first": first}).withColumn("sure", F.col("later") | (place > 1)).where("sure OR many")
+    refs = [F.when(F.col("later"), F.col(f"ref_{c}")).otherwise(F.col(f"first.{c if c == 'lo' else 'doc_id'}")).alias(f"ref_{c}") for c in ("id", "lo")]
+    spans = stored(seen.select("doc_id", "text_key", "lo", "hi", "sure", *refs), "factors")
 
     boundary = spans.where("NOT sure").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
     asked = _same_row(base, boundary, "inner").select("doc_id", "text_key", "text", "runs")
     windows = asked.mapInArrow(lambda it: _boundary_windows(it, window), _WINDOW.format(t=kind))
-    again = F.rank().over(Window.partitionBy("content").orderBy("doc_id", "lo")) > 1
-    checked = windows.withColumn("again", again).where("later OR again").select("doc_id", "text_key", "lo", F.col("lo").alias("hi"))
+    alike = Window.partitionBy("content").orderBy("doc_id", "lo")
+    told = windows.withColumns({"again": F.rank().over(alike) > 1, "first": F.first(F.struct("doc_id", "lo")).over(alike)}).where("later OR again")
+    checked = told.select("doc_id", "text_key", "lo", F.col("lo").alias("hi"), *refs)
 
-    found = spans.where("sure").select("doc_id", "text_key", "lo", "hi").unionByName(checked)
-    per_doc = found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    found = spans.where("sure").select("doc_id", "text_key", "lo", "hi", "ref_id", "ref_lo").unionByName(checked)
+    per_doc = found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("lo", "hi", "ref_id", "ref_lo")).alias("spans"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.xxhash64("text").alias("text_key"))
-    out = f"row {whole.schema['row'].dataType.simpleString()}, n_words LONG, n_removed LONG, kept_text STRING, kept_sha256 STRING, factors {_FACTOR}"
-    parsed = _same_row(whole, per_doc, "left").select("row", "spans").mapInArrow(lambda it: _parse(it, window, texts), out)
+    out = row_schema(whole, f"n_words LONG, n_removed LONG, kept_text STRING, kept_sha256 STRING, factors {_FACTOR.format(t=kind)}")
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
+    parsed = _same_row(whole, per_doc, "left").select("row", "spans").mapInArrow(lambda it: _parse(it, window, texts, id_type), out)
     return parsed.select("row.*", *added)
 
 

@@ -71,6 +71,33 @@ def test_passages(spark, docs):
     assert substring.remove_duplicate_passages(_none(spark)).count() == 0
 
 
+def test_factors_stand_at_their_references(spark):
+    """Every factor stands word for word at an earlier reference; factors cover exactly the removed words; a whole copy is one factor."""
+    rng = np.random.default_rng(29)
+    passages = [[f"p{p}w{k}" for k in range(60)] for p in range(4)]
+    rows = []
+    for i in range(40):
+        words = []
+        for _ in range(int(rng.integers(1, 5))):
+            words += [f"d{i}x{k}" for k in rng.integers(0, 10**6, int(rng.integers(0, 30)))]
+            p, lo = passages[int(rng.integers(4))], int(rng.integers(0, 30))
+            words += p[lo : lo + int(rng.integers(10, 60))]
+        rows.append((i, " ".join(words)))
+    rows += [(100, rows[7][1]), (101, " ".join(rows[7][1].split() + ["new"] + rows[8][1].split()))]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(3)
+    words = {i: t.split() for i, t in rows}
+    got = {r["doc_id"]: r for r in substring.remove_duplicate_passages(docs).collect()}
+    for i, r in got.items():
+        gone = set()
+        for f in r["factors"]:
+            assert f["n_words"] >= 20 and (f["ref_id"], f["ref_start"]) < (i, f["start"])
+            assert words[f["ref_id"]][f["ref_start"] : f["ref_start"] + f["n_words"]] == words[i][f["start"] : f["start"] + f["n_words"]]
+            gone |= set(range(f["start"], f["start"] + f["n_words"]))
+        assert len(gone) == r["n_removed"]
+    n = len(words[7])
+    assert got[100]["n_removed"] == n and got[101]["n_removed"] >= n
+
+
 def test_simhash_groups(spark, docs):
     def fingerprint(text):
         low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
