@@ -29,7 +29,7 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexitide.llm.suffix_lm import score
 
-    scored = score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    scored = score(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
