@@ -19,6 +19,7 @@ from lexitide.functions.vectors import as_double, norm, unit
 
 BLOCK = 1024
 MAX_CELLS = 4096
+TILE = 16
 
 
 def metric_vector(embedding: Column, metric: str) -> Column:
@@ -156,8 +157,18 @@ def block_pairs(wanted: DataFrame, cells: Cells) -> DataFrame:
     return wanted.join(F.broadcast(listed), "cell").select("qblock", F.explode(numbers).alias("block"))
 
 
-def join_blocks(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows `(qblock, block, l_ids, l_flat, r_ids, r_flat)`; partitioned by qblock, so results combine locally."""
-    r = right.select("block", F.col("ids").alias("r_ids"), F.col("flat").alias("r_flat"))
-    q = left.select(F.col("block").alias("qblock"), F.col("ids").alias("l_ids"), F.col("flat").alias("l_flat"))
-    return pairs.join(r.hint("shuffle_hash"), "block").join(q.hint("shuffle_hash"), "qblock")
+def tile_size(spark, n_blocks: int) -> int:
+    """How many blocks a task takes together: up to TILE, as long as there are four times as many tiles as cores."""
+    return int(max(1, min(TILE, n_blocks // (4 * spark.sparkContext.defaultParallelism))))
+
+
+def join_blocks(pairs: DataFrame, left: DataFrame, right: DataFrame, tile: int = 1) -> DataFrame:
+    """Rows `(qblock, block, l_<column>, r_<column>...)` of wanted pairs; partitioned by tiles of qblocks, so results combine locally.
+
+    A block moves once to every tile of `tile` qblocks that asks for it, not to every qblock.
+    """
+    asks = pairs.withColumn("qtile", F.floor(F.col("qblock") / tile)).groupBy("qtile", "block").agg(F.collect_set("qblock").alias("asks"))  # `tile` at most
+    r = right.select("block", *[F.col(c).alias(f"r_{c}") for c in right.columns if c != "block"])
+    q = left.select(F.floor(F.col("block") / tile).alias("qtile"), F.col("block").alias("qblock"), *[F.col(c).alias(f"l_{c}") for c in left.columns if c != "block"])
+    met = asks.join(r.hint("shuffle_hash"), "block").join(q.hint("shuffle_hash"), "qtile")
+    return met.where(F.array_contains("asks", F.col("qblock"))).drop("qtile", "asks")

@@ -120,7 +120,7 @@ def spanning_tree(vectors: DataFrame, min_samples: int, id_col: str = "doc_id",
             & ~((F.col("low") == F.col("high")) & (F.col("q_low") == F.col("q_high")) & (F.col("low") == F.col("q_low")))
         )
         named = listed.join(_listed_comps(told), "block")
-        work = _join(useful.select("qblock", "block"), named)
+        work = _join(useful.select("qblock", "block"), named, B.tile_size(spark, int(cells.n_blocks.sum())))
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -150,14 +150,12 @@ def _listed_comps(told: DataFrame) -> DataFrame:
     return told.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("id", "comp"))).alias("named"))
 
 
-def _join(pairs: DataFrame, listed: DataFrame) -> DataFrame:
+def _join(pairs: DataFrame, listed: DataFrame, tile: int) -> DataFrame:
     """Pairs of blocks with their ids, vectors, cores and components, each block's in order of id."""
     sides = listed.select(
         "block", F.col("rows.id").alias("ids"), F.col("rows.core").alias("cores"), F.col("named.comp").alias("comps"), F.flatten("rows.v").alias("flat")
     )
-    right = sides.select("block", *[F.col(c).alias(f"r_{c}") for c in ("ids", "flat", "cores", "comps")])
-    left = sides.select(F.col("block").alias("qblock"), *[F.col(c).alias(f"l_{c}") for c in ("ids", "flat", "cores", "comps")])
-    return pairs.join(right.hint("shuffle_hash"), "block").join(left.hint("shuffle_hash"), "qblock")
+    return B.join_blocks(pairs, sides, sides, tile)
 
 
 # ---- merge tree

@@ -361,6 +361,7 @@ FROM (SELECT doc_id FROM docs WHERE len(full_text) > 0) LEFT JOIN known USING (d
     "lr_predictions": _predicted(DOMAINS, "true AS beats_majority"),
     "mlp_predictions": _predicted(DOMAINS, "true AS beats_majority"),
     "vector_head": _predicted(QUADRANTS, "true AS beats_majority"),
+    "neural_head": _predicted(QUADRANTS, "true AS beats_majority"),
     "pseudo_label": f"""{QUADRANTS}, {SPLIT} SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n_docs, count(*) AS n_known, count(*) AS n_agree, true AS some_adopted
 FROM split WHERE split = 'valid'""",
 }

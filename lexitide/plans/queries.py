@@ -566,8 +566,7 @@ def model_metrics(spark, sf):
 @query
 def lr_predictions(spark, sf):
     split = _domain_split(spark, sf)
-    # each iteration is a job of its own: 300 at most are asked for here, the default is 2,000
-    return facts.predictions(classify.baselines(split, models=("lr",), max_iter=300)[0], split)
+    return facts.predictions(classify.baselines(split, models=("lr",))[0], split)
 
 
 @query
@@ -593,6 +592,12 @@ def vector_head(spark, sf):
     return facts.predictions(classify.vector_head(split)[0], split)
 
 
+@query
+def neural_head(spark, sf):
+    split = _vector_split(spark, sf)
+    return facts.predictions(classify.neural_head(split)[0], split)
+
+
 @query
 def pseudo_label(spark, sf):
     train, valid = classify.split_parts(_vector_split(spark, sf))

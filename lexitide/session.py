@@ -6,11 +6,13 @@ import pathlib
 import tempfile
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
-# A frame is broadcast only after its row count was measured to be at or below this.
+# A frame is broadcast only after it was measured to hold no more than these.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -70,14 +72,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Measure a summary table, then hint a broadcast only if it is small; else leave the join to AQE.
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: text and lists by their length, eight for anything else."""
+    parts = []
+    for f in df.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType
+        if isinstance(kind, (StringType, BinaryType)):
+            parts.append(F.octet_length(c))
+        elif isinstance(kind, (ArrayType, MapType, StructType)):
+            parts.append(F.octet_length(F.to_json(F.struct(c))))
+        else:
+            parts.append(F.lit(8))
+    return sum((F.coalesce(p, F.lit(0)).cast("long") for p in parts), F.lit(8).cast("long"))
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Measure a summary table, then hint a broadcast only if it is small in rows and bytes; else leave the join to AQE.
 
     The frame is persisted first, so measuring does not run its plan twice.
     """
     kept = df.persist()
-    small = kept.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(kept) if small else kept
+    head = kept.limit(max_rows + 1)
+    rows, size = head.agg(F.count("*"), F.sum(row_bytes(kept))).first()
+    return F.broadcast(kept) if rows <= max_rows and (size or 0) <= max_bytes else kept
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

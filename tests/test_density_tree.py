@@ -161,3 +161,16 @@ def test_neighbor_graph(spark, metric):
     assert recall(found, exact).first()["recall"] >= 0.95
     whole = neighbor_graph(df, k=6, metric=metric, leaf=1024)
     assert {tuple(r) for r in whole.collect()} == {tuple(r) for r in exact.collect()}
+
+
+@pytest.mark.parametrize("tile", [1, 3, 100])
+def test_blocks_meet_whatever_the_tile(spark, monkeypatch, tile):
+    from lexitide.operators import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK", 16)
+    monkeypatch.setattr(blocks, "tile_size", lambda spark, n: tile)
+    x = np.random.default_rng(22).normal(size=(120, 4))
+    got = {(r["doc_id"], r["rank"]): r["nbr"] for r in neighbors.knn(vec(spark, x), k=4, metric="euclidean").collect()}
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    assert got == {(i, r + 1): int(j) for i in range(120) for r, j in enumerate(np.argsort(d[i], kind="stable")[:4])}

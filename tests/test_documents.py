@@ -210,3 +210,29 @@ def test_corpus_limit_is_one_method_for_every_size(spark):
     ties = rows.selectExpr("CASE WHEN id < 3 THEN NULL WHEN id < 10 THEN 'a' ELSE 'b' END AS doc_id", "id")
     assert sorted(r["id"] for r in corpus_limit(ties, 2).collect()) <= [0, 1, 2]
     assert corpus_limit(ties, 5).count() == 5 and corpus_limit(ties, 50_000).count() == 12_000
+
+
+@pytest.mark.parametrize("n", [3, 999, 1000, 1001, 1500])
+def test_group_limits_on_text_keys_ties_and_equal_rows(spark, n):
+    """One method at every n: text keys, null keys first, ties, equal rows at the cut, a null group."""
+    rows = [("a", f"k{i:05d}", i) for i in range(1200)] + [("b", "same", 0)] * 1100 + [("c", None, 1), ("c", "x", 2), ("c", None, 3), ("c", "a", 4)]
+    rows += [(None, f"n{i % 7}", i) for i in range(40)]
+    df = spark.createDataFrame(rows, "g STRING, key STRING, v INT").repartition(5)
+    got = ranking.limit_per_group(df, "g", "key", n).collect()
+    by_group = {}
+    for r in got:
+        by_group.setdefault(r["g"], []).append(r)
+    assert {g: len(x) for g, x in by_group.items()} == {"a": min(n, 1200), "b": min(n, 1100), "c": min(n, 4), None: min(n, 40)}
+    assert sorted(r["key"] for r in by_group["a"]) == [f"k{i:05d}" for i in range(min(n, 1200))]
+    first = sorted((r["key"] is not None, r["key"]) for r in by_group["c"])
+    assert first == [(False, None), (False, None), (True, "a"), (True, "x")][:n]
+    keys = sorted(r["key"] for r in by_group[None])
+    assert keys == sorted(f"n{i % 7}" for i in range(40))[:n] and len({r["v"] for r in by_group[None]}) == len(by_group[None])
+
+
+def test_positions_of_text_keys(spark):
+    import hashlib
+
+    keys = [hashlib.md5(str(i).encode()).hexdigest() for i in range(500)] + ["tie"] * 50
+    got = ranking.add_row_index(spark.createDataFrame([(k,) for k in keys], "key STRING").repartition(6), "key").collect()
+    assert [r["key"] for r in sorted(got, key=lambda r: r["row_idx"])] == sorted(keys) and sorted(r["row_idx"] for r in got) == list(range(550))

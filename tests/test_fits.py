@@ -85,6 +85,23 @@ def test_mlp_of_several_workers_learns_and_is_stored(spark, tmp_path):
     assert {tuple(r) for r in again.collect()} == {(r["doc_id"], r["prediction"]) for r in found.collect()}
 
 
+def test_head_keeps_its_best_epoch(spark):
+    """Two rings: no line tells them apart, a hidden layer does; the weights kept are those of the best score."""
+    rng = np.random.default_rng(14)
+    angle, outer = rng.uniform(0, 2 * np.pi, 400), np.arange(400) % 2
+    x = np.stack([(1 + outer) * np.cos(angle), (1 + outer) * np.sin(angle)], axis=1)
+    rows = [(i, [float(v) for v in x[i]], "out" if outer[i] else "in", "valid" if i % 5 == 0 else "train") for i in range(400)]
+    split = spark.createDataFrame(rows, "doc_id INT, embedding ARRAY<DOUBLE>, label STRING, split STRING")
+    found, scores, model = classify.neural_head(split, hidden=32, epochs=12, patience=4, rate=0.02)
+    told = scores.orderBy("epoch").collect()
+    right = found.where("y_true = y_pred").count() / found.count()
+    assert right > 0.9 and len(told) <= 12 and found.count() == 80
+    best = max(r["macro_f1"] for r in told)
+    from lexitide.operators import metrics
+
+    assert metrics.summary(found).first()["macro_f1"] == pytest.approx(best)
+
+
 def test_weights_seen_by_one_worker_keep_their_change():
     import pyarrow as pa
 
@@ -350,3 +367,43 @@ def test_sketched_features(spark):
     docs = spark.createDataFrame([*texts, (500, None), (501, "")], "doc_id INT, text STRING").repartition(3)
     got = [tuple(r) for r in heavy.sketched_features(docs, 30, 2, (1, 2), 60).select("term", "term_idx", "tf", "df", "idf").orderBy("term_idx").collect()]
     assert got == [tuple(r) for r in vocab.tfidf_features(docs, 30, 2, (1, 2)).select("term", "term_idx", "tf", "df", "idf").orderBy("term_idx").collect()]
+
+
+# --- merging topics ----------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("cells", [10_000, 60, 1])
+@pytest.mark.parametrize("seed", range(6))
+def test_merging_by_rows_equals_the_whole_matrix(cells, seed):
+    rng = np.random.default_rng(seed)
+    x = np.abs(rng.normal(size=(12, 30))) * (rng.random((12, 30)) < 0.5)
+    x[1], x[7] = x[0] * 1.1 + 0.01, x[5] + 0.02  # alike from the start
+    x[9] = 0
+    gram, sizes = x @ x.T, rng.integers(1, 40, 12).tolist()
+    calls = []
+
+    def fetch(wanted):
+        calls.append(len(wanted))
+        return gram[wanted]
+
+    for wanted in (1, 3, 8):
+        merger = topics.TopicMerger(fetch, np.diag(gram), sizes, cells)
+        merger.down_to(wanted)
+        assert merger.target.tolist() == topics.merge_plan(gram, sizes, wanted)
+    for threshold in (0.95, 0.6, 0.3):
+        merger = topics.TopicMerger(fetch, np.diag(gram), sizes, cells)
+        merger.while_alike(threshold)
+        assert merger.target.tolist() == topics.merge_plan(gram, sizes, "auto", threshold)
+    assert max(calls) <= max(1, cells // 12)
+
+
+def test_merged_topics_of_documents(spark):
+    rng = np.random.default_rng(13)
+    words = [[f"t{t // 2}w{i}" for i in range(15)] for t in range(6)]  # topics 2i and 2i + 1 share their words
+    rows = [(i, i % 6, rng.choice(words[i % 6], 12).tolist()) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id INT, topic INT, full_text ARRAY<STRING>")
+    assigned = docs.select("doc_id", "topic").unionByName(spark.createDataFrame([(999, -1)], "doc_id INT, topic INT"))
+    for nr, cells in ((3, 8_000_000), (3, 7), ("auto", 7)):
+        got = {r["doc_id"]: r["topic"] for r in topics.merge_topics(assigned, docs, nr, cells=cells, threshold=0.5).collect()}
+        assert got[999] == -1 and len(got) == 241
+        assert {frozenset(i % 6 for i in got if i != 999 and got[i] == t) for t in range(3)} == {frozenset({0, 1}), frozenset({2, 3}), frozenset({4, 5})}

@@ -237,3 +237,14 @@ def test_running_counts_over_folders_and_repeats(spark, tmp_path):
     write(f"{root}/b/batch_2.jsonl.gz", ['{"rights_year":1903,"full_text":["late","late"]}'])
     ingest.ingest(spark, path, store, str(tmp_path / "ck"), max_files=1, counts=counts).awaitTermination()
     assert state() == whole() and state()[2] == 12
+
+
+def test_broadcast_goes_by_rows_and_bytes(spark):
+    from lexitide.session import broadcast_if_small
+
+    def hinted(df, **limits):
+        return "broadcast" in broadcast_if_small(df, **limits)._jdf.queryExecution().logical().toString().lower()
+
+    long = spark.range(50).select("id", F.repeat(F.lit("x"), 10_000).alias("text"), F.array("id").alias("ids"))
+    assert hinted(long) and not hinted(long, max_rows=49) and not hinted(long, max_bytes=400_000)
+    assert hinted(long.limit(0)) and hinted(spark.range(10).select(F.lit(None).cast("string").alias("s")))
