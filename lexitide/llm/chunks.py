@@ -27,17 +27,17 @@ def rows_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
-def chunk_count(docs: DataFrame) -> int:
+def chunk_count(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> int:
     """About how many chunks the texts make; at least 1."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(1, math.ceil(total / CHUNK_BYTES))
+    return max(1, math.ceil(total / chunk_bytes))
 
 
 def texts(batch: pa.RecordBatch) -> pa.Array:
     return pc.fill_null(pc.struct_field(batch.column("row"), "text"), "")
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+def chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
     """`(key, batches)` of each chunk of a task's rows."""
     held, size, key = [], 0, xxhash.xxh64(seed=9)
     for batch in batches:
@@ -45,14 +45,14 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.Rec
         at = 0
         while at < len(batch):
             before = sizes[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(sizes, before + CHUNK_BYTES - size, side="right")))
+            end = max(at + 1, int(np.searchsorted(sizes, before + chunk_bytes - size, side="right")))
             part = batch.slice(at, end - at)
             held.append(part)
             size += int(sizes[end - 1] - before)
             for t in texts(part).to_pylist():
                 key.update(t.encode())
                 key.update(b"\0")
-            if size >= CHUNK_BYTES or end < len(batch):
+            if size >= chunk_bytes or end < len(batch):
                 yield int(np.uint64(key.intdigest()).view(np.int64)), held
                 held, size, key = [], 0, xxhash.xxh64(seed=9)
             at = end
@@ -72,8 +72,8 @@ def unpacked(blob: bytes) -> list[pa.RecordBatch]:
     return list(pa.ipc.open_stream(zstandard.decompress(blob)))
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for key, held in chunks(batches):
+def _pack(batches: Iterator[pa.RecordBatch], chunk_bytes: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    for key, held in chunks(batches, chunk_bytes):
         yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([packed(held)], pa.binary())], ["chunk", "docs"])
 
 
