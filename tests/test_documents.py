@@ -212,7 +212,7 @@ def test_corpus_limit_is_one_method_for_every_size(spark):
     assert corpus_limit(ties, 5).count() == 5 and corpus_limit(ties, 50_000).count() == 12_000
 
 
-@pytest.mark.parametrize("n", [3, 999, 1000, 1001, 1500])
+@pytest.mark.parametrize("n", [3, 1000, 1001])
 def test_group_limits_on_text_keys_ties_and_equal_rows(spark, n):
     """One method at every n: text keys, null keys first, ties, equal rows at the cut, a null group."""
     rows = [("a", f"k{i:05d}", i) for i in range(1200)] + [("b", "same", 0)] * 1100 + [("c", None, 1), ("c", "x", 2), ("c", None, 3), ("c", "a", 4)]
