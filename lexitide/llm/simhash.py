@@ -129,5 +129,6 @@ def one_of_each(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     rows = stored(with_fingerprints(keyed, ["doc_id", "row_key"], width, seed), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
     first = with_groups(rows).groupBy("root").agg(F.min(order).alias("first")).select("first.row_key")
-    left = keyed.join(first, keyed["row_key"].eqNullSafe(first["row_key"]), "left_semi").dropDuplicates(["row_key"])
+    rows = keyed.select("row_key", "whole")
+    left = rows.join(first, rows["row_key"].eqNullSafe(first["row_key"]), "left_semi").dropDuplicates(["row_key"])
     return left.select(*[F.col(f"whole.c{i}").alias(c) for i, c in enumerate(docs.columns)])

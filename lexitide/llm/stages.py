@@ -1,14 +1,14 @@
 """The stages of the corpus pipeline; each takes and (but for the last) returns rows with the columns of `documents`.
 
-A stage works on `doc_id`, `text`, `source` and `lang` and carries each input row whole as one struct beside them, so columns of any
-name, dots and the operators' own names included, come back as they were. Null values in any column, empty and very long
+A stage works on `doc_id`, `text`, `source` and `lang` and carries all other columns as one struct beside them (and the text once), so
+columns of any name, dots and the operators' own names included, come back as they were. Null values in any column, empty and very long
 texts, ties and repeated rows are as each operator states; an empty table gives an empty result in every stage.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD_BPE = "word_bpe_49k.json"
@@ -16,21 +16,21 @@ _WHOLE = "stage_row"
 
 
 def _carried(docs: DataFrame, *needed: str) -> DataFrame:
-    """The needed columns beside the whole row, whose fields are numbered."""
-    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    return docs.select(*needed, whole.alias(_WHOLE))
+    """The needed columns and the text beside the rest of the row, whose fields are numbered."""
+    rest = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"])
+    return docs.select(*needed, "text", rest.alias(_WHOLE))
 
 
-def _back(df: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
-    """The rows as they came, but for the columns that the stage has changed."""
-    return df.select(*[changed.get(c, F.col(f"{_WHOLE}.c{i}")).alias(c) for i, c in enumerate(docs.columns)])
+def _back(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows as they came, with the text as the stage leaves it."""
+    return df.select(*[F.col("text") if c == "text" else F.col(f"{_WHOLE}.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised quality model keeps. Null and empty texts fail; rows that repeat share a verdict."""
     from lexitide.llm.quality import judge
 
-    return _back(judge(_carried(docs, "text")).where("kept"), docs)
+    return _back(judge(_carried(docs)).where("kept"), docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by its kind in brackets. Every row stays, null texts stay null."""
     from lexitide.llm.pii import redact
 
-    return _back(redact(_carried(docs, "doc_id", "text")), docs, text=F.col("text"))
+    return _back(redact(_carried(docs, "doc_id")), docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     from lexitide.llm.mixing import sample_to_targets
 
-    return _back(sample_to_targets(_carried(docs, "doc_id", "text", "source", "lang")), docs)
+    return _back(sample_to_targets(_carried(docs, "doc_id", "source", "lang")), docs)
 
 
 def word_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
