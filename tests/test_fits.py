@@ -227,6 +227,23 @@ def test_lda_is_as_good_as_one_job_per_batch(spark):
     assert max(own) >= max(other) - 0.02 and np.mean(own) >= np.mean(other) - 0.02
 
 
+def test_topics_of_a_document_do_not_depend_on_its_neighbours():
+    """A document is worked out until its own topics settle, so others in the batch change neither its result nor its rounds."""
+    rng = np.random.default_rng(6)
+    sizes = np.array([3, 0, 40, 1, 400, 7, 5000, 12])
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    words, counts = rng.integers(0, 300, bounds[-1]), rng.integers(1, 5, bounds[-1]).astype(float)
+    weights = rng.gamma(0.3, 1.0, (300, 4)) + 1e-3
+    total, apart = np.zeros((300, 4)), np.zeros((300, 4))
+    together = lda.infer(bounds, words, counts, weights, 0.25, total)
+    for i, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        alone = lda.infer(np.array([0, hi - lo]), words[lo:hi], counts[lo:hi], weights, 0.25, apart)
+        assert np.allclose(together[i], alone[0], rtol=1e-6, atol=1e-9)
+    assert np.allclose(total, apart, rtol=1e-6)
+    assert np.isclose((weights * total).sum(), counts.sum(), rtol=1e-9)  # every word is given to topics once
+    assert np.allclose(lda.digamma(np.array([0.02, 1.0, 10.0])), [-50.54478930567, -0.57721566490153, 2.25175258906672], rtol=1e-11)
+
+
 # --- spectral coordinates ----------------------------------------------------------------------------
 
 
