@@ -1,8 +1,9 @@
 """Drift of words between decades by embeddings of the whole vocabulary (R2).
 
 Each decade's positive pointwise mutual information is a sparse symmetric table over the vocabulary. Its leading eigenvectors are found
-by a randomised range finder: products of the table with a block of vectors are joins with sums per word, all decades in one job, and
-blocks are kept orthonormal by one small Gram matrix per decade. Two decades' coordinates are turned onto each other by the rotation that
+by a randomised range finder. A decade's words are cut into parts of about `PART` words and its table into squares of two parts, packed
+once; a product joins squares with the vectors of a part, so a task multiplies whole squares and no entry of the table is a row again.
+Vectors are kept orthonormal by one small Gram matrix per decade. Two decades' coordinates are turned onto each other by the rotation that
 fits their common words best, worked out from another small matrix. Only matrices of block size reach the driver.
 """
 
@@ -13,18 +14,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexitide.functions.vectors import norm, sum_vector
+from lexitide.operators import blocks as B
 from lexitide.operators.kmeans import matrix
 from lexitide.operators.lexical import information_table
 from lexitide.session import cut_lineage
 
 SPARE = 8
 ROUNDS = 3
+PART = 4096  # words of a part
+AT_ONCE = 1 << 16  # entries of a square that are multiplied together
+
+_SQUARE = "decade INT, part INT, other INT, at BINARY, words BINARY, entries BINARY"
+_ROWS = "decade INT, part INT, n INT, q ARRAY<DOUBLE>"
 
 
 def _grams(rows: DataFrame, key: str, left: str, right: str) -> dict[int, np.ndarray]:
@@ -58,11 +63,83 @@ def _mixed(rows: DataFrame, column: str, mixes: dict[int, np.ndarray]) -> DataFr
     return rows.select("decade", "term", column).mapInPandas(mix, f"decade INT, term STRING, {column} ARRAY<DOUBLE>")
 
 
-def _times(table: DataFrame, rows: DataFrame, column: str) -> DataFrame:
-    """`(decade, term, image)`: the table of each decade times its lists."""
-    there = rows.select("decade", F.col("term").alias("context"), array_to_vector(column).alias("x"))
-    met = table.join(there, ["decade", "context"])
-    return met.groupBy("decade", "term").agg(vector_to_array(Summarizer.sum(F.col("x"), F.col("w"))).alias("image"))
+def _square(entries: pa.Table) -> pa.Table:
+    """One square of a decade's table, entries in order of their line: lines, columns and values as bytes."""
+    i, j, w = (entries.column(c).to_numpy() for c in ("i", "j", "w"))
+    order = np.lexsort((j, i))
+    packed = [pa.array([x[order].astype(kind).tobytes()], pa.binary()) for x, kind in ((i, np.int32), (j, np.int32), (w, np.float64))]
+    return pa.table([*[entries.column(c).slice(0, 1).combine_chunks() for c in ("decade", "part", "other")], *packed], ["decade", "part", "other", "at", "words", "entries"])
+
+
+def _squares(table: DataFrame, parts: DataFrame) -> DataFrame:
+    """The table in squares of two parts of a decade's words; `parts(decade, part, terms)`."""
+    placed = parts.select("decade", "part", F.posexplode("terms").alias("i", "term"))
+    there = placed.select("decade", F.col("part").alias("other"), F.col("i").alias("j"), F.col("term").alias("context"))
+    entries = table.join(placed, ["decade", "term"]).join(there, ["decade", "context"]).select("decade", "part", "other", "i", "j", F.col("w").cast("double"))
+    return entries.groupBy("decade", "part", "other").applyInArrow(_square, _SQUARE)
+
+
+def _flat(batch: pa.RecordBatch, column: str, i: int) -> np.ndarray:
+    return batch.column(column)[i].values.to_numpy()
+
+
+def _told(head: dict, vectors: np.ndarray) -> pa.RecordBatch:
+    numbers = [pa.array([head[c]], pa.int32()) for c in ("decade", "part", "n")]
+    flat = pa.ListArray.from_arrays(pa.array([0, vectors.size], pa.int32()), pa.array(vectors.ravel()))
+    return pa.RecordBatch.from_arrays([*numbers, flat], ["decade", "part", "n", "q"])
+
+
+def _multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, row in enumerate(batch.select(["decade", "part", "n", "width"]).to_pylist()):
+            at, words, entries = (np.frombuffer(batch.column(c)[i].as_buffer(), k) for c, k in (("at", np.int32), ("words", np.int32), ("entries", np.float64)))
+            x = B.matrix(_flat(batch, "q", i), row["width"])
+            image = np.zeros((row["n"], x.shape[1]))
+            for lo in range(0, len(at), AT_ONCE):
+                cut = slice(lo, lo + AT_ONCE)
+                lines, starts = np.unique(at[cut], return_index=True)
+                image[lines] += np.add.reduceat(entries[cut, None] * x[words[cut]], starts, axis=0)
+            yield _told(row, image)
+
+
+def _added(images: pa.Table) -> pa.Table:
+    """One part's images by the squares of its line, added up."""
+    batch = images.combine_chunks().to_batches()[0]
+    total = sum(_flat(batch, "q", i) for i in range(len(batch)))
+    return pa.Table.from_batches([_told(batch.slice(0, 1).select(["decade", "part", "n"]).to_pylist()[0], total)])
+
+
+def _times(squares: DataFrame, rows: DataFrame) -> DataFrame:
+    """`(decade, part, n, q)`: the table of each decade times its vectors `rows(decade, part, n, q)`; a row per part."""
+    right = rows.select("decade", F.col("part").alias("other"), F.col("n").alias("width"), "q")
+    lines = rows.select("decade", "part", "n")
+    met = squares.join(right, ["decade", "other"]).join(lines, ["decade", "part"])
+    return met.mapInArrow(_multiplied, _ROWS).groupBy("decade", "part").applyInArrow(_added, _ROWS)
+
+
+def _part_grams(rows: DataFrame, right: str = "q") -> dict[int, np.ndarray]:
+    """Per decade the sum of outer products of `q` and another list column."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, row in enumerate(batch.select(["decade", "n"]).to_pylist()):
+                gram = B.matrix(_flat(batch, "q", i), row["n"]).T @ B.matrix(_flat(batch, right, i), row["n"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["decade"]], pa.int32()), pa.array([gram.ravel()], pa.list_(pa.float64()))], ["k", "total"])
+
+    found = rows.mapInArrow(add, "k INT, total ARRAY<DOUBLE>").groupBy("k").agg(sum_vector(F.col("total")).alias("total")).collect()  # a row per decade
+    return {r["k"]: np.array(r["total"]).reshape(int(round(len(r["total"]) ** 0.5)), -1) for r in found}
+
+
+def _part_mixed(rows: DataFrame, mixes: dict[int, np.ndarray]) -> DataFrame:
+    """`rows(decade, part, n, q)` with each decade's vectors times its matrix."""
+    shared = rows.sparkSession.sparkContext.broadcast(mixes)
+
+    def mix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, row in enumerate(batch.select(["decade", "part", "n"]).to_pylist()):
+                yield _told(row, B.matrix(_flat(batch, "q", i), row["n"]) @ shared.value[row["decade"]])
+
+    return rows.select("decade", "part", "n", "q").mapInArrow(mix, _ROWS)
 
 
 def _whitening(gram: np.ndarray) -> np.ndarray:
@@ -76,20 +153,28 @@ def word_embeddings(table: DataFrame, dims: int = 64, rounds: int = ROUNDS, seed
     """`(decade, term, embedding)` from a symmetric `table(decade, term, context, w)`: its leading eigenvectors (by size of the
     eigenvalue), each times the root of that size."""
     table = cut_lineage(table)
-    words = table.select("decade", "term").distinct()
-    draws = F.array(*[F.xxhash64(F.lit(seed), F.lit(i), "term") / float(2**63) for i in range(dims + SPARE)])
-    rows = cut_lineage(words.select("decade", "term", draws.alias("q")))
+    words = table.select("decade", "term").distinct().persist()
+    n_parts = max(1, -(-(words.groupBy("decade").count().agg(F.max("count")).first()[0] or 0) // PART))
+    listed = words.groupBy("decade", F.pmod(F.xxhash64("term"), F.lit(n_parts)).cast("int").alias("part"))
+    parts = cut_lineage(listed.agg(F.array_sort(F.collect_list("term")).alias("terms")))  # about PART words
+    squares = cut_lineage(_squares(table, parts))
+    draws = F.transform("terms", lambda t: F.array(*[F.xxhash64(F.lit(seed), F.lit(i), t) / float(2**63) for i in range(dims + SPARE)]))
+    rows = cut_lineage(parts.select("decade", "part", F.size("terms").alias("n"), F.flatten(draws).alias("q")))
     for _ in range(rounds + 1):
-        image = cut_lineage(_times(table, rows, "q").withColumnRenamed("image", "q"))
-        rows = cut_lineage(_mixed(image, "q", {k: _whitening(g) for k, g in _grams(image, "decade", "q", "q").items()}))
-        rows = cut_lineage(_mixed(rows, "q", {k: _whitening(g) for k, g in _grams(rows, "decade", "q", "q").items()}))
-    inner = _grams(cut_lineage(rows.join(_times(table, rows, "q"), ["decade", "term"])), "decade", "q", "image")
+        image = cut_lineage(_times(squares, rows))
+        rows = cut_lineage(_part_mixed(image, {k: _whitening(g) for k, g in _part_grams(image).items()}))
+        rows = cut_lineage(_part_mixed(rows, {k: _whitening(g) for k, g in _part_grams(rows).items()}))
+    image = _times(squares, rows).withColumnRenamed("q", "image")
+    inner = _part_grams(rows.join(image, ["decade", "part", "n"]), "image")
     turns = {}
     for k, m in inner.items():
         values, vectors = np.linalg.eigh((m + m.T) / 2)
         order = np.argsort(-np.abs(values), kind="stable")[:dims]
         turns[k] = vectors[:, order] * np.sqrt(np.abs(values[order]))
-    return _mixed(rows, "q", turns).withColumnRenamed("q", "embedding")
+    made = _part_mixed(rows, turns).join(parts, ["decade", "part"])
+    width = F.floor(F.size("q") / F.col("n")).cast("int")
+    told = made.select("decade", F.posexplode("terms").alias("i", "term"), width.alias("width"), "q")
+    return told.select("decade", "term", F.slice("q", F.col("i") * F.col("width") + 1, F.col("width")).alias("embedding"))
 
 
 def aligned_drift(made: DataFrame) -> DataFrame:

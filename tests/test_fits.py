@@ -332,6 +332,23 @@ def test_planted_drift_comes_first(spark):
     assert got[2]["cosine"] < got[3]["cosine"] - 0.1
 
 
+def test_tables_are_multiplied_by_parts(spark, monkeypatch):
+    """Words of a decade are cut into parts and the table into squares; the product is that of the whole table."""
+    from lexitide.operators import drift
+
+    rng = np.random.default_rng(8)
+    whole = np.where(rng.random((9, 9)) < 0.5, rng.random((9, 9)), 0)
+    rows = [(1900, f"w{i}", f"w{j}", float(whole[i, j])) for i, j in zip(*np.nonzero(whole), strict=True)]
+    table = spark.createDataFrame(rows, "decade INT, term STRING, context STRING, w DOUBLE")
+    terms = [[f"w{i}" for i in range(9) if i % 3 == p] for p in range(3)]
+    parts = spark.createDataFrame([(1900, p, t) for p, t in enumerate(terms)], "decade INT, part INT, terms ARRAY<STRING>")
+    x = rng.random((9, 2))
+    lists = spark.createDataFrame([(1900, p, 3, x[p::3].ravel().tolist()) for p in range(3)], "decade INT, part INT, n INT, q ARRAY<DOUBLE>")
+    monkeypatch.setattr(drift, "AT_ONCE", 2)
+    for r in drift._times(drift._squares(table, parts), lists).collect():
+        assert np.allclose(np.array(r["q"]).reshape(3, 2), (whole @ x)[r["part"] :: 3])
+
+
 def test_word_embeddings_are_leading_eigenvectors(spark):
     from lexitide.operators import drift
 
