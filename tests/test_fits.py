@@ -244,6 +244,36 @@ def test_topics_of_a_document_do_not_depend_on_its_neighbours():
     assert np.allclose(lda.digamma(np.array([0.02, 1.0, 10.0])), [-50.54478930567, -0.57721566490153, 2.25175258906672], rtol=1e-11)
 
 
+def test_nearest_rows_are_held_over_blocks():
+    """A task tells k rows per row of a block, however many blocks it has met; ties go to the smaller id."""
+    from types import SimpleNamespace
+
+    rng = np.random.default_rng(9)
+    x, y = rng.integers(0, 4, (20, 2)).astype(float), rng.integers(0, 4, (90, 2)).astype(float)
+    best = neighbors.Nearest(np.arange(20), 3)
+    for part in np.split(rng.permutation(90), 3):
+        best.meet(SimpleNamespace(l_flat=x.ravel(), r_flat=y[part].ravel(), r_ids=part), "euclidean", True)
+    got = best.rows()
+    assert len(got) == 60
+    for i in range(20):
+        want = sorted((round(float(np.linalg.norm(x[i] - y[j])), 9), j) for j in range(90) if j != i)[:3]
+        assert list(zip(got[got["id"] == i]["dist"], got[got["id"] == i]["nbr"], strict=True)) == want
+
+
+def test_mean_distances_pack_rows(spark):
+    """Means by the definition, told per block of rows and not per pair of rows."""
+    from lexitide.plans import facts
+
+    rng = np.random.default_rng(10)
+    x = rng.random((120, 3))
+    rows = [(k, i, i % k, x[i].tolist()) for k in (2, 3) for i in range(120)]
+    got = facts._mean_distances(spark.createDataFrame(rows, "k INT, doc_id LONG, cluster INT, embedding ARRAY<DOUBLE>")).collect()
+    assert len(got) == 3 * (2 + 3)
+    for r in got:
+        others = [j for j in range(120) if j != r["id"] and j % r["k"] == r["cluster"]]
+        assert r["own"] == r["id"] % r["k"] and np.isclose(r["m"], np.linalg.norm(x[others] - x[r["id"]], axis=1).mean())
+
+
 # --- spectral coordinates ----------------------------------------------------------------------------
 
 
