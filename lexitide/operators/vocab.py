@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexitide.functions import text as X
 from lexitide.operators.sparse import sparse_rows
-from lexitide.session import BROADCAST_ROWS
+from lexitide.session import BROADCAST_ROWS, task_count
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -65,10 +65,13 @@ def tfidf_features(train: DataFrame, max_features: int = 100_000, min_df: int =
 
     A feature needs `min_df` documents; of those the `max_features` with most occurrences stay. The
     inverse document frequency is ln((1 + n) / (1 + df)) + 1. A document is a row, whatever its id: each row
-    tells its terms and, once each, its distinct terms, and both are summed before the only shuffle.
+    tells its terms and, once each, its distinct terms, and both are summed before they are shuffled. Texts are dealt out
+    before that, so that a task sums the terms of a bounded part of them.
     """
     order = [F.desc("tf"), F.asc("term")]
-    worded = train.select(X.words(F.col("text")).alias("words"))
+    n_docs, n_bytes = train.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    dealt = train.select("text", F.monotonically_increasing_id().alias("place")).repartition(task_count(train.sparkSession, n_bytes), "place")
+    worded = dealt.select(X.words(F.col("text")).alias("words"))
     grams = worded.select(X.ngrams(F.col("words"), *ngram).alias("grams"))
     every = F.transform("grams", lambda g: F.struct(g.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df")))
     once = F.transform(F.array_distinct("grams"), lambda g: F.struct(g.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")))
@@ -80,7 +83,7 @@ def tfidf_features(train: DataFrame, max_features: int = 100_000, min_df: int =
         .orderBy(*order)
         .limit(max_features)
     )
-    return with_idf(stats, train.count())
+    return with_idf(stats, n_docs)
 
 
 def with_idf(stats: DataFrame, n_docs: int) -> DataFrame:
@@ -90,15 +93,20 @@ def with_idf(stats: DataFrame, n_docs: int) -> DataFrame:
     return stats.withColumn("idf", idf).withColumn("term_idx", index)
 
 
-def tfidf_weights(docs: DataFrame, features: DataFrame, max_features: int = 100_000, ngram: tuple[int, int] = (1, 2)) -> DataFrame:
+def tfidf_weights(
+    docs: DataFrame, features: DataFrame, max_features: int = 100_000, ngram: tuple[int, int] = (1, 2), by_doc: bool = False
+) -> DataFrame:
     """Length-one TF-IDF rows in long form: `(doc_id, term, weight)`, each row of `docs` by itself.
 
-    Terms are counted and weighed in the row by the pipeline; only weights unfold, and neither texts nor tokens move.
+    Terms are counted and weighed in the row by the pipeline; only weights unfold, and neither texts nor tokens move. With
+    `by_doc` the rows are hashed by id before they unfold, indices and weights as lists, for later steps per document.
     """
     kept = features.persist()
     made = tfidf_pipeline(kept, ngram).transform(docs.select("doc_id", "text"))
-    rows = sparse_rows(made, ["doc_id"])
-    long = rows.select("row.doc_id", F.inline(F.arrays_zip(F.col("idx").alias("term_idx"), F.col("val").alias("weight"))))
+    rows = sparse_rows(made, ["doc_id"]).select("row.doc_id", "idx", "val")
+    if by_doc:
+        rows = rows.repartition(task_count(docs.sparkSession, docs.agg(F.sum(F.octet_length("text"))).first()[0]), "doc_id")
+    long = rows.select("doc_id", F.inline(F.arrays_zip(F.col("idx").alias("term_idx"), F.col("val").alias("weight"))))
     return long.join(bounded(kept.select("term", "term_idx"), max_features), "term_idx").select("doc_id", "term", "weight")
 
 
