@@ -207,7 +207,7 @@ def tfidf_repeated_ids(spark, sf):
     docs = _time_split(spark, sf).select("doc_id", "split", "text")
     both = docs.withColumn("part", F.lit(0)).unionByName(docs.withColumns({"part": F.lit(1), "text": F.substring("text", 1, 200)}))
     features = vocab.tfidf_features(both.where(F.col("split") == "train"), 100_000, 2, (1, 1))
-    weights = vocab.tfidf_weights(both, features, 100_000, (1, 1))
+    weights = vocab.tfidf_weights(both, features, 100_000, (1, 1), by_doc=True)
     return weights.groupBy("doc_id", "term").agg(F.count("*").alias("n_rows"), F.round(F.max("weight"), 6).alias("high"), F.round(F.min("weight"), 6).alias("low"))
 
 
