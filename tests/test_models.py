@@ -400,3 +400,71 @@ def test_vector_head_and_pseudo_labels(spark):
     assert adopted.count() == rest.count() == adopted.select("doc_id").distinct().count()
     right = adopted.join(rest.select("doc_id", F.col("label").alias("truth")), "doc_id").where("round IS NOT NULL AND label != truth")
     assert right.isEmpty()
+
+
+def _side(x):
+    return B.Side(x.ravel(), len(x))
+
+
+@pytest.mark.parametrize("scale", [1e-30, 1.0, 1e6, 1e30])
+def test_pairs_within_reach_are_those_of_the_distances(scale):
+    """Single precision only leaves pairs out; what it keeps is held against the limit by the definition."""
+    draw = np.random.default_rng(4)
+    x, y = draw.normal(size=(60, 7)) * scale, draw.normal(size=(80, 7)) * scale
+    y[:20] = x[:20] + draw.normal(size=(20, 7)) * scale * 1e-7
+    apart = np.linalg.norm(x[:, None] - y[None], axis=2)
+    assert np.allclose(_side(x).distances(_side(y)), apart, rtol=1e-9, atol=0)
+    limit = np.sort(apart, axis=1)[:, 3]
+    i, j, d = _side(x).within(_side(y), limit * (1 + 1e-12))
+    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(zip(*(a.tolist() for a in np.nonzero(apart <= limit[:, None])), strict=True))
+    assert np.allclose(d, apart[i, j], rtol=1e-12, atol=0)
+
+
+def test_a_task_reads_a_tile_and_a_span(spark, monkeypatch):
+    """All pairs of blocks meet once, and no partition has more blocks than a tile and a span, however many there are."""
+    import pandas as pd
+
+    monkeypatch.setattr(B, "tile_size", lambda spark, n: 3)
+    monkeypatch.setattr(B, "SPAN", 4)
+    table = spark.range(30).select(F.col("id").alias("block"), F.array("id").alias("ids"))
+    pairs = spark.range(30).select(F.col("id").alias("qblock")).crossJoin(table.select("block"))
+    work = B.met_blocks(pairs, table, table.select("block", F.col("ids").cast("array<int>").alias("ids")), 30, 30)
+    sizes = work.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys"))
+    assert {(r["n"], r["keys"]) for r in sizes.collect()} <= {(7, 1), (5, 1)}
+
+    def meet(batches):
+        for _, block, asking in B.meetings(batches):
+            yield pd.DataFrame({"a": [int(own.l_ids[0]) for own in asking], "b": int(block.r_ids[0])})
+
+    met = work.mapInPandas(meet, "a LONG, b LONG")
+    assert met.count() == 900 and met.distinct().count() == 900
+
+
+@pytest.mark.parametrize("held", [3, 2048])
+def test_silhouette_sums_over_many_blocks(spark, monkeypatch, held):
+    monkeypatch.setattr(B, "BLOCK", 16)
+    monkeypatch.setattr(clustering, "HELD_SUMS", held)
+    x, at = np.random.default_rng(5).normal(size=(100, 3)), np.arange(100) % 5
+    df = spark.createDataFrame([(i, int(at[i]), x[i].tolist()) for i in range(100)], "doc_id LONG, label INT, embedding ARRAY<DOUBLE>")
+    got = {r["doc_id"]: r["s"] for r in clustering.silhouette_points(df, "label").collect()}
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    for i in range(100):
+        a = d[i, at == at[i]].sum() / 19
+        b = min(d[i, at == c].mean() for c in range(5) if c != at[i])
+        assert np.isclose(got[i], (b - a) / max(a, b))
+
+
+def test_zero_vectors_are_one_apart_beyond_the_first_block(spark, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK", 8)
+    x = np.random.default_rng(6).normal(size=(60, 3))
+    x[::7] = 0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id LONG, embedding ARRAY<DOUBLE>")
+    got = {(r["doc_id"], r["rank"]): (r["nbr"], r["dist"]) for r in neighbors.knn(df, k=4).collect()}
+    length = np.linalg.norm(x, axis=1)
+    with np.errstate(invalid="ignore"):
+        cos = np.where(np.outer(length, length) > 0, x @ x.T / np.outer(length, length), 0.0)
+    d = np.round(1 - cos, 9)
+    for i in range(60):
+        want = sorted((d[i, j], j) for j in range(60) if j != i)[:4]
+        assert [got[i, r + 1][0] for r in range(4)] == [j for _, j in want]
+        assert np.allclose([got[i, r + 1][1] for r in range(4)], [w for w, _ in want], atol=2e-9)
