@@ -2,7 +2,8 @@
 
 A table row holds a document's entries in the basis vectors; a product with the weight matrix is a join of links with rows and a
 sum per row, which Spark combines before its shuffle. The basis grows by one block of products a step (block Lanczos), kept
-orthonormal by Gram matrices, and the eigenvectors are the best ones within it. The driver sees matrices of basis size only.
+orthonormal by Gram matrices, and the eigenvectors are the best ones within it. The driver sees matrices of basis size only: the
+weights between basis vectors come from each step's first Gram matrix, so products are not kept.
 """
 
 from __future__ import annotations
@@ -11,9 +12,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -32,7 +30,8 @@ def graph_weights(near: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     A link of either list counts, one of both once; equal rows have weight 1.
     """
-    links = near.select(F.col(id_col).alias("a"), F.col("nbr").alias("b"), "dist")
+    # the lists are read four times below
+    links = cut_lineage(near.select(F.col(id_col).alias("a"), F.col("nbr").alias("b"), "dist"))
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "dist")).groupBy("a", "b").agg(F.min("dist").alias("dist"))
     spread = links.groupBy("a").agg(F.max("dist").alias("s"))
     told = both.join(spread.withColumnRenamed("s", "sa"), "a").join(spread.select(F.col("a").alias("b"), F.col("s").alias("sb")), "b")
@@ -40,19 +39,19 @@ def graph_weights(near: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return told.select("a", "b", F.when(scale > 0, F.exp(-F.col("dist") * F.col("dist") / scale)).otherwise(F.lit(1.0)).alias("w"))
 
 
-def _gram(rows: DataFrame, left: str, right: str) -> np.ndarray:
-    """Sum over rows of the outer product of two list columns; a matrix of basis size."""
+def _gram(rows: DataFrame, left: list[str], right: str) -> np.ndarray:
+    """Sum over rows of the outer product of list columns, the left ones end to end; a matrix of basis size."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             if len(batch):
-                part = matrix(batch.column("l")).T @ matrix(batch.column("r"))
+                part = np.hstack([matrix(batch.column(f"l_{c}")) for c in left]).T @ matrix(batch.column("r"))
                 total = part if total is None else total + part
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64())), pa.array([total.shape[1]], pa.int32())], ["part", "width"])
 
-    parts = rows.select(F.col(left).alias("l"), F.col(right).alias("r")).mapInArrow(add, "part ARRAY<DOUBLE>, width INT")
+    parts = rows.select(*[F.col(c).alias(f"l_{c}") for c in left], F.col(right).alias("r")).mapInArrow(add, "part ARRAY<DOUBLE>, width INT")
     out = parts.agg(sum_vector(F.col("part")).alias("total"), F.max("width").alias("width")).first()
     return np.array(out["total"]).reshape(-1, out["width"])
 
@@ -67,17 +66,21 @@ def _combined(rows: DataFrame, name: str, **mixes: np.ndarray) -> DataFrame:
         for batch in batches:
             if len(batch):
                 made = sum(matrix(batch.column(f"m_{c}")) @ m for c, m in shared.value.items())
-                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(list(made), pa.list_(pa.float64()))], ["row", "made"])
+                ends = pa.array(np.arange(len(made) + 1) * made.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(ends, pa.array(made.ravel()))], ["row", "made"])
 
     kind = StructType([packed.schema["row"], *StructType.fromDDL("made ARRAY<DOUBLE>").fields])
     return packed.mapInArrow(mix, kind).select("row.*", F.col("made").alias(name))
 
 
-def _product(links: DataFrame, rows: DataFrame, column: str) -> DataFrame:
-    """`(id, product)`: the normalised weights times a list column."""
-    there = rows.select(F.col("id").alias("b"), array_to_vector(column).alias("x"))
-    met = links.join(there, "b")
-    return met.groupBy(F.col("a").alias("id")).agg(vector_to_array(Summarizer.sum(F.col("x"), F.col("w"))).alias("product"))
+def _product(links: DataFrame, rows: DataFrame, column: str, width: int) -> DataFrame:
+    """`(id, product)`: the normalised weights times a list column of `width` entries.
+
+    The entries are summed as columns of their own: sums of lists would be sorted by row and made anew for every link.
+    """
+    there = rows.select(F.col("id").alias("b"), *[F.get(column, F.lit(i)).alias(f"x{i}") for i in range(width)])
+    sums = links.join(there, "b").groupBy(F.col("a").alias("id")).agg(*[F.sum(F.col(f"x{i}") * F.col("w")).alias(f"y{i}") for i in range(width)])
+    return sums.select("id", F.array(*[f"y{i}" for i in range(width)]).alias("product"))
 
 
 def _orthonormal(gram: np.ndarray) -> np.ndarray:
@@ -102,25 +105,27 @@ def spectral(weights: DataFrame, dims: int = 5, steps: int = STEPS, seed: int =
     width = dims + 1 + SPARE
     draws = [F.xxhash64(F.lit(seed), F.lit(i), "id") / float(2**63) for i in range(width - 1)]
     rows = degrees.select("id", "root", F.array("root", *[d * F.col("root") for d in draws]).alias("last"))
-    rows = _combined(rows, "last", last=_orthonormal(_gram(cut_lineage(rows), "last", "last")))
-    rows = cut_lineage(rows.withColumn("basis", F.col("last")).withColumn("image", F.array().cast("array<double>")))
-    for _ in range(steps):
-        rows = cut_lineage(rows.join(_product(links, rows, "last"), "id").withColumn("image", F.concat("image", "product")))
-        new = rows
-        for _ in range(2):  # once more for the digits that the first projection loses
-            inside = _gram(new, "basis", "product")
-            new = cut_lineage(_combined(new, "product", product=np.eye(inside.shape[1]), basis=-inside))
-        size = _gram(new, "product", "product")
+    mix = _orthonormal(_gram(cut_lineage(rows), ["last"], "last"))
+    rows = cut_lineage(_combined(rows, "last", last=mix).withColumn("basis", F.col("last")))
+    inner = np.zeros((0, 0))
+    for step in range(1, steps + 1):
+        new = cut_lineage(rows.join(_product(links, rows, "last", mix.shape[1]), "id"))
+        inside = _gram(new, ["basis"], "product")  # the weights between the basis so far and its last block
+        known = len(inside) - inside.shape[1]
+        inner = np.block([[inner, inside[:known]], [inside[:known].T, (inside[known:] + inside[known:].T) / 2]])
+        if step == steps:
+            break
+        new = cut_lineage(_combined(new, "product", product=np.eye(inside.shape[1]), basis=-inside))
+        # once more for the digits that the first projection loses
+        again = _gram(new, ["basis", "product"], "product")
+        inside, size = again[: len(inside)], again[len(inside) :]
+        size = size - inside.T @ inside
         mix = _orthonormal(size) if np.trace(size) > SMALLEST**2 else np.zeros((len(size), 0))
         if not mix.shape[1]:
             break
-        made = _combined(new, "last", product=mix)
-        rows = cut_lineage(made.select("id", "root", "last", F.concat("basis", "last").alias("basis"), "image"))
-    # the image of the last block is not known: the basis is used as far as images go
-    known = len(rows.select("image").first()["image"])
-    rows = cut_lineage(rows.withColumn("basis", F.slice("basis", 1, known)).select("id", "root", "basis", "image"))
-    inner = _gram(rows, "basis", "image")
-    values, vectors = np.linalg.eigh((inner + inner.T) / 2)
+        made = _combined(new, "last", product=mix, basis=-inside @ mix)
+        rows = cut_lineage(made.select("id", "root", "last", F.concat("basis", "last").alias("basis")))
+    values, vectors = np.linalg.eigh(inner)
     order = np.argsort(-values, kind="stable")[: dims + 1]
     made = cut_lineage(_combined(rows, "vectors", basis=vectors[:, order]).select("id", "root", "vectors"))
     cubes = made.agg(*[F.sum(F.pow(F.get("vectors", i), 3)).alias(f"c{i}") for i in range(1, len(order))]).first()
@@ -133,7 +138,7 @@ def residuals(weights: DataFrame, found: DataFrame, values: np.ndarray) -> DataF
     """`(i, value, length, residual)`: per eigenvector its length and that of A x - value x, worked out from the links anew."""
     roots = weights.groupBy("a").agg(F.sqrt(F.sum("w")).alias("root"))
     links = weights.join(roots.withColumnRenamed("root", "ra"), "a").join(roots.select(F.col("a").alias("b"), F.col("root").alias("rb")), "b")
-    image = _product(links.select("a", "b", (F.col("w") / (F.col("ra") * F.col("rb"))).alias("w")), found.select("id", "vectors"), "vectors")
+    image = _product(links.select("a", "b", (F.col("w") / (F.col("ra") * F.col("rb"))).alias("w")), found.select("id", "vectors"), "vectors", len(values))
     pairs = found.join(image, "id").select(F.posexplode(F.arrays_zip(F.col("vectors").alias("x"), F.col("product").alias("y"))).alias("i", "s"))
     listed = F.array(*[F.lit(float(v)) for v in values])
     told = pairs.select("i", "s.*", F.get(listed, F.col("i")).alias("value"))

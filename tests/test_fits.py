@@ -353,6 +353,19 @@ def test_eigenvectors_are_those_of_the_whole_matrix(spark):
         assert r["length"] == pytest.approx(1.0, abs=1e-8) and r["residual"] < 1e-2
 
 
+def test_neighbour_lists_are_read_once(spark):
+    x = np.random.default_rng(31).normal(size=(40, 3))
+    made, seen = neighbors.knn(vec(spark, x), k=4, metric="euclidean"), spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    graph = spectral.graph_weights(made.mapInArrow(told, made.schema))
+    assert graph.count() and seen.value == 160
+
+
 # --- stored topics -----------------------------------------------------------------------------------
 
 
