@@ -1,8 +1,10 @@
 """Density clusters of differing density: a spanning tree of mutual reachability, its merge tree, and the stable clusters in it.
 
-1. `spanning_tree`: rounds in which every component takes its lightest outgoing edge (Borůvka). A round compares packed blocks
-   of vectors; a pair of blocks tells one edge per component, and a pair that cannot hold a lighter edge than one already known
-   from the neighbour lists, or that lies in one component, is left out.
+1. `spanning_tree`: rounds in which components take their lightest outgoing edges (Borůvka). The edges come from neighbour lists: a
+   row knows all its edges up to the end of its list, so a component whose lightest known edge lies before the ends of all its rows'
+   lists need not look further. Where fewer than half of the components can tell, the rows whose lists end too early are compared
+   with the rows of all other components and get new lists. The largest component waits to be reached. Of parallel edges between
+   two components the lightest stays.
 2. `merge_tree`: in which order the edges, lightest first, join the rows, with the sizes on both sides. The edges are halved by
    weight: the lighter half falls into components, which are trees of their own, and the heavier half joins these
    components. Halves of at most `TASK_EDGES` edges are worked off in a task each, all at once.
@@ -25,36 +27,47 @@ from pyspark.sql import functions as F
 
 from lexitide.operators import blocks as B
 from lexitide.operators.graph import connected_components
-from lexitide.operators.neighbors import DIGITS, _index, knn, numbered
-from lexitide.operators.ranking import add_row_index
+from lexitide.operators.neighbors import DIGITS, Nearest, _index, knn, numbered
+from lexitide.operators.ranking import add_row_index, top_per_group
 from lexitide.session import cut_lineage
 
 TASK_EDGES = 200_000
 MAX_ROUNDS = 64
+MORE = 10  # neighbours of a first list beyond those that tell the core
+LIST = 16  # edges of a list that a row gets later
+LOOSE = 1.5  # how far a later list may reach, in lightest known edges of the component
 LEAST_WEIGHT = 1e-9  # rows closer than this are taken to be this far apart
 
 
 # ---- spanning tree
 
 
-def _lightest(row) -> pd.DataFrame | None:
-    """The lightest edge `(comp, w, a, b)` with a < b between two blocks out of each component; ties to the smaller ids.
-
-    Ids of a block are in order, so the first of a row's equally near others makes its least pair.
-    """
-    l_ids, r_ids, l_comps, r_comps = (np.asarray(x) for x in (row.l_ids, row.r_ids, row.l_comps, row.r_comps))
-    d = np.round(B.distances(B.matrix(row.l_flat, len(l_ids)), B.matrix(row.r_flat, len(r_ids))), DIGITS)
-    d = np.maximum(d, np.maximum(np.asarray(row.l_cores)[:, None], np.asarray(row.r_cores)[None, :]))
-    d[l_comps[:, None] == r_comps[None, :]] = np.inf
-    out = []
-    for gaps, ids, others, comps in ((d, l_ids, r_ids, l_comps), (d.T, r_ids, l_ids, r_comps)):
-        at = gaps.argmin(axis=1)
-        low = gaps[np.arange(len(ids)), at]
-        some = np.isfinite(low)
-        mine, other = ids[some], others[at[some]]
-        found = pd.DataFrame({"comp": comps[some], "w": low[some], "a": np.where(mine < other, mine, other), "b": np.where(mine < other, other, mine)})
-        out.append(found.sort_values(["comp", "w", "a", "b"]).drop_duplicates("comp"))
-    return pd.concat(out, ignore_index=True) if sum(map(len, out)) else None
+class Lightest(Nearest):
+    """The lightest edges of the rows of a block out of their components, up to a limit of each row; ties to the smaller id."""
+
+    def __init__(self, row):
+        super().__init__(np.asarray(row.l_ids), LIST, row.l_flat)
+        self.cores, self.comps = np.asarray(row.l_cores), np.asarray(row.l_comps)
+        self.reach = np.array(row.l_limits, dtype=np.float64)
+
+    def look(self, row, there: B.Side) -> None:
+        """Take in the edges to the rows of another block."""
+        r_ids, cores, comps = np.asarray(row.r_ids), np.asarray(row.r_cores), np.asarray(row.r_comps)
+        if np.isinf(self.reach).any():
+            w = np.maximum(np.round(self.side.distances(there), DIGITS), np.maximum(self.cores[:, None], cores[None, :]))
+            w[self.comps[:, None] == comps[None, :]] = np.inf
+            reach, open_rows = self.reach.copy(), np.flatnonzero(np.isinf(self.reach))
+            if len(r_ids) > self.k:
+                reach[open_rows] = np.partition(w[open_rows], self.k - 1, axis=1)[:, self.k - 1]
+            i, j = np.nonzero((w <= reach[:, None]) & (w < np.inf))
+            w = w[i, j]
+        else:
+            i, j, d = self.side.within(there, self.reach + 10.0**-DIGITS)
+            w = np.maximum(np.round(d, DIGITS), np.maximum(self.cores[i], cores[j]))
+            some = (w <= self.reach[i]) & (self.comps[i] != comps[j])
+            i, j, w = i[some], j[some], w[some]
+        if len(i):
+            self.hold(i, r_ids[j], w)
 
 
 def _pairs(cells: B.Cells, spark) -> DataFrame:
@@ -79,83 +92,172 @@ def _pairs(cells: B.Cells, spark) -> DataFrame:
 
 
 def near_lists(vectors: DataFrame, min_samples: int, id_col: str = "doc_id") -> DataFrame:
-    """`(id, nbr, dist)`: each row's nearest others, whose last tells its core."""
-    return cut_lineage(knn(vectors, k=min_samples, metric="euclidean", id_col=id_col).select(F.col(id_col).alias("id"), "nbr", "dist"))
+    """`(id, nbr, dist, rank)`: each row's nearest others, `MORE` than those that tell its core."""
+    return cut_lineage(knn(vectors, k=min_samples + MORE, metric="euclidean", id_col=id_col).select(F.col(id_col).alias("id"), "nbr", "dist", "rank"))
+
+
+def cores_of(near: DataFrame, min_samples: int) -> DataFrame:
+    """`(id, core)`: the distance to the `min_samples`-th neighbour, or to the farthest of fewer."""
+    return near.where(F.col("rank") <= min_samples).groupBy("id").agg(F.max("dist").alias("core"))
+
+
+def _edge(w, one, other) -> Column:
+    """An edge as it is ordered: by weight, then by its smaller and its larger id."""
+    return F.struct(w.alias("w"), F.least(one, other).alias("a"), F.greatest(one, other).alias("b"))
+
+
+def _end(lists: DataFrame, size: int, w: str, otherwise: Column) -> DataFrame:
+    """`(id, end)`: the last edge of each list of `size`; edges that are not in the list come later. `otherwise` ends shorter ones."""
+    last = lists.groupBy("id").agg(F.count("*").alias("n"), F.max(F.struct(w, "nbr")).alias("last"))
+    return last.select("id", F.when(F.col("n") >= size, _edge(F.col(f"last.{w}"), F.col("id"), F.col("last.nbr"))).otherwise(otherwise).alias("end"))
 
 
-def spanning_tree(vectors: DataFrame, min_samples: int, id_col: str = "doc_id", near: DataFrame | None = None) -> DataFrame:
+def _parallel(edges: DataFrame) -> DataFrame:
+    """The lightest of the edges between two components: `(lo, hi, e)`."""
+    return cut_lineage(edges.where(F.col("lo") != F.col("hi")).groupBy("lo", "hi").agg(F.min("e").alias("e")))
+
+
+def spanning_tree(vectors: DataFrame, min_samples: int, id_col: str = "doc_id", near: DataFrame | None = None, task_edges: int = TASK_EDGES) -> DataFrame:
     """`(a, b, w)`: a minimum spanning tree of mutual reachability max(core_a, core_b, distance); one edge less than rows.
 
     A row's core is the distance to its `min_samples`-th neighbour, or to its farthest where it has fewer. Ids must be
-    distinct and ordered. Equal weights go to the smaller ids.
+    distinct and ordered. Equal weights go to the smaller ids. `near` are lists by `near_lists`.
     """
     spark = vectors.sparkSession
     near = near_lists(vectors, min_samples, id_col) if near is None else near
-    cores = near.groupBy("id").agg(F.max("dist").alias("core"))
+    cores = cores_of(near, min_samples)
     rows = vectors.select(F.col(id_col).alias("id"), B.metric_vector(F.col("embedding"), "euclidean").alias("v"))
     rows = cut_lineage(rows.join(cores, "id", "left").withColumn("core", F.coalesce("core", F.lit(0.0))))
     indexed, cells = _index(rows)
-    listed = cut_lineage(indexed.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("id", "v", "core"))).alias("rows")))
+    indexed = cut_lineage(indexed.select("id", "v", "core", "block"))
     pairs = cut_lineage(_pairs(cells, spark))
-    place = cut_lineage(indexed.select("id", "block", "core"))
-    core = place.select("id", "core")
-    known = near.join(core, "id").join(core.select(F.col("id").alias("nbr"), F.col("core").alias("n_core")), "nbr")
-    known = cut_lineage(known.select("id", "nbr", F.greatest("core", "n_core", "dist").alias("w")))
-    comps = place.select("id", F.col("id").alias("comp"))
     id_type = rows.schema["id"].dataType.simpleString()
+    nowhere = F.struct(F.lit(float("inf")).alias("w"), F.lit(None).cast(id_type).alias("a"), F.lit(None).cast(id_type).alias("b"))
+    core = indexed.groupBy("id").agg(F.max("core").alias("core"))
+    known = near.join(core, "id").join(core.select(F.col("id").alias("nbr"), F.col("core").alias("n_core")), "nbr")
+    edges = _parallel(known.select(F.least("id", "nbr").alias("lo"), F.greatest("id", "nbr").alias("hi"), _edge(F.greatest("core", "n_core", "dist"), F.col("id"), F.col("nbr")).alias("e")))
+    ends = _end(near, min_samples + MORE, "dist", nowhere)
+    state = cut_lineage(core.select("id", F.col("id").alias("comp")).join(ends, "id", "left").withColumn("end", F.coalesce("end", nowhere)))
     tree = None
-    for _ in range(MAX_ROUNDS):
-        comps = cut_lineage(comps)
-        out = known.join(comps, "id").join(comps.select(F.col("id").alias("nbr"), F.col("comp").alias("other")), "nbr").where(F.col("comp") != F.col("other"))
-        both = out.select("comp", "w").unionByName(out.select(F.col("other").alias("comp"), "w"))
-        reach = both.groupBy("comp").agg(F.min("w").alias("reach"))
-        told = place.join(comps, "id").join(reach, "comp", "left")
-        # what a block can still gain from: its least core, its least certain component, its components
-        about = told.groupBy("block").agg(
-            F.min("core").alias("core"), F.max(F.coalesce("reach", F.lit(float("inf")))).alias("reach"), F.min("comp").alias("low"), F.max("comp").alias("high")
-        )
-        left = about.select(*[F.col(c).alias(f"q_{c}") for c in about.columns]).withColumnRenamed("q_block", "qblock")
-        useful = pairs.join(about, "block").join(left, "qblock").where(
-            (F.greatest("gap", "core", "q_core") <= F.greatest("reach", "q_reach") * (1 + 1e-9) + 1e-9)
-            & ~((F.col("low") == F.col("high")) & (F.col("q_low") == F.col("q_high")) & (F.col("low") == F.col("q_low")))
-        )
-        named = listed.join(_listed_comps(told), "block")
-        work = _join(useful.select("qblock", "block"), named, B.tile_size(spark, int(cells.n_blocks.sum())))
-
-        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for row in pdf.itertuples(index=False):
-                    found = _lightest(row)
-                    if found is not None:
-                        yield found
-
-        edges = work.mapInPandas(search, f"comp {id_type}, w DOUBLE, a {id_type}, b {id_type}")
-        best = cut_lineage(edges.groupBy("comp").agg(F.min(F.struct("w", "a", "b")).alias("e")).select("e.*").distinct())
-        if best.isEmpty():
+    for _ in range(2 * MAX_ROUNDS):
+        both = edges.select(F.col("lo").alias("comp"), "e", "lo", "hi").unionByName(edges.select(F.col("hi").alias("comp"), "e", "lo", "hi"))
+        picks = both.groupBy("comp").agg(F.min(F.struct("e", "lo", "hi")).alias("pick"))
+        told = state.groupBy("comp").agg(F.min("end").alias("end"), F.count("*").alias("n")).join(picks, "comp", "left")
+        told = cut_lineage(told.select("comp", "n", "pick", "end", F.coalesce(F.col("pick.e") <= F.col("end"), F.lit(False)).alias("sure")))
+        whole = told.agg(F.count("*").alias("n"), F.count_if("sure").alias("sure"), F.max(F.struct("n", "comp")).alias("largest")).first()
+        if whole["n"] <= 1:
             break
-        tree = best if tree is None else cut_lineage(tree.unionByName(best))
-        of = comps.select("id", "comp")
-        joined = best.join(of.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(of.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b")
-        merged = connected_components(joined.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        comps = comps.join(merged.select(F.col("id").alias("comp"), "component"), "comp", "left").select("id", F.coalesce("component", "comp").alias("comp"))
+        few = max(whole["n"], edges.count()) <= task_edges
+        if not whole["sure"] if few else 2 * whole["sure"] < whole["n"] - 1:
+            waiting = told.where(~F.col("sure") & (F.col("comp") != F.lit(whole["largest"]["comp"]))).select("comp", F.col("pick.e").alias("e"))
+            asked = state.join(waiting, "comp").where(F.col("e").isNull() | (F.col("end") < F.col("e")))
+            asked = cut_lineage(asked.select("id", F.coalesce(F.col("e.w") * LOOSE + 1e-6, F.lit(float("inf"))).alias("limit")))
+            found = cut_lineage(_looked(indexed, cells, pairs, state.select("id", "comp"), asked))
+            short = F.struct(F.col("limit").alias("w"), F.lit(None).cast(id_type).alias("a"), F.lit(None).cast(id_type).alias("b"))
+            ends = asked.join(_end(found, LIST, "w", F.lit(None)), "id", "left").select("id", F.coalesce("end", short).alias("new"))
+            state = cut_lineage(state.join(ends, "id", "left").select("id", "comp", F.coalesce("new", "end").alias("end")))
+            comps = state.select("id", "comp")
+            fresh = found.join(comps, "id").join(comps.select(F.col("id").alias("nbr"), F.col("comp").alias("other")), "nbr")
+            edges = _parallel(edges.unionByName(fresh.select(F.least("comp", "other").alias("lo"), F.greatest("comp", "other").alias("hi"), _edge(F.col("w"), F.col("id"), F.col("nbr")).alias("e"))))
+            continue
+        if few:
+            done = cut_lineage(_taken(edges, told, id_type))
+            found_edges, merged = done.where("a IS NOT NULL").select("a", "b", "w"), done.where("id IS NOT NULL").select("id", "component")
+        else:
+            best = cut_lineage(told.where("sure").select("pick.*").distinct())
+            found_edges = best.select("e.a", "e.b", "e.w")
+            merged = cut_lineage(connected_components(best.select(F.col("lo").alias("a"), F.col("hi").alias("b"))))
+        tree = found_edges if tree is None else cut_lineage(tree.unionByName(found_edges))
+        new = merged.select(F.col("id").alias("comp"), "component")
+        state = cut_lineage(state.join(new, "comp", "left").select("id", F.coalesce("component", "comp").alias("comp"), "end"))
+        for side in ("lo", "hi"):
+            edges = edges.join(merged.select(F.col("id").alias(side), F.col("component").alias("_new")), side, "left").withColumn(side, F.coalesce("_new", side)).drop("_new")
+        edges = _parallel(edges.select(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi"), "e"))
     else:
-        raise RuntimeError(f"the spanning tree was not done in {MAX_ROUNDS} rounds")
+        raise RuntimeError(f"the spanning tree was not done in {2 * MAX_ROUNDS} rounds")
     if tree is None:
         return spark.createDataFrame([], f"a {id_type}, b {id_type}, w DOUBLE")
-    return tree.select("a", "b", "w")
+    return tree
 
 
-def _listed_comps(told: DataFrame) -> DataFrame:
-    """`(block, named)`: ids and components of a block's rows, by id."""
-    return told.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("id", "comp"))).alias("named"))
+def _taken(edges: DataFrame, told: DataFrame, id_type: str) -> DataFrame:
+    """`(id, component, a, b, w)`: all edges that components can tell, one after the other, and what they join; one or the other is null.
 
-
-def _join(pairs: DataFrame, listed: DataFrame, tile: int) -> DataFrame:
-    """Pairs of blocks with their ids, vectors, cores and components, each block's in order of id."""
-    sides = listed.select(
-        "block", F.col("rows.id").alias("ids"), F.col("rows.core").alias("cores"), F.col("named.comp").alias("comps"), F.flatten("rows.v").alias("flat")
+    Edges are looked at from the lightest. An edge is the lightest one out of a component if it lies before the component's
+    end: a lighter one that was left out would lie beyond that end.
+    """
+    some = told.where(F.col("pick").isNotNull())
+    of = F.lit(None).cast(id_type)
+    listed = edges.select("lo", "hi", "e.*").unionByName(some.select(F.col("comp").alias("lo"), of.alias("hi"), "end.*"))
+
+    def take(t: pa.Table) -> pa.Table:
+        rows = list(zip(*[t.column(c).to_pylist() for c in ("w", "a", "b", "lo", "hi")], strict=True))
+        # an end without ids lies before all edges of its weight
+        end = {lo: (w, 0) if a is None else (w, 1, a, b) for w, a, b, lo, hi in rows if hi is None}
+        parent = {x: x for x in end}
+
+        def root(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        taken = []
+        for w, a, b, lo, hi in sorted(r for r in rows if r[4] is not None):
+            x, y = sorted((root(lo), root(hi)))
+            if x != y and (w, 1, a, b) <= max(end[x], end[y]):
+                parent[y], end[x] = x, min(end[x], end[y])
+                taken.append((None, None, a, b, w))
+        joined = [(x, root(x), None, None, None) for x in parent]
+        kinds = [t.schema.field("lo").type] * 4 + [pa.float64()]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*taken, *joined), kinds, strict=True)], ["id", "component", "a", "b", "w"])
+
+    kind = f"id {id_type}, component {id_type}, a {id_type}, b {id_type}, w DOUBLE"
+    return listed.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(take, kind)
+
+
+def _looked(indexed: DataFrame, cells: B.Cells, pairs: DataFrame, comps: DataFrame, asked: DataFrame) -> DataFrame:
+    """`(id, nbr, w)`: the `LIST` lightest edges, up to its limit, of every row of `asked(id, limit)` out of its component.
+
+    Asked rows of blocks in sequence make a pack of some `BLOCK` rows. A pack meets the blocks that can hold such an edge of a row of it.
+    """
+    spark = indexed.sparkSession
+    rows = cut_lineage(indexed.join(comps, "id"))
+    asking = cut_lineage(rows.join(asked, "id"))
+    about = rows.groupBy("block").agg(F.min("core").alias("core"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    q_about = asking.groupBy("block").agg(
+        F.min("core").alias("q_core"), F.max("limit").alias("limit"), F.min("comp").alias("q_low"), F.max("comp").alias("q_high"), F.count("*").alias("n")
+    )
+    q_about = cut_lineage(q_about.withColumnRenamed("block", "qblock"))
+    counts = q_about.select("qblock", "n").orderBy("qblock").collect()  # a row per block
+    begun = np.concatenate([[0], np.cumsum([r["n"] for r in counts])])[: len(counts)]
+    packs = spark.createDataFrame([(r["qblock"], int(at) // B.BLOCK) for r, at in zip(counts, begun, strict=True)], "qblock LONG, pack LONG")
+    ways = pairs.unionByName(pairs.where("qblock != block").select(F.col("block").alias("qblock"), F.col("qblock").alias("block"), "gap"))
+    useful = ways.join(q_about.join(packs, "qblock"), "qblock").join(about, "block").where(
+        (F.greatest("gap", "core", "q_core") <= F.col("limit") * (1 + 1e-9) + 1e-9)
+        & ~((F.col("low") == F.col("high")) & (F.col("q_low") == F.col("q_high")) & (F.col("low") == F.col("q_low")))
     )
-    return B.join_blocks(pairs, sides, sides, tile)
+    met = useful.select(F.col("pack").alias("qblock"), "block").distinct()
+    packed = asking.join(packs.withColumnRenamed("qblock", "block"), "block").drop("block").withColumnRenamed("pack", "block")
+    n_packs = 1 + (int(begun[-1]) // B.BLOCK if len(counts) else 0)
+    work = B.met_blocks(met, B.pack(packed, "core", "comp", "limit"), B.pack(rows, "core", "comp"), n_packs, int(cells.n_blocks.sum()))
+    id_type = indexed.schema["id"].dataType.simpleString()
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, {}
+        for key, block, asks in B.meetings(batches):
+            if key != at:
+                yield from (best.rows() for best in held.values())
+                at, held = key, {}
+            there = B.Side(block.r_flat, len(block.r_ids))
+            for own in asks:
+                if own.block not in held:
+                    held[own.block] = Lightest(own)
+                held[own.block].look(block, there)
+        yield from (best.rows() for best in held.values())
+
+    found = work.mapInPandas(look, f"id {id_type}, nbr {id_type}, dist DOUBLE").withColumnRenamed("dist", "w")
+    return top_per_group(found, "id", [F.asc("w"), F.asc("nbr")], LIST).select("id", "nbr", "w")
 
 
 # ---- merge tree
@@ -317,7 +419,7 @@ def tree_fit(vectors: DataFrame, min_cluster_size: int, min_samples: int, id_col
     if n == 0:
         return TreeFit(noise, spark.createDataFrame([], f"id {kind}, core DOUBLE"), no_radii)
     near = near_lists(vectors, min_samples, id_col)
-    cores = near.groupBy("id").agg(F.max("dist").alias("core"))
+    cores = cores_of(near, min_samples)
     if n < 2 * min_cluster_size:
         return TreeFit(noise, cores, no_radii)
     points = cut_lineage(add_row_index(keys, "id"))

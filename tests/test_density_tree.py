@@ -102,6 +102,23 @@ def test_spanning_tree(spark, monkeypatch, block):
     assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2] for r in got], [r[2] for r in want], atol=1e-8)
 
 
+@pytest.mark.parametrize("task_edges", [10_000, 100])
+def test_spanning_tree_compares_only_rows_whose_lists_end_too_early(spark, monkeypatch, task_edges):
+    monkeypatch.setattr("lexitide.operators.blocks.BLOCK", 16)
+    asked, looked = [], density_tree._looked
+
+    def counted(*args):
+        asked.append(args[-1].count())
+        return looked(*args)
+
+    monkeypatch.setattr(density_tree, "_looked", counted)
+    x = np.vstack([blobs(1, 100, 10, 0), np.repeat(blobs(3, 2, 2, 2), 20, axis=0)])  # copies fill whole lists
+    got = sorted(tuple(r) for r in density_tree.spanning_tree(vec(spark, x), 4, task_edges=task_edges).select("a", "b", "w").collect())
+    want = sorted(plain_tree(reachability(x, 4)))
+    assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2] for r in got], [r[2] for r in want], atol=1e-8)
+    assert 0 < sum(asked) <= 2 * len(x)  # every round compared every row before
+
+
 @pytest.mark.parametrize("task_edges", [1000, 7])
 def test_merge_tree(spark, task_edges):
     x = blobs(2, 30, 30, 8)
