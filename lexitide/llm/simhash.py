@@ -82,11 +82,12 @@ def links(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """`(a, b)` over distinct `fp` at most two bits apart: every link of sparse cells, a star for crowded ones."""
     cells = unfolded(fps)
     sizes = cells.groupBy("cell").count().where("count > 1")
-    met = stored(cells.join(sizes, "cell"), "cells")
+    # Spark sizes unfolded rows as if they were one per fingerprint, and written ones by their compressed files; it would broadcast them
+    met = stored(cells.join(sizes.hint("merge"), "cell"), "cells")
     sparse = met.where(F.col("count") <= crowded).select("cell", "fp")
     other = sparse.withColumnRenamed("fp", "other")
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= 2
-    pairs = sparse.join(other, "cell").where((F.col("fp") < F.col("other")) & close).select(F.col("fp").alias("a"), F.col("other").alias("b"))
+    pairs = sparse.join(other.hint("merge"), "cell").where((F.col("fp") < F.col("other")) & close).select(F.col("fp").alias("a"), F.col("other").alias("b"))
     flips = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
     fine = met.where(F.col("count") > crowded).select("fp").distinct().select("fp", F.explode(flips).alias("middle"))
     stars = fine.groupBy("middle").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)

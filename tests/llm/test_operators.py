@@ -123,6 +123,16 @@ def test_simhash_groups(spark, docs):
     assert simhash.near_duplicates(_none(spark)).count() == 0
 
 
+def test_simhash_cells_are_not_broadcast(spark, monkeypatch):
+    """Unfolded cells look as small as the fingerprints that they come from; the driver can't hold them."""
+    kept, stored = [], simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda df, name: kept.append(df) or stored(df, name))
+    found = simhash.links(spark.range(500).select(simhash.F.xxhash64("id").alias("fp")))
+    assert len(kept) == 1
+    for frame in (*kept, found):
+        assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
 def test_simhash_links_of_crowded_cells(spark):
     base = 0x0F0F0F0F12345678
     fps = sorted({base ^ (1 << a) ^ (1 << b) for a in range(0, 40) for b in range(a, 40)} | {base ^ 0x7})
