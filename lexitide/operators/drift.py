@@ -4,7 +4,8 @@ Each decade's positive pointwise mutual information is a sparse symmetric table
 by a randomised range finder. A decade's words are cut into parts of about `PART` words and its table into squares of two parts, packed
 once; a product joins squares with the vectors of a part, so a task multiplies whole squares and no entry of the table is a row again.
 Vectors are kept orthonormal by one small Gram matrix per decade. Two decades' coordinates are turned onto each other by the rotation that
-fits their common words best, worked out from another small matrix. Only matrices of block size reach the driver.
+fits their common words best, worked out from another small matrix. Only matrices of block size reach the driver. What a step leaves on disk is
+deleted when the next one has read it.
 """
 
 from __future__ import annotations
@@ -14,14 +15,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexitide.functions.vectors import norm, sum_vector
 from lexitide.operators import blocks as B
 from lexitide.operators.kmeans import matrix
 from lexitide.operators.lexical import information_table
-from lexitide.session import cut_lineage
+from lexitide.session import broadcast_if_small, cut_lineage, drop_checkpoint, drop_folder, written
 
 SPARE = 8
 ROUNDS = 3
@@ -64,19 +65,41 @@ def _mixed(rows: DataFrame, column: str, mixes: dict[int, np.ndarray]) -> DataFr
 
 
 def _square(entries: pa.Table) -> pa.Table:
-    """One square of a decade's table, entries in order of their line: lines, columns and values as bytes."""
-    i, j, w = (entries.column(c).to_numpy() for c in ("i", "j", "w"))
+    """One square of a decade's table, entries in order of their line: lines and columns by the hashes that occur, and values as bytes."""
+    lines, i = np.unique(entries.column("i").to_numpy(), return_inverse=True)
+    columns, j = np.unique(entries.column("j").to_numpy(), return_inverse=True)
     order = np.lexsort((j, i))
-    packed = [pa.array([x[order].astype(kind).tobytes()], pa.binary()) for x, kind in ((i, np.int32), (j, np.int32), (w, np.float64))]
-    return pa.table([*[entries.column(c).slice(0, 1).combine_chunks() for c in ("decade", "part", "other")], *packed], ["decade", "part", "other", "at", "words", "entries"])
+    packed = [lines, columns, i[order].astype(np.int32), j[order].astype(np.int32), entries.column("w").to_numpy()[order]]
+    head = [entries.column(c).slice(0, 1).combine_chunks() for c in ("decade", "part", "other")]
+    return pa.table([*head, *[pa.array([x.tobytes()], pa.binary()) for x in packed]], ["decade", "part", "other", "lines", "columns", "at", "words", "entries"])
 
 
-def _squares(table: DataFrame, parts: DataFrame) -> DataFrame:
-    """The table in squares of two parts of a decade's words; `parts(decade, part, terms)`."""
-    placed = parts.select("decade", "part", F.posexplode("terms").alias("i", "term"))
-    there = placed.select("decade", F.col("part").alias("other"), F.col("i").alias("j"), F.col("term").alias("context"))
-    entries = table.join(placed, ["decade", "term"]).join(there, ["decade", "context"]).select("decade", "part", "other", "i", "j", F.col("w").cast("double"))
-    return entries.groupBy("decade", "part", "other").applyInArrow(_square, _SQUARE)
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Squares with lines and columns by their places in the two parts."""
+    names = ["decade", "part", "other", "at", "words", "entries"]
+    for batch in batches:
+        out = []
+        for here, all_here, at in (("lines", "line_hashes", "at"), ("columns", "column_hashes", "words")):
+            made = []
+            for i in range(len(batch)):
+                used, place = (np.frombuffer(batch.column(c)[i].as_buffer(), k) for c, k in ((here, np.int64), (at, np.int32)))
+                made.append(np.searchsorted(_flat(batch, all_here, i), used).astype(np.int32)[place].tobytes())
+            out.append(pa.array(made, pa.binary()))
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:3]], *out, batch.column("entries")], names)
+
+
+def _squares(table: DataFrame, parts: DataFrame, n_parts: int) -> DataFrame:
+    """The table in squares of two parts of a decade's words, `parts(decade, part, terms, hashes)`. An entry is shuffled once, as two hashes and a value."""
+    part = [_part_of(c, n_parts).alias(name) for c, name in (("term", "part"), ("context", "other"))]
+    entries = table.select("decade", *part, F.xxhash64("term").alias("i"), F.xxhash64("context").alias("j"), F.col("w").cast("double").alias("w"))
+    made = entries.groupBy("decade", "part", "other").applyInArrow(_square, _SQUARE.replace("at BINARY", "lines BINARY, columns BINARY, at BINARY"))
+    lines = broadcast_if_small(parts.select("decade", "part", F.col("hashes").alias("line_hashes")))
+    columns = broadcast_if_small(parts.select("decade", F.col("part").alias("other"), F.col("hashes").alias("column_hashes")))
+    return made.join(lines, ["decade", "part"]).join(columns, ["decade", "other"]).mapInArrow(_placed, _SQUARE)
+
+
+def _part_of(column: str, n_parts: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(n_parts)).cast("int")
 
 
 def _flat(batch: pa.RecordBatch, column: str, i: int) -> np.ndarray:
@@ -152,18 +175,23 @@ def _whitening(gram: np.ndarray) -> np.ndarray:
 def word_embeddings(table: DataFrame, dims: int = 64, rounds: int = ROUNDS, seed: int = 42) -> DataFrame:
     """`(decade, term, embedding)` from a symmetric `table(decade, term, context, w)`: its leading eigenvectors (by size of the
     eigenvalue), each times the root of that size."""
-    table = cut_lineage(table)
+    table, folder = written(table)
     words = table.select("decade", "term").distinct().persist()
     n_parts = max(1, -(-(words.groupBy("decade").count().agg(F.max("count")).first()[0] or 0) // PART))
-    listed = words.groupBy("decade", F.pmod(F.xxhash64("term"), F.lit(n_parts)).cast("int").alias("part"))
-    parts = cut_lineage(listed.agg(F.array_sort(F.collect_list("term")).alias("terms")))  # about PART words
-    squares = cut_lineage(_squares(table, parts))
+    listed = words.groupBy("decade", _part_of("term", n_parts).alias("part"))
+    listed = listed.agg(F.array_sort(F.collect_list(F.struct(F.xxhash64("term").alias("hash"), "term"))).alias("listed"))  # about PART words
+    parts = cut_lineage(listed.select("decade", "part", F.col("listed.term").alias("terms"), F.col("listed.hash").alias("hashes")))
+    squares = cut_lineage(_squares(table, parts, n_parts))
+    words.unpersist()
+    drop_folder(table.sparkSession, folder)
     draws = F.transform("terms", lambda t: F.array(*[F.xxhash64(F.lit(seed), F.lit(i), t) / float(2**63) for i in range(dims + SPARE)]))
     rows = cut_lineage(parts.select("decade", "part", F.size("terms").alias("n"), F.flatten(draws).alias("q")))
     for _ in range(rounds + 1):
         image = cut_lineage(_times(squares, rows))
-        rows = cut_lineage(_part_mixed(image, {k: _whitening(g) for k, g in _part_grams(image).items()}))
-        rows = cut_lineage(_part_mixed(rows, {k: _whitening(g) for k, g in _part_grams(rows).items()}))
+        once = cut_lineage(_part_mixed(image, {k: _whitening(g) for k, g in _part_grams(image).items()}))
+        before, rows = rows, cut_lineage(_part_mixed(once, {k: _whitening(g) for k, g in _part_grams(once).items()}))
+        for old in (before, image, once):
+            drop_checkpoint(old)
     image = _times(squares, rows).withColumnRenamed("q", "image")
     inner = _part_grams(rows.join(image, ["decade", "part", "n"]), "image")
     turns = {}
@@ -171,7 +199,7 @@ def word_embeddings(table: DataFrame, dims: int = 64, rounds: int = ROUNDS, seed
         values, vectors = np.linalg.eigh((m + m.T) / 2)
         order = np.argsort(-np.abs(values), kind="stable")[:dims]
         turns[k] = vectors[:, order] * np.sqrt(np.abs(values[order]))
-    made = _part_mixed(rows, turns).join(parts, ["decade", "part"])
+    made = _part_mixed(rows, turns).join(parts.drop("hashes"), ["decade", "part"])
     width = F.floor(F.size("q") / F.col("n")).cast("int")
     told = made.select("decade", F.posexplode("terms").alias("i", "term"), width.alias("width"), "q")
     return told.select("decade", "term", F.slice("q", F.col("i") * F.col("width") + 1, F.col("width")).alias("embedding"))

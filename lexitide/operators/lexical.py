@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lexitide.functions import text as X
 from lexitide.operators.vocab import bounded, build_vocab
-from lexitide.session import broadcast_if_small
+from lexitide.session import broadcast_if_small, written
+
+HELD_PAIRS = 4 << 20  # pairs of words that a task counts before it returns them
+TOLD_PAIRS = 1 << 16
 
 
 def class_given_word(
@@ -50,41 +59,120 @@ def class_given_word(
     return scored.select("term", "label", (F.col("j") / F.sum("j").over(Window.partitionBy("term"))).alias("p"))
 
 
+def _sorted_words(vocab: DataFrame) -> list[str]:
+    """The vocabulary in Spark's order of strings; model-sized, bounded by its `vocab_size`."""
+    return sorted({r["term"] for r in vocab.select("term").collect()}, key=str.encode)
+
+
+def _numbers(batches: Iterator[pa.RecordBatch], words: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Documents as the numbers of their words, four bytes each; -1 for other words."""
+    for batch in batches:
+        lists = batch.column("tokens")
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+        found = pc.fill_null(pc.index_in(lists.flatten(), value_set=words), -1).to_numpy().astype(np.int32)
+        seqs = pa.array([found[lo:hi].tobytes() if (found[lo:hi] >= 0).any() else None for lo, hi in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("by"), seqs], ["doc_id", "by", "seq"])
+
+
+def _near(seqs: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of words at most `span` apart in rows of one document: each known word with the `span` known ones behind it."""
+    rows = [np.frombuffer(s, np.int32) for s in seqs]
+    at = np.concatenate([np.flatnonzero(r >= 0) for r in rows])
+    number = np.concatenate([r[r >= 0] for r in rows])
+    if len(rows) > 1:
+        order = np.lexsort((number, at))
+        at, number = at[order], number[order]
+    left, right = [], []
+    for step in range(1, span + 1):
+        close = at[step:] - at[:-step] <= span
+        left.append(number[:-step][close])
+        right.append(number[step:][close])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _counted(batches: Iterator[pa.RecordBatch], n_words: int, span: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """`(by, x, y, n)` with x <= y, added up over many documents before anything is returned."""
+    held: dict = {}
+    waiting = 0
+
+    def told() -> Iterator[pa.RecordBatch]:
+        for by, parts in held.items():
+            key, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            n = np.bincount(inverse, weights=np.concatenate([c for _, c in parts]), minlength=len(key)).astype(np.int64)
+            for lo in range(0, len(key), TOLD_PAIRS):
+                cut = key[lo : lo + TOLD_PAIRS]
+                columns = [pa.array([by], kind).take(pa.array(np.zeros(len(cut), np.int32))), pa.array((cut // n_words).astype(np.int32)), pa.array((cut % n_words).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n[lo : lo + TOLD_PAIRS])], ["by", "x", "y", "n"])
+
+    for batch in batches:
+        for by, seqs in zip(batch.column("by").to_pylist(), batch.column("seqs").to_pylist(), strict=True):
+            x, y = _near(seqs, span)
+            key, n = np.unique(np.minimum(x, y).astype(np.int64) * n_words + np.maximum(x, y), return_counts=True)
+            held.setdefault(by, []).append((key, n))
+            waiting += len(key)
+            if waiting >= HELD_PAIRS:
+                yield from told()
+                held, waiting = {}, 0
+    yield from told()
+
+
+def _pair_counts(docs: DataFrame, words: list[str], span: int, by: str) -> DataFrame:
+    """`(by, x, y, n)` with x <= y: how often two words, as numbers in `words`, are at most `span` positions apart."""
+    texts = docs.select("doc_id", F.col(by).alias("by"), F.col("full_text").alias("tokens"))
+    kinds = {c: texts.schema[c].dataType for c in ("doc_id", "by")}
+    known = pa.array(words, pa.string())
+    spelt = texts.mapInArrow(lambda it: _numbers(it, known), f"doc_id {kinds['doc_id'].simpleString()}, by {kinds['by'].simpleString()}, seq BINARY")
+    # rows of one id are one document
+    listed = spelt.where(F.col("seq").isNotNull()).groupBy("doc_id", "by").agg(F.collect_list("seq").alias("seqs")).select("by", "seqs")
+    n_words, kind = max(1, len(words)), to_arrow_type(kinds["by"])
+    counted = listed.mapInArrow(lambda it: _counted(it, n_words, span, kind), f"by {kinds['by'].simpleString()}, x INT, y INT, n LONG")
+    return counted.groupBy("by", "x", "y").agg(F.sum("n").alias("n"))
+
+
+def _both_ways(pairs: DataFrame, words: list[str], value: str, by: str) -> DataFrame:
+    """`(by, term, context, value)` in both orders from pairs of numbers with x <= y."""
+    spark = pairs.sparkSession
+    named = bounded(spark.createDataFrame(list(enumerate(words)), "i INT, word STRING"), len(words))
+    other = F.when(F.col("x") != F.col("y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))
+    turned = pairs.select("by", F.explode(F.array_compact(F.array(F.struct("x", "y"), other))).alias("p"), value).select("by", "p.*", value)
+    turned = turned.join(named.select(F.col("i").alias("x"), F.col("word").alias("term")), "x").join(named.select(F.col("i").alias("y"), F.col("word").alias("context")), "y")
+    return turned.select(F.col("by").alias(by), "term", "context", value)
+
+
 def cooccurrence(docs: DataFrame, vocab: DataFrame, vocab_size: int, span: int = 5, by: str = "decade") -> DataFrame:
     """Counts of vocabulary words at most `span` positions apart, per `by`: `(by, term, context, n)`, symmetric.
 
     Each word is paired with the vocabulary words that follow it within the span, so the work grows with
-    tokens times span and not with the square of a document.
+    tokens times span and not with the square of a document. Words are numbers of four bytes from the scan to the counts, and a
+    pair is shuffled in one order only.
     """
-    tokens = X.unfold_at(docs, "doc_id", by, tokens="full_text", names=("pos", "term"))
-    known = tokens.join(bounded(vocab.select("term"), vocab_size), "term")
-    # a document's known words in order; one document is one row
-    listed = known.groupBy("doc_id", by).agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("seq"))
-    at = X.unfold_at(listed, by, "seq", tokens="seq", names=("i", "here"))
-    later = X.unfold(at, by, "here", tokens=F.slice("seq", F.col("i") + 2, F.lit(span)), name="there")
-    near = later.where(F.col("there.pos") - F.col("here.pos") <= span)
-    pairs = near.groupBy(by, F.col("here.term").alias("x"), F.col("there.term").alias("y")).agg(F.count("*").alias("n"))
-    both = F.explode(F.array(F.struct(F.col("x").alias("term"), F.col("y").alias("context")), F.struct(F.col("y").alias("term"), F.col("x").alias("context"))))
-    return pairs.select(by, both.alias("p"), "n").groupBy(by, "p.term", "p.context").agg(F.sum("n").alias("n"))
+    words = _sorted_words(vocab)
+    pairs = _pair_counts(docs, words, span, by)
+    return _both_ways(pairs.withColumn("n", F.when(F.col("x") == F.col("y"), 2 * F.col("n")).otherwise(F.col("n"))), words, "n", by)
+
+
+def _margins(pairs: DataFrame, n_words: int) -> DataFrame:
+    """`(by, sums, n_all)`: per decade the counts of every word as one list, and their sum."""
+
+    def listed(rows: pa.Table) -> pa.Table:
+        sums = np.zeros(n_words, np.int64)
+        sums[rows.column("i").to_numpy()] = rows.column("n").to_numpy()
+        return pa.table([rows.column("by").slice(0, 1).combine_chunks(), pa.array([sums], pa.list_(pa.int64())), pa.array([int(sums.sum())], pa.int64())], ["by", "sums", "n_all"])
+
+    each = pairs.select("by", F.explode(F.array("x", "y")).alias("i"), "n").groupBy("by", "i").agg(F.sum("n").alias("n"))
+    return each.groupBy("by").applyInArrow(listed, "by INT, sums ARRAY<LONG>, n_all LONG")
 
 
 def information_table(docs: DataFrame, vocab_size: int, min_freq: int = 3, span: int = 5) -> DataFrame:
     """Positive pointwise mutual information of vocabulary words in each decade: `(decade, term, context, w)`, symmetric."""
     dated = docs.where(F.col("rights_year").isNotNull())
     dated = dated.withColumn("decade", (F.floor(F.col("rights_year") / F.lit(10.0)) * 10).cast("int"))
-    vocab = build_vocab(docs, vocab_size, min_freq).persist()
-    counts = cooccurrence(dated, vocab, vocab_size, span).persist()
-    margins = counts.groupBy("decade", "term").agg(F.sum("n").alias("n_term")).persist()
-    totals = margins.groupBy("decade").agg(F.sum("n_term").alias("n_all"))
-    contexts = margins.select("decade", F.col("term").alias("context"), F.col("n_term").alias("n_context"))
-    information = F.log(F.col("n") * F.col("n_all") / (F.col("n_term") * F.col("n_context")))
-    return (
-        counts.join(broadcast_if_small(margins), ["decade", "term"])
-        .join(broadcast_if_small(contexts), ["decade", "context"])
-        .join(broadcast_if_small(totals), "decade")
-        .select("decade", "term", "context", information.alias("w"))
-        .where(F.col("w") > 0)
-    )
+    words = _sorted_words(build_vocab(docs, vocab_size, min_freq))
+    pairs = written(_pair_counts(dated, words, span, "decade"))[0]
+    rows = pairs.join(broadcast_if_small(_margins(pairs, max(1, len(words)))), "by")
+    n = F.when(F.col("x") == F.col("y"), 2 * F.col("n")).otherwise(F.col("n"))
+    information = F.log(n * F.col("n_all") / (F.get("sums", "x") * F.get("sums", "y")))
+    return _both_ways(rows.select("by", "x", "y", information.alias("w")).where(F.col("w") > 0), words, "w", "decade")
 
 
 def semantic_drift(docs: DataFrame, vocab_size: int = 200, min_freq: int = 3, span: int = 5) -> DataFrame:
