@@ -75,26 +75,39 @@ def _square(entries: pa.Table) -> pa.Table:
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Squares with lines and columns by their places in the two parts."""
+    """Squares with lines and columns by their places in the two parts, entries in order of their line there."""
     names = ["decade", "part", "other", "at", "words", "entries"]
     for batch in batches:
-        out = []
-        for here, all_here, at in (("lines", "line_hashes", "at"), ("columns", "column_hashes", "words")):
-            made = []
-            for i in range(len(batch)):
-                used, place = (np.frombuffer(batch.column(c)[i].as_buffer(), k) for c, k in ((here, np.int64), (at, np.int32)))
-                made.append(np.searchsorted(_flat(batch, all_here, i), used).astype(np.int32)[place].tobytes())
-            out.append(pa.array(made, pa.binary()))
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:3]], *out, batch.column("entries")], names)
-
-
-def _squares(table: DataFrame, parts: DataFrame, n_parts: int) -> DataFrame:
-    """The table in squares of two parts of a decade's words, `parts(decade, part, terms, hashes)`. An entry is shuffled once, as two hashes and a value."""
-    part = [_part_of(c, n_parts).alias(name) for c, name in (("term", "part"), ("context", "other"))]
-    entries = table.select("decade", *part, F.xxhash64("term").alias("i"), F.xxhash64("context").alias("j"), F.col("w").cast("double").alias("w"))
+        out: tuple[list, list, list] = ([], [], [])
+        for i in range(len(batch)):
+            found = []
+            for used, hashes, at in (("lines", "line_hashes", "at"), ("columns", "column_hashes", "words")):
+                wanted, place = (np.frombuffer(batch.column(c)[i].as_buffer(), k) for c, k in ((used, np.int64), (at, np.int32)))
+                known = _flat(batch, hashes, i)
+                order = np.argsort(known)
+                found.append(order[np.searchsorted(known, wanted, sorter=order)].astype(np.int32)[place])
+            order = np.lexsort((found[1], found[0]))
+            for told, x in zip(out, (*found, np.frombuffer(batch.column("entries")[i].as_buffer(), np.float64)), strict=True):
+                told.append(x[order].tobytes())
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:3]], *[pa.array(x, pa.binary()) for x in out]], names)
+
+
+def _squares(table: DataFrame, parts: DataFrame, n_parts: int | None = None) -> DataFrame:
+    """The table in squares of two parts of a decade's words; `parts(decade, part, terms)`.
+
+    Where the parts are the `n_parts` of `_part_of`, an entry is shuffled once, as two hashes and a value; others are joined to it.
+    """
+    if n_parts is None:
+        words = parts.select("decade", "part", F.explode("terms").alias("term"))
+        contexts = words.select("decade", F.col("part").alias("other"), F.col("term").alias("context"))
+        table = table.join(words, ["decade", "term"]).join(contexts, ["decade", "context"])
+    else:
+        table = table.withColumns({"part": _part_of("term", n_parts), "other": _part_of("context", n_parts)})
+    hashes = F.transform("terms", lambda t: F.xxhash64(t))
+    entries = table.select("decade", "part", "other", F.xxhash64("term").alias("i"), F.xxhash64("context").alias("j"), F.col("w").cast("double").alias("w"))
     made = entries.groupBy("decade", "part", "other").applyInArrow(_square, _SQUARE.replace("at BINARY", "lines BINARY, columns BINARY, at BINARY"))
-    lines = broadcast_if_small(parts.select("decade", "part", F.col("hashes").alias("line_hashes")))
-    columns = broadcast_if_small(parts.select("decade", F.col("part").alias("other"), F.col("hashes").alias("column_hashes")))
+    lines = broadcast_if_small(parts.select("decade", "part", hashes.alias("line_hashes")))
+    columns = broadcast_if_small(parts.select("decade", F.col("part").alias("other"), hashes.alias("column_hashes")))
     return made.join(lines, ["decade", "part"]).join(columns, ["decade", "other"]).mapInArrow(_placed, _SQUARE)
 
 
@@ -179,8 +192,7 @@ def word_embeddings(table: DataFrame, dims: int = 64, rounds: int = ROUNDS, seed
     words = table.select("decade", "term").distinct().persist()
     n_parts = max(1, -(-(words.groupBy("decade").count().agg(F.max("count")).first()[0] or 0) // PART))
     listed = words.groupBy("decade", _part_of("term", n_parts).alias("part"))
-    listed = listed.agg(F.array_sort(F.collect_list(F.struct(F.xxhash64("term").alias("hash"), "term"))).alias("listed"))  # about PART words
-    parts = cut_lineage(listed.select("decade", "part", F.col("listed.term").alias("terms"), F.col("listed.hash").alias("hashes")))
+    parts = cut_lineage(listed.agg(F.array_sort(F.collect_list("term")).alias("terms")))  # about PART words
     squares = cut_lineage(_squares(table, parts, n_parts))
     words.unpersist()
     drop_folder(table.sparkSession, folder)
@@ -199,7 +211,7 @@ def word_embeddings(table: DataFrame, dims: int = 64, rounds: int = ROUNDS, seed
         values, vectors = np.linalg.eigh((m + m.T) / 2)
         order = np.argsort(-np.abs(values), kind="stable")[:dims]
         turns[k] = vectors[:, order] * np.sqrt(np.abs(values[order]))
-    made = _part_mixed(rows, turns).join(parts.drop("hashes"), ["decade", "part"])
+    made = _part_mixed(rows, turns).join(parts, ["decade", "part"])
     width = F.floor(F.size("q") / F.col("n")).cast("int")
     told = made.select("decade", F.posexplode("terms").alias("i", "term"), width.alias("width"), "q")
     return told.select("decade", "term", F.slice("q", F.col("i") * F.col("width") + 1, F.col("width")).alias("embedding"))
